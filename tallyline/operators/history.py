@@ -95,9 +95,9 @@ def running_state(
     direct = size.longest <= min(block_limit, segment_rows)
 
     # one input column per distinct expression and halflife
-    inputs = {f"__s_{n}": zero_if_null(c) for n, c in sums.items()}
-    inputs |= {f"__x_{n}": zero_if_null(c) for n, (c, _) in ewms.items()}
-    inputs |= {f"__m_{n}": as_col(c) for n, c in latest.items()}
+    inputs = {f"__is_{n}": zero_if_null(c) for n, c in sums.items()}
+    inputs |= {f"__ix_{n}": zero_if_null(c) for n, (c, _) in ewms.items()}
+    inputs |= {f"__im_{n}": as_col(c) for n, c in latest.items()}
     order = [as_col(c) for c in order]
     keep = df.columns
     base = df.select("*", *[c.alias(n) for n, c in inputs.items()])
@@ -125,13 +125,13 @@ def _direct(base, entity, order, sums, ewms, latest):
     halflives = sorted({h for _, h in ewms.values()})
     base = base.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
     base = base.select("*", *[F.pow(F.lit(2.0), k / h).alias(_g(h)) for h in halflives])
-    cols = [F.sum(f"__s_{n}").over(earlier).alias(n) for n in sums]
+    cols = [F.sum(f"__is_{n}").over(earlier).alias(n) for n in sums]
     for n, (_, h) in ewms.items():
         r, alpha = _coef(h)
         c = F.when(k == 0, 1.0).otherwise(alpha)
-        total = F.sum(c * F.col(f"__x_{n}") * F.col(_g(h))).over(earlier)
+        total = F.sum(c * F.col(f"__ix_{n}") * F.col(_g(h))).over(earlier)
         cols.append((total / F.col(_g(h)) / r).alias(n))
-    cols += [F.max(f"__m_{n}").over(earlier).alias(n) for n in latest]
+    cols += [F.max(f"__im_{n}").over(earlier).alias(n) for n in latest]
     return base.select("*", *cols)
 
 
@@ -156,8 +156,8 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
     base = base.withColumn("__j", (F.row_number().over(w) - 1).cast("long"))
     base = base.select(
         "*",
-        *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0.0)).alias(f"__S_{n}") for n in sums],
-        *[F.max(f"__m_{n}").over(earlier).alias(f"__M_{n}") for n in latest],
+        *[F.coalesce(F.sum(f"__is_{n}").over(earlier), F.lit(0.0)).alias(f"__ps_{n}") for n in sums],
+        *[F.max(f"__im_{n}").over(earlier).alias(f"__pm_{n}") for n in latest],
     )
     opening = (j == 0) & (F.col("__seg") == 0)
     for h in halflives:
@@ -176,7 +176,7 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
             "*",
             *[
                 (
-                    F.coalesce(F.sum(F.col("__c") * F.col(f"__x_{n}") * F.col("__g")).over(in_block), F.lit(0.0))
+                    F.coalesce(F.sum(F.col("__c") * F.col(f"__ix_{n}") * F.col("__g")).over(in_block), F.lit(0.0))
                     / F.col("__g") / r
                 ).alias(f"__L_{n}")
                 for n in names
@@ -184,7 +184,7 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
         )
         previous = W.partitionBy(*part).orderBy("__blk").rangeBetween(-1, -1)
         tail = {
-            n: F.when(jj == rows - 1, F.col(f"__L_{n}") * r + F.col("__c") * F.col(f"__x_{n}"))
+            n: F.when(jj == rows - 1, F.col(f"__L_{n}") * r + F.col("__c") * F.col(f"__ix_{n}"))
             for n in names
         }
         base = base.select(
@@ -198,25 +198,25 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
             ],
         ).select(
             "*",
-            *[(F.col(f"__E_{n}") * r + F.col("__c") * F.col(f"__x_{n}")).alias(f"__A_{n}") for n in names],
+            *[(F.col(f"__E_{n}") * r + F.col("__c") * F.col(f"__ix_{n}")).alias(f"__A_{n}") for n in names],
         ).drop("__blk", "__jj", "__c", "__g", *[f"__L_{n}" for n in names])
     if not has_hot:
         first = j == 0
         return base.select(
             "*",
             j.alias("seq"),
-            *[F.when(~first, F.col(f"__S_{n}")).alias(n) for n in sums],
+            *[F.when(~first, F.col(f"__ps_{n}")).alias(n) for n in sums],
             *[F.when(~first, F.col(f"__E_{n}")).alias(n) for n in ewms],
-            *[F.col(f"__M_{n}").alias(n) for n in latest],
+            *[F.col(f"__pm_{n}").alias(n) for n in latest],
         )
     carry = _carry(base, entity, sums, ewms, latest)
     base = base.join(carry, part, "left")
     seq = j + F.coalesce(F.col("__n0"), F.lit(0))
-    cols = [F.when(seq > 0, F.col(f"__S_{n}") + F.coalesce(F.col(f"__S0_{n}"), F.lit(0.0))).alias(n) for n in sums]
+    cols = [F.when(seq > 0, F.col(f"__ps_{n}") + F.coalesce(F.col(f"__cs_{n}"), F.lit(0.0))).alias(n) for n in sums]
     for n, (_, h) in ewms.items():
-        faded = F.coalesce(F.col(f"__E0_{n}"), F.lit(0.0)) * F.pow(F.lit(2.0), -j / h)
+        faded = F.coalesce(F.col(f"__ce_{n}"), F.lit(0.0)) * F.pow(F.lit(2.0), -j / h)
         cols.append(F.when(seq > 0, F.col(f"__E_{n}") + faded).alias(n))
-    cols += [F.greatest(F.col(f"__M_{n}"), F.col(f"__M0_{n}")).alias(n) for n in latest]
+    cols += [F.greatest(F.col(f"__pm_{n}"), F.col(f"__cm_{n}")).alias(n) for n in latest]
     return base.select("*", seq.alias("seq"), *cols)
 
 
@@ -227,8 +227,8 @@ def _carry(base, entity, sums, ewms, latest):
         .groupBy(*entity, "__seg")
         .agg(
             F.count(F.lit(1)).alias("__n"),
-            *[F.sum(f"__s_{n}").alias(f"__T_{n}") for n in sums],
-            *[F.max(f"__m_{n}").alias(f"__TM_{n}") for n in latest],
+            *[F.sum(f"__is_{n}").alias(f"__T_{n}") for n in sums],
+            *[F.max(f"__im_{n}").alias(f"__TM_{n}") for n in latest],
             *[F.max_by(f"__A_{n}", "__j").alias(f"__A_{n}") for n in ewms],
         )
     )
@@ -254,9 +254,9 @@ def _carry(base, entity, sums, ewms, latest):
         *entity,
         "__seg",
         (F.col("__end") - F.col("__n")).alias("__n0"),
-        *[F.sum(f"__T_{n}").over(before).alias(f"__S0_{n}") for n in sums],
-        *[F.lag(f"__Y_{n}").over(w).alias(f"__E0_{n}") for n in ewms],
-        *[F.max(f"__TM_{n}").over(before).alias(f"__M0_{n}") for n in latest],
+        *[F.sum(f"__T_{n}").over(before).alias(f"__cs_{n}") for n in sums],
+        *[F.lag(f"__Y_{n}").over(w).alias(f"__ce_{n}") for n in ewms],
+        *[F.max(f"__TM_{n}").over(before).alias(f"__cm_{n}") for n in latest],
     )
 
 

@@ -16,10 +16,13 @@ def weighted_mean(value: Column | str, weight: Column | str) -> Column:
     return F.try_divide(F.sum(v * w), F.when(F.sum(w) > 0, F.sum(w)))
 
 
+def prior_columns(metrics: Sequence[Metric], prefix: str = "prior_") -> list[Column]:
+    return [weighted_mean(m.value, m.weight).alias(prefix + m.name) for m in metrics]
+
+
 def league_priors(df: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = (), prefix="prior_") -> DataFrame:
     """One row (or one per ``by``) with the weighted mean of every metric."""
-    aggs = [weighted_mean(m.value, m.weight).alias(prefix + m.name) for m in metrics]
-    return df.groupBy(*by).agg(*aggs)
+    return df.groupBy(*by).agg(*prior_columns(metrics, prefix))
 
 
 def entity_priors(
