@@ -48,9 +48,3 @@ def sigmoid(z: Column | str) -> Column:
 def one_row(stats: DataFrame) -> Column:
     """A one-row aggregate as a struct column (an uncorrelated scalar subquery, no join)."""
     return stats.select(F.struct(*stats.columns).alias("row")).scalar()
-
-
-def half_up(c: Column | str, digits: int = 6) -> Column:
-    """Round by floor(x * 10^d + 0.5) / 10^d: the same arithmetic in every engine."""
-    scale = float(10**digits)
-    return F.floor(as_col(c) * scale + 0.5) / scale

@@ -64,12 +64,12 @@ def roc_points(pred: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """fpr / tpr of the rule 'score >= threshold' at each distinct score."""
     counts = score_counts(pred, keys)
     ranked = ordered_cumsum(counts, keys, "p", ["pos", "neg"])
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return ranked.join(checked_broadcast(totals), list(keys)).select(
         *keys,
         F.col("p").alias("threshold"),
-        F.try_divide((F.col("N") - F.col("before_neg")).cast("double"), F.col("N").cast("double")).alias("fpr"),
-        F.try_divide((F.col("P") - F.col("before_pos")).cast("double"), F.col("P").cast("double")).alias("tpr"),
+        F.try_divide((F.col("n_neg") - F.col("before_neg")).cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
+        F.try_divide((F.col("n_pos") - F.col("before_pos")).cast("double"), F.col("n_pos").cast("double")).alias("tpr"),
     )
 
 

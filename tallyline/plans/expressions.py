@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import context, market, numeric, text
 from tallyline.functions.aliases import QUOTE_ALIASES, TEAM_ALIASES
 from tallyline.operators import prepare, sides
-from tallyline.plans.registry import query, r, tidy
+from tallyline.plans.registry import half_up, query, r, tidy
 
 QID = ["true_game_id", "sportsbook", "quote_id"]
 QS = ", ".join(QID)
@@ -49,7 +49,7 @@ def b3(v):
         "game_id",
         numeric.logit(p, numeric.CONSENSUS_CLIP).alias("consensus"),
         numeric.logit(p, numeric.MODEL_CLIP).alias("model"),
-        numeric.half_up(numeric.logit(p, numeric.CALIBRATION_CLIP), 4).alias("calibration"),
+        half_up(numeric.logit(p, numeric.CALIBRATION_CLIP), 4).alias("calibration"),
         numeric.sigmoid(numeric.logit(p)).alias("back"),
     )
     return tidy(out, skip=("calibration",))
