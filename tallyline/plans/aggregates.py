@@ -270,11 +270,13 @@ _BOOKS = (0, 1, 2, 3)
 @query(
     "d16_book_pivot",
     "SELECT true_game_id, " + ", ".join(
-        f"arg_min({c}, quote_id) FILTER (sportsbook = {b}) AS {c}_{b}" for b in _BOOKS for c in ("away_opening_odds", "home_opening_odds")
+        f"arg_min({c}, quote_id) FILTER (sportsbook % 4 = {b}) AS {c}_{b}" for b in _BOOKS for c in ("away_opening_odds", "home_opening_odds")
     ) + " FROM @quotes q GROUP BY true_game_id",
 )
 def d16(v):
-    return quotes.pivot_books(v.quotes, ["true_game_id"], _BOOKS, ["away_opening_odds", "home_opening_odds"])
+    """Every book belongs to one of four houses; the houses are the pivot's closed list."""
+    houses = v.quotes.withColumn("sportsbook", F.col("sportsbook") % 4)
+    return quotes.pivot_books(houses, ["true_game_id"], _BOOKS, ["away_opening_odds", "home_opening_odds"])
 
 
 _SC = ("home_score", "venue_id", "p_m2")

@@ -455,8 +455,9 @@ def g4(v):
 
 @query(
     "g5_date_difference",
-    """SELECT DISTINCT game_date FROM @games g WHERE game_date NOT IN (SELECT CAST(l_shipdate AS DATE) FROM @lineitem l WHERE l_linenumber = 1)""",
+    """SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM @lineitem l WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT game_date FROM @games g)""",
 )
 def g5(v):
-    shipped = v.lineitem.where("l_linenumber = 1").select(F.to_date("l_shipdate").alias("game_date"))
-    return v.games.select("game_date").distinct().join(shipped.distinct(), "game_date", "left_anti")
+    """Shipping days without a game."""
+    wanted = v.lineitem.select(F.to_date("l_shipdate").alias("day")).distinct()
+    return wanted.join(v.games.select(F.col("game_date").alias("day")).distinct(), "day", "left_anti")
