@@ -19,9 +19,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from tallyline.functions.numeric import as_col, ratio, zero_if_null
+from pyspark.sql import DataFrame, functions as F
 
 BLOCK_FACTOR = 400
 FULL_DECAY = 1100  # halvings after which a double has decayed to zero
@@ -29,7 +27,9 @@ MIN_SEGMENT_ROWS = 1_000_000
 # segment_rows = rows / MAX_HOT, so at most MAX_HOT entities can be hot: the broadcast bound
 MAX_HOT = 20_000
 
-EARLIER = (W.unboundedPreceding, -1)
+# Expressions are SQL text: a block has a hundred columns, and one parsed text per column
+# costs the driver far less than a dozen Column calls each.
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 @dataclass(frozen=True)
@@ -48,18 +48,26 @@ def measure(df: DataFrame, entity: Sequence[str]) -> HistorySize:
     return HistorySize(row[0] or 0, row[1] or 0)
 
 
-def _hot_entities(df: DataFrame, entity, clock: Column, segment_rows: int) -> DataFrame:
+def zero(text: str) -> str:
+    return f"coalesce(cast({text} as double), 0D)"
+
+
+def over(entity: Sequence[str], order: Sequence[str], frame: str = EARLIER) -> str:
+    keys = ", ".join(f"`{e}`" for e in entity)
+    return f"OVER (PARTITION BY {keys} ORDER BY {', '.join(order)} {frame})"
+
+
+def _hot_entities(df: DataFrame, entity, clock: str, segment_rows: int) -> DataFrame:
     """Entities over ``segment_rows`` with the stretch width that keeps a stretch under it."""
-    ticks = df.groupBy(*entity, clock.alias("__tick")).agg(F.count(F.lit(1)).alias("n"))
-    width = F.greatest(F.lit(1), F.floor(F.lit(segment_rows) / F.max("n")))
+    ticks = df.groupBy(*entity, F.expr(clock).alias("__tick")).agg(F.expr("count(1) AS n"))
     return (
         ticks.groupBy(*entity)
         .agg(
-            F.sum("n").alias("__rows"),
-            width.cast("long").alias("__width"),
-            F.min("__tick").alias("__first"),
+            F.expr("sum(n) AS __rows"),
+            F.expr(f"greatest(1L, cast(floor({segment_rows} / max(n)) as bigint)) AS __width"),
+            F.expr("min(__tick) AS __first"),
         )
-        .where(F.col("__rows") > segment_rows)
+        .where(f"__rows > {segment_rows}")
         .drop("__rows")
     )
 
@@ -72,12 +80,12 @@ def _coef(halflife: float) -> tuple[float, float]:
 def running_state(
     df: DataFrame,
     entity: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     *,
-    sums: Mapping[str, Column] | None = None,
-    ewms: Mapping[str, tuple[Column, float]] | None = None,
-    latest: Mapping[str, Column] | None = None,
-    clock: Column | str = "game_date",
+    sums: Mapping[str, str] | None = None,
+    ewms: Mapping[str, tuple[str, float]] | None = None,
+    latest: Mapping[str, str] | None = None,
+    clock: str = "game_date",
     size: HistorySize | None = None,
     block_factor: int = BLOCK_FACTOR,
     segment_rows: int | None = None,
@@ -86,177 +94,153 @@ def running_state(
 
     ``sums``: running totals, NULL on the first row. ``ewms``: recursive EWM
     (first value seeds, alpha = 1 - 0.5^(1/h)). ``latest``: running maximum.
-    ``order`` must be total within an entity and start with a key the clock is monotone in.
+    Values, order and clock are SQL text. ``order`` must be total within an entity and start
+    with a key that the clock never falls along.
     """
     sums, ewms, latest = dict(sums or {}), dict(ewms or {}), dict(latest or {})
     size = size or measure(df, entity)
     segment_rows = segment_rows or size.segment_rows
     block_limit = min((int(block_factor * h) for _, h in ewms.values()), default=segment_rows)
-    direct = size.longest <= min(block_limit, segment_rows)
-
-    # one input column per distinct expression and halflife
-    inputs = {f"__is_{n}": zero_if_null(c) for n, c in sums.items()}
-    inputs |= {f"__ix_{n}": zero_if_null(c) for n, (c, _) in ewms.items()}
-    inputs |= {f"__im_{n}": as_col(c) for n, c in latest.items()}
-    order = [as_col(c) for c in order]
-    keep = df.columns
-    base = df.select("*", *[c.alias(n) for n, c in inputs.items()])
-    if direct:
-        out = _direct(base, entity, order, sums, ewms, latest)
+    # one input column per distinct expression
+    texts = list(dict.fromkeys([*(zero(t) for t in sums.values()), *(zero(t) for t, _ in ewms.values())]))
+    column = {t: f"__v{i}" for i, t in enumerate(texts)}
+    base = df.selectExpr(
+        "*",
+        *[f"{t} AS {c}" for t, c in column.items()],
+        *[f"{t} AS __d_{n}" for n, t in latest.items()],
+    )
+    x = {n: column[zero(t)] for n, t in sums.items()}
+    e = {n: (column[zero(t)], h) for n, (t, h) in ewms.items()}
+    if size.longest <= min(block_limit, segment_rows):
+        out = _direct(base, entity, order, x, e, latest)
     else:
         out = _segmented(
-            base, entity, order, sums, ewms, latest, as_clock(df, clock),
+            base, entity, order, x, e, latest, as_clock(df, clock),
             block_factor, segment_rows, size.longest > segment_rows,
         )
-    return out.select(*keep, "seq", *sums, *ewms, *latest)
+    return out.select(*df.columns, "seq", *sums, *ewms, *latest)
 
 
-def as_clock(df: DataFrame, clock: Column | str) -> Column:
+def as_clock(df: DataFrame, clock: str) -> str:
     """A whole number that never falls along the order."""
-    if isinstance(clock, str) and dict(df.dtypes)[clock] == "date":
-        return F.unix_date(clock).cast("long")
-    return as_col(clock).cast("long")
+    if dict(df.dtypes).get(clock) == "date":
+        return f"cast(unix_date({clock}) as bigint)"
+    return f"cast({clock} as bigint)"
+
+
+def _g(h) -> str:
+    return "__g_" + str(h).replace(".", "_")
 
 
 def _direct(base, entity, order, sums, ewms, latest):
-    w = W.partitionBy(*entity).orderBy(*order)
-    earlier = w.rowsBetween(*EARLIER)
-    k = F.col("seq")
+    earlier = over(entity, order)
     halflives = sorted({h for _, h in ewms.values()})
-    base = base.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
-    base = base.select("*", *[F.pow(F.lit(2.0), k / h).alias(_g(h)) for h in halflives])
-    cols = [F.sum(f"__is_{n}").over(earlier).alias(n) for n in sums]
-    for n, (_, h) in ewms.items():
+    base = base.selectExpr("*", f"cast(row_number() {over(entity, order, '')} - 1 as bigint) AS seq")
+    base = base.selectExpr("*", *[f"pow(2D, seq / {h}D) AS {_g(h)}" for h in halflives])
+    cols = [f"sum({c}) {earlier} AS {n}" for n, c in sums.items()]
+    for n, (c, h) in ewms.items():
         r, alpha = _coef(h)
-        c = F.when(k == 0, 1.0).otherwise(alpha)
-        total = F.sum(c * F.col(f"__ix_{n}") * F.col(_g(h))).over(earlier)
-        cols.append((total / F.col(_g(h)) / r).alias(n))
-    cols += [F.max(f"__im_{n}").over(earlier).alias(n) for n in latest]
-    return base.select("*", *cols)
-
-
-def _g(h) -> str:
-    return "__g_" + str(h).replace(".", "_")
+        weighted = f"if(seq = 0, 1D, {alpha!r}D) * {c} * {_g(h)}"
+        cols.append(f"(sum({weighted}) {earlier}) / {_g(h)} / {r!r}D AS {n}")
+    cols += [f"max(__d_{n}) {earlier} AS {n}" for n in latest]
+    return base.selectExpr("*", *cols)
 
 
 def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, segment_rows, has_hot):
-    halflives = sorted({h for _, h in ewms.values()})
-    base = base.withColumn("__clock", clock)
+    base = base.selectExpr("*", f"{clock} AS __clock")
     if has_hot:
-        hot = _hot_entities(base, entity, F.col("__clock"), segment_rows)
+        hot = _hot_entities(base, entity, "__clock", segment_rows)
         base = base.join(F.broadcast(hot), list(entity), "left")
-        seg = F.coalesce(F.floor((F.col("__clock") - F.col("__first")) / F.col("__width")), F.lit(0))
-        base = base.withColumn("__seg", seg.cast("long"))
+        base = base.selectExpr("*", "cast(coalesce(floor((__clock - __first) / __width), 0) as bigint) AS __seg")
     else:
-        base = base.withColumn("__seg", F.lit(0).cast("long"))
+        base = base.selectExpr("*", "0L AS __seg")
     part = [*entity, "__seg"]
-    w = W.partitionBy(*part).orderBy(*order)
-    earlier = w.rowsBetween(*EARLIER)
-    j = F.col("__j")
-    base = base.withColumn("__j", (F.row_number().over(w) - 1).cast("long"))
-    base = base.select(
+    earlier = over(part, order)
+    base = base.selectExpr("*", f"cast(row_number() {over(part, order, '')} - 1 as bigint) AS __j")
+    base = base.selectExpr(
         "*",
-        *[F.coalesce(F.sum(f"__is_{n}").over(earlier), F.lit(0.0)).alias(f"__ps_{n}") for n in sums],
-        *[F.max(f"__im_{n}").over(earlier).alias(f"__pm_{n}") for n in latest],
+        *[f"coalesce(sum({c}) {earlier}, 0D) AS __t_{n}" for n, c in sums.items()],
+        *[f"max(__d_{n}) {earlier} AS __l_{n}" for n in latest],
     )
-    opening = (j == 0) & (F.col("__seg") == 0)
-    for h in halflives:
+    for h in sorted({h for _, h in ewms.values()}):
         r, alpha = _coef(h)
         rows = int(block_factor * h)
-        names = [n for n, (_, hh) in ewms.items() if hh == h]
-        blk, jj = F.col("__blk"), F.col("__jj")
-        base = base.select(
-            "*",
-            F.floor(j / rows).alias("__blk"),
-            (j % rows).alias("__jj"),
-            F.when(opening, 1.0).otherwise(alpha).alias("__c"),
-        ).withColumn("__g", F.pow(F.lit(2.0), jj / h))
-        in_block = W.partitionBy(*part, "__blk").orderBy("__j").rowsBetween(*EARLIER)
-        base = base.select(
+        named = {n: c for n, (c, hh) in ewms.items() if hh == h}
+        base = base.selectExpr(
             "*",
-            *[
-                (
-                    F.coalesce(F.sum(F.col("__c") * F.col(f"__ix_{n}") * F.col("__g")).over(in_block), F.lit(0.0))
-                    / F.col("__g") / r
-                ).alias(f"__L_{n}")
-                for n in names
-            ],
+            f"floor(__j / {rows}) AS __blk",
+            f"pow(2D, (__j % {rows}) / {h}D) AS __g",
+            f"if(__j = 0 AND __seg = 0, 1D, {alpha!r}D) AS __c",
         )
-        previous = W.partitionBy(*part).orderBy("__blk").rangeBetween(-1, -1)
-        tail = {
-            n: F.when(jj == rows - 1, F.col(f"__L_{n}") * r + F.col("__c") * F.col(f"__ix_{n}"))
-            for n in names
-        }
-        base = base.select(
-            "*",
-            *[
-                (
-                    F.col(f"__L_{n}")
-                    + F.coalesce(F.sum(tail[n]).over(previous), F.lit(0.0)) / F.col("__g")
-                ).alias(f"__E_{n}")
-                for n in names
-            ],
-        ).select(
+        in_block = over([*part, "__blk"], ["__j"])
+        base = base.selectExpr(
+            "*", *[f"coalesce(sum(__c * {c} * __g) {in_block}, 0D) / __g / {r!r}D AS __b_{n}" for n, c in named.items()]
+        )
+        previous = over(part, ["__blk"], "RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING")
+        tail = f"CASE WHEN __j % {rows} = {rows - 1} THEN __b_{{n}} * {r!r}D + __c * {{c}} END"
+        base = base.selectExpr(
             "*",
-            *[(F.col(f"__E_{n}") * r + F.col("__c") * F.col(f"__ix_{n}")).alias(f"__A_{n}") for n in names],
-        ).drop("__blk", "__jj", "__c", "__g", *[f"__L_{n}" for n in names])
+            *[f"__b_{n} + coalesce(sum({tail.format(n=n, c=c)}) {previous}, 0D) / __g AS __e_{n}" for n, c in named.items()],
+        )
+        if has_hot:
+            base = base.selectExpr("*", *[f"__e_{n} * {r!r}D + __c * {c} AS __a_{n}" for n, c in named.items()])
+        base = base.drop("__blk", "__c", "__g", *[f"__b_{n}" for n in named])
     if not has_hot:
-        first = j == 0
-        return base.select(
+        return base.selectExpr(
             "*",
-            j.alias("seq"),
-            *[F.when(~first, F.col(f"__ps_{n}")).alias(n) for n in sums],
-            *[F.when(~first, F.col(f"__E_{n}")).alias(n) for n in ewms],
-            *[F.col(f"__pm_{n}").alias(n) for n in latest],
+            "__j AS seq",
+            *[f"if(__j > 0, __t_{n}, NULL) AS {n}" for n in sums],
+            *[f"if(__j > 0, __e_{n}, NULL) AS {n}" for n in ewms],
+            *[f"__l_{n} AS {n}" for n in latest],
         )
-    carry = _carry(base, entity, sums, ewms, latest)
-    base = base.join(carry, part, "left")
-    seq = j + F.coalesce(F.col("__n0"), F.lit(0))
-    cols = [F.when(seq > 0, F.col(f"__ps_{n}") + F.coalesce(F.col(f"__cs_{n}"), F.lit(0.0))).alias(n) for n in sums]
-    for n, (_, h) in ewms.items():
-        faded = F.coalesce(F.col(f"__ce_{n}"), F.lit(0.0)) * F.pow(F.lit(2.0), -j / h)
-        cols.append(F.when(seq > 0, F.col(f"__E_{n}") + faded).alias(n))
-    cols += [F.greatest(F.col(f"__pm_{n}"), F.col(f"__cm_{n}")).alias(n) for n in latest]
-    return base.select("*", seq.alias("seq"), *cols)
+    base = base.join(_carry(base, entity, sums, ewms, latest), part, "left")
+    seq = "(__j + coalesce(__n0, 0L))"
+    return base.selectExpr(
+        "*",
+        f"{seq} AS seq",
+        *[f"if({seq} > 0, __t_{n} + coalesce(__t0_{n}, 0D), NULL) AS {n}" for n in sums],
+        *[
+            f"if({seq} > 0, __e_{n} + coalesce(__e0_{n}, 0D) * pow(2D, -__j / {h}D), NULL) AS {n}"
+            for n, (_, h) in ewms.items()
+        ],
+        *[f"greatest(__l_{n}, __l0_{n}) AS {n}" for n in latest],
+    )
 
 
 def _carry(base, entity, sums, ewms, latest):
-    """State at the start of each stretch of the hot entities."""
+    """State at the start of each stretch of the hot entities (at most one row per tick)."""
     ends = (
-        base.where(F.col("__width").isNotNull())
+        base.where("__width IS NOT NULL")
         .groupBy(*entity, "__seg")
         .agg(
-            F.count(F.lit(1)).alias("__n"),
-            *[F.sum(f"__is_{n}").alias(f"__T_{n}") for n in sums],
-            *[F.max(f"__im_{n}").alias(f"__TM_{n}") for n in latest],
-            *[F.max_by(f"__A_{n}", "__j").alias(f"__A_{n}") for n in ewms],
+            F.expr("count(1) AS __n"),
+            *[F.expr(f"sum({c}) AS __ts_{n}") for n, c in sums.items()],
+            *[F.expr(f"max(__d_{n}) AS __ls_{n}") for n in latest],
+            *[F.expr(f"max_by(__a_{n}, __j) AS __a_{n}") for n in ewms],
         )
     )
-    w = W.partitionBy(*entity).orderBy("__seg")
-    ends = ends.withColumn("__end", F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = ends.selectExpr("*", f"sum(__n) {over(entity, ['__seg'], 'ROWS UNBOUNDED PRECEDING')} AS __end")
     if ewms:
+        # a stretch further back than FULL_DECAY half-lives has faded to zero
         reach = int(FULL_DECAY * max(h for _, h in ewms.values()))
-        near = W.partitionBy(*entity).orderBy("__end").rangeBetween(-reach, 0)
-        item = F.struct("__end", *[f"__A_{n}" for n in ewms])
-        ends = ends.withColumn("__near", F.collect_list(item).over(near))
-
-        def at_end(n, h):
-            return F.aggregate(
-                "__near",
-                F.lit(0.0),
-                lambda acc, e: acc
-                + e[f"__A_{n}"] * F.pow(F.lit(2.0), (e["__end"] - F.col("__end")) / h),
-            )
-
-        ends = ends.select("*", *[at_end(n, h).alias(f"__Y_{n}") for n, (_, h) in ewms.items()])
-    before = w.rowsBetween(*EARLIER)
-    return ends.select(
+        near = over(entity, ["__end"], f"RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW")
+        item = ", ".join(["__end AS at", *[f"__a_{n} AS {n}" for n in ewms]])
+        ends = ends.selectExpr("*", f"collect_list(struct({item})) {near} AS __near")
+        ends = ends.selectExpr(
+            "*",
+            *[
+                f"aggregate(__near, 0D, (acc, s) -> acc + s.{n} * pow(2D, (s.at - __end) / {h}D)) AS __y_{n}"
+                for n, (_, h) in ewms.items()
+            ],
+        )
+    before = over(entity, ["__seg"])
+    return ends.selectExpr(
         *entity,
         "__seg",
-        (F.col("__end") - F.col("__n")).alias("__n0"),
-        *[F.sum(f"__T_{n}").over(before).alias(f"__cs_{n}") for n in sums],
-        *[F.lag(f"__Y_{n}").over(w).alias(f"__ce_{n}") for n in ewms],
-        *[F.max(f"__TM_{n}").over(before).alias(f"__cm_{n}") for n in latest],
+        "__end - __n AS __n0",
+        *[f"sum(__ts_{n}) {before} AS __t0_{n}" for n in sums],
+        *[f"lag(__y_{n}) {over(entity, ['__seg'], '')} AS __e0_{n}" for n in ewms],
+        *[f"max(__ls_{n}) {before} AS __l0_{n}" for n in latest],
     )
 
 
@@ -273,29 +257,29 @@ class Metric:
     k: float
     rate: bool = True
 
-    def numerator(self) -> Column:
-        v = zero_if_null(self.value)
-        return v * zero_if_null(self.weight) if self.rate else v
+    def numerator(self) -> str:
+        v = zero(self.value)
+        return f"{v} * {zero(self.weight)}" if self.rate else v
 
 
-def shrink(n: Column, k: float, value: Column, prior: Column) -> Column:
-    """N/(N+k) * value + k/(N+k) * prior; the prior alone while N is 0 or NULL."""
-    n = F.coalesce(n, F.lit(0.0))
-    return F.when(n > 0, n / (n + k) * value + k / (n + k) * prior).otherwise(prior)
+def shrink(n: str, k: float, value: str, prior: str) -> str:
+    """N/(N+k) * value + k/(N+k) * prior; the prior alone while N is 0 or NULL (SQL text)."""
+    k = f"{float(k)!r}D"
+    return f"CASE WHEN {n} > 0 THEN {n} / ({n} + {k}) * ({value}) + {k} / ({n} + {k}) * {prior} ELSE {prior} END"
 
 
 def rolling_rates(
     df: DataFrame,
     entity: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     metrics: Sequence[Metric],
     halflives: Sequence[float],
     *,
     prior_prefix: str = "prior_",
     keep: Sequence[str] | None = None,
     date: str | None = "game_date",
-    extra_sums: Mapping[str, Column] | None = None,
-    extra_ewms: Mapping[str, tuple[Column, float]] | None = None,
+    extra_sums: Mapping[str, str] | None = None,
+    extra_ewms: Mapping[str, tuple[str, float]] | None = None,
     **state_options,
 ) -> DataFrame:
     """``{m}_season`` and ``{m}_ewm_h{h}``, shrunk to the row's ``prior_{m}`` column.
@@ -304,24 +288,23 @@ def rolling_rates(
     """
     weights = sorted({m.weight for m in metrics})
     sums = {f"__n_{m.name}": m.numerator() for m in metrics}
-    sums |= {f"__w_{x}": zero_if_null(x) for x in weights}
+    sums |= {f"__w_{x}": x for x in weights}
     ewms = {f"__n_{m.name}_{h}": (m.numerator(), h) for m in metrics for h in halflives}
-    ewms |= {f"__w_{x}_{h}": (zero_if_null(x), h) for x in weights for h in halflives}
+    ewms |= {f"__w_{x}_{h}": (x, h) for x in weights for h in halflives}
     state = running_state(
         df, entity, order,
         sums={**sums, **(extra_sums or {})},
         ewms={**ewms, **(extra_ewms or {})},
-        latest={"last_app_date": F.col(date)} if date else None,
+        latest={"last_app_date": date} if date else None,
         **state_options,
     )
     out = []
     for m in metrics:
-        n, prior = F.col(f"__w_{m.weight}"), F.col(prior_prefix + m.name)
-        season = ratio(F.col(f"__n_{m.name}"), n)
-        out.append(shrink(n, m.k, season, prior).alias(f"{m.name}_season"))
+        n, prior = f"__w_{m.weight}", prior_prefix + m.name
+        out.append(f"{shrink(n, m.k, f'try_divide(__n_{m.name}, {n})', prior)} AS {m.name}_season")
         for h in halflives:
-            rate = ratio(F.col(f"__n_{m.name}_{h}"), F.col(f"__w_{m.weight}_{h}"))
-            out.append(shrink(n, m.k, rate, prior).alias(f"{m.name}_ewm_h{h}"))
+            rate = f"try_divide(__n_{m.name}_{h}, __w_{m.weight}_{h})"
+            out.append(f"{shrink(n, m.k, rate, prior)} AS {m.name}_ewm_h{h}")
     keep = list(keep) if keep is not None else df.columns
     tail = ["last_app_date"] if date else []
-    return state.select(*keep, "seq", *out, *(extra_sums or {}), *(extra_ewms or {}), *tail)
+    return state.selectExpr(*keep, "seq", *out, *(extra_sums or {}), *(extra_ewms or {}), *tail)

@@ -6,18 +6,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.functions.numeric import zero_if_null
-from tallyline.operators.history import Metric
+from tallyline.operators.history import Metric, zero
 
 
-def weighted_mean(value: Column | str, weight: Column | str) -> Column:
+def _mean_sql(value: str, weight: str, where: str | None = None) -> str:
+    v, w = zero(value), zero(weight)
+    rows = f" FILTER (WHERE {where})" if where else ""
+    total = f"sum({w}){rows}"
+    return f"try_divide(sum({v} * {w}){rows}, CASE WHEN {total} > 0 THEN {total} END)"
+
+
+def weighted_mean(value: str, weight: str) -> Column:
     """Sum v*w / sum w; a NULL value counts as 0 with its weight; NULL when the weight is not > 0."""
-    v, w = zero_if_null(value), zero_if_null(weight)
-    return F.try_divide(F.sum(v * w), F.when(F.sum(w) > 0, F.sum(w)))
+    return F.expr(_mean_sql(value, weight))
 
 
 def prior_columns(metrics: Sequence[Metric], prefix: str = "prior_") -> list[Column]:
-    return [weighted_mean(m.value, m.weight).alias(prefix + m.name) for m in metrics]
+    return [F.expr(f"{_mean_sql(m.value, m.weight)} AS {prefix}{m.name}") for m in metrics]
 
 
 def league_priors(df: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = (), prefix="prior_") -> DataFrame:
@@ -25,59 +30,47 @@ def league_priors(df: DataFrame, metrics: Sequence[Metric], by: Sequence[str] =
     return df.groupBy(*by).agg(*prior_columns(metrics, prefix))
 
 
-def entity_priors(
-    previous: DataFrame,
-    metrics: Sequence[Metric],
-    floors: Mapping[str, float],
-    entity: Sequence[str],
-    prefix: str = "own_",
-    population: Column | None = None,
-) -> DataFrame:
-    """Previous-season weighted mean per entity, kept where the weight reaches its floor.
-
-    ``population`` restricts the rows by a conditional aggregate, so several populations
-    share one scan and one exchange.
-    """
-    return previous.groupBy(*entity).agg(
-        *[_floored(m, floors, population).alias(prefix + m.name) for m in metrics]
-    )
+def _floored(m: Metric, floors: Mapping[str, float], name: str, where: str | None = None) -> Column:
+    v, w = zero(m.value), zero(m.weight)
+    rows = f" FILTER (WHERE {where})" if where else ""
+    total = f"sum({w}){rows}"
+    keep = f"CASE WHEN {total} >= {floors.get(m.weight, 0)} AND {total} <> 0 THEN {total} END"
+    return F.expr(f"try_divide(sum({v} * {w}){rows}, {keep}) AS {name}")
 
 
-def _floored(m: Metric, floors, population):
-    v, w = zero_if_null(m.value), zero_if_null(m.weight)
-    if population is not None:
-        v, w = F.when(population, v), F.when(population, w)
-    total = F.sum(w)
-    return F.try_divide(
-        F.sum(v * w), F.when((total >= floors.get(m.weight, 0)) & (total != 0), total)
-    )
+def entity_priors(
+    previous: DataFrame, metrics: Sequence[Metric], floors: Mapping[str, float], entity: Sequence[str], prefix: str = "own_"
+) -> DataFrame:
+    """Previous-season weighted mean per entity, kept where the weight reaches its floor."""
+    return previous.groupBy(*entity).agg(*[_floored(m, floors, prefix + m.name) for m in metrics])
 
 
 def role_priors(
-    previous: DataFrame,
-    metrics: Sequence[Metric],
-    floors: Mapping[str, float],
-    entity: Sequence[str],
-    role: Column,
+    previous: DataFrame, metrics: Sequence[Metric], floors: Mapping[str, float], entity: Sequence[str], role: str
 ) -> DataFrame:
-    """``own_`` (rows of the role) and ``any_`` (all rows) priors in a single aggregation."""
+    """``own_`` (rows of the role) and ``any_`` (all rows) priors in a single aggregation.
+
+    The role is a filter on the aggregates (SQL text), so both share one scan and exchange.
+    """
     return previous.groupBy(*entity).agg(
-        *[_floored(m, floors, role).alias("own_" + m.name) for m in metrics],
-        *[_floored(m, floors, None).alias("any_" + m.name) for m in metrics],
+        *[_floored(m, floors, "own_" + m.name, role) for m in metrics],
+        *[_floored(m, floors, "any_" + m.name) for m in metrics],
     )
 
 
-def role_or_all(previous: DataFrame, role: Column, metrics: Sequence[Metric], prefix="league_") -> DataFrame:
+def role_or_all(
+    previous: DataFrame, role: str, metrics: Sequence[Metric], by: Sequence[str] = (), prefix="league_"
+) -> DataFrame:
     """League means over the rows of a role; over everybody when the role has no row."""
-    has_role = F.max(F.when(role, 1)).isNotNull()
-    out = []
-    for m in metrics:
-        v, w = zero_if_null(m.value), zero_if_null(m.weight)
-        rv, rw = F.when(role, v), F.when(role, w)
-        of_role = F.try_divide(F.sum(rv * rw), F.when(F.sum(rw) > 0, F.sum(rw)))
-        of_all = F.try_divide(F.sum(v * w), F.when(F.sum(w) > 0, F.sum(w)))
-        out.append(F.when(has_role, of_role).otherwise(of_all).alias(prefix + m.name))
-    return previous.agg(*out)
+    return previous.groupBy(*by).agg(
+        *[
+            F.expr(
+                f"CASE WHEN count_if({role}) > 0 THEN {_mean_sql(m.value, m.weight, role)}"
+                f" ELSE {_mean_sql(m.value, m.weight)} END AS {prefix}{m.name}"
+            )
+            for m in metrics
+        ]
+    )
 
 
 def resolve_priors(
@@ -95,12 +88,11 @@ def resolve_priors(
     The league means come as one-row structs (``one_row``).
     """
     joined = df.join(own, list(entity), "left").withColumn("__prev", previous_league).withColumn("__cur", current_league)
-    tiers = {
-        m.name: F.coalesce(
-            *[F.col(p + m.name) for p in own_prefixes],
-            F.col("__prev")[f"league_{m.name}"],
-            F.col("__cur")[f"league_{m.name}"],
-        )
-        for m in metrics
-    }
-    return joined.select(*df.columns, *[c.alias(prefix + n) for n, c in tiers.items()])
+    own_tiers = lambda m: ", ".join(p + m.name for p in own_prefixes)
+    return joined.selectExpr(
+        *df.columns,
+        *[
+            f"coalesce({own_tiers(m)}, __prev.league_{m.name}, __cur.league_{m.name}) AS {prefix}{m.name}"
+            for m in metrics
+        ],
+    )

@@ -75,12 +75,10 @@ def fill_with_priors(df: DataFrame, priors: Mapping[str, Column], marker: str =
     return df.select(*[filled(c) for c in df.columns])
 
 
-def velocity_columns() -> tuple[Column, Column]:
-    """Usage-weighted velocity total and usage of three pitch types."""
-    kinds = ("fa", "fc", "si")
-    use = {k: F.coalesce(as_col(f"{k}_percent").try_cast("double"), F.lit(0.0)) for k in kinds}
-    total = sum((F.col(f"{k}_velo") * use[k] for k in kinds), F.lit(0.0))
-    return total, sum(use.values(), F.lit(0.0))
+def velocity_columns() -> tuple[str, str]:
+    """Usage-weighted velocity total and usage of three pitch types (SQL text)."""
+    use = {k: f"coalesce(try_cast({k}_percent as double), 0D)" for k in ("fa", "fc", "si")}
+    return " + ".join(f"{k}_velo * {u}" for k, u in use.items()), " + ".join(use.values())
 
 
 def velocity_trend(state: DataFrame, average: Column, default: float = 91.0) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.functions.numeric import ratio
 from tallyline.operators.history import Metric, measure, rolling_rates
 from tallyline.operators.metrics import TEAM_HALFLIVES, horizons
 from tallyline.operators.ordering import checked_broadcast
@@ -57,7 +56,7 @@ def team_form(
     priors = log.groupBy(season).agg(*prior_columns(metrics), *alpha)
     sums, ewms = {}, {}
     if pythagorean:
-        rs, ra, one = F.col("team_score"), F.col("opposing_team_score"), F.col("gp")
+        rs, ra, one = "team_score", "opposing_team_score", "gp"
         sums = {"__rs": rs, "__ra": ra}
         for h in halflives:
             ewms |= {f"__rs_{h}": (rs, h), f"__ra_{h}": (ra, h), f"__gp_{h}": (one, h)}
@@ -69,22 +68,19 @@ def team_form(
         extra_sums=sums, extra_ewms=ewms, size=size, **options,
     )
     if pythagorean:
-        out = out.select(*[c for c in out.columns], *_pythagorean(halflives)).drop(*sums, *ewms, "__alpha")
+        out = out.selectExpr("*", *_pythagorean(halflives)).drop(*sums, *ewms, "__alpha")
     return out.withColumnRenamed("seq", "team_gp")
 
 
-def _pythagorean(halflives):
-    def expectation(scored, allowed):
-        s = F.pow(scored + F.col("__alpha"), F.lit(GAMMA))
-        a = F.pow(allowed + F.col("__alpha"), F.lit(GAMMA))
-        return F.coalesce(F.try_divide(s, s + a), F.lit(0.5))
+def _pythagorean(halflives) -> list[str]:
+    def expectation(scored, allowed, name):
+        s, a = (f"pow({x} + __alpha, {GAMMA}D)" for x in (scored, allowed))
+        return f"coalesce(try_divide({s}, {s} + {a}), 0.5D) AS pyth_expectation_{name}"
 
-    out = [expectation(F.col("__rs"), F.col("__ra")).alias("pyth_expectation_season")]
+    out = [expectation("__rs", "__ra", "season")]
     for h in halflives:
-        w = F.col(f"__gp_{h}")
-        out.append(
-            expectation(ratio(F.col(f"__rs_{h}"), w), ratio(F.col(f"__ra_{h}"), w)).alias(f"pyth_expectation_ewm_h{h}")
-        )
+        rates = (f"try_divide(__{x}_{h}, __gp_{h})" for x in ("rs", "ra"))
+        out.append(expectation(*rates, f"ewm_h{h}"))
     return out
 
 

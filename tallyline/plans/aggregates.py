@@ -59,10 +59,10 @@ _IPF = {"ip": 12}
 def d3(v):
     log = v.player_game
     prev, cur = log.where("season = 1"), log.where("season = 2 AND gs = 1")
-    own = priors.role_priors(prev, _PITCH, _IPF, ["player_id"], F.col("gs") > 0)
+    own = priors.role_priors(prev, _PITCH, _IPF, ["player_id"], "gs > 0")
     out = priors.resolve_priors(
         cur.select("player_id", "game_date", "dh"), _PITCH, ["player_id"], own,
-        one_row(priors.role_or_all(prev, F.col("gs") > 0, _PITCH)),
+        one_row(priors.role_or_all(prev, "gs > 0", _PITCH)),
         one_row(priors.league_priors(cur, _PITCH, prefix="league_")), ("own_", "any_"),
     )
     return tidy(out)
@@ -77,7 +77,7 @@ def d3(v):
 def d4(v):
     """A role without rows falls back to the whole population."""
     prev = v.player_game.where("season = 1")
-    roles = {"starter": F.col("gs") > 0, "reliever": F.col("gs") == 0, "nobody": F.col("gs") > 9}
+    roles = {"starter": "gs > 0", "reliever": "gs = 0", "nobody": "gs > 9"}
     parts = [priors.role_or_all(prev, c, _PITCH).select(F.lit(n).alias("role"), "*") for n, c in roles.items()]
     return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
@@ -124,7 +124,7 @@ _REST = "coalesce(game_date - last_app_date, 4)"
 def d7(v):
     from tallyline.operators.history import running_state
 
-    log = running_state(v.player_game, ["player_id"], ["game_date", "dh"], latest={"last_app_date": F.col("game_date")})
+    log = running_state(v.player_game, ["player_id"], ["game_date", "dh"], latest={"last_app_date": "game_date"})
     return tidy(reserve.availability(log.where("gs = 0"), ["game_date", "team"], "gmli"))
 
 

@@ -59,7 +59,7 @@ def sql_rolling(view, entity, order, ms, hs, keep, prior, extra="", where=""):
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM @supplier_log s""",
 )
 def e1(v):
-    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, sums={"total": F.col("value")})
+    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, sums={"total": "value"})
     return out.select("entity", "game_date", "l_orderkey", "l_linenumber", "total")
 
 
@@ -70,8 +70,7 @@ def e1(v):
          WINDOW p AS (PARTITION BY entity ORDER BY game_date, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x""",
 )
 def e2(v):
-    vw, w = F.col("value") * F.col("weight"), F.col("weight")
-    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, sums={"a": vw, "n": w})
+    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, sums={"a": "value * weight", "n": "weight"})
     return tidy(out.select("entity", "game_date", "l_orderkey", "l_linenumber", ratio(F.col("a"), F.col("n")).alias("season_rate"), "n"), skip=("n",))
 
 
@@ -86,8 +85,7 @@ _A3 = 0.5 ** (1 / 3)
          WINDOW p AS (PARTITION BY entity ORDER BY game_date, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x""",
 )
 def e3(v):
-    vw, w = F.col("value") * F.col("weight"), F.col("weight")
-    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, ewms={"a": (vw, 3), "w": (w, 3)})
+    out = history.running_state(v.supplier_log, ["entity"], LOG_ORDER, ewms={"a": ("value * weight", 3), "w": ("weight", 3)})
     return tidy(out.select("entity", "game_date", "l_orderkey", "l_linenumber", ratio(F.col("a"), F.col("w")).alias("ewm_h3")))
 
 
@@ -97,7 +95,7 @@ def e3(v):
         FROM @player_game p""",
 )
 def e4(v):
-    return tidy(v.player_game.select("player_id", "game_date", "dh", history.shrink(F.col("bip").cast("double"), 70.0, F.col("woba"), F.lit(25.0)).alias("shrunk")))
+    return tidy(v.player_game.select("player_id", "game_date", "dh", F.expr(history.shrink("bip", 70.0, "woba", "25.0D")).alias("shrunk")))
 
 
 _LOG_METRICS = (Metric("value", "value", "weight", 50), Metric("total", "value", "weight", 20, rate=False))
@@ -118,7 +116,7 @@ def e5(v):
     "SELECT player_id, game_date, dh, lag(game_date) OVER (PARTITION BY player_id, season ORDER BY game_date, dh) AS last_app_date FROM @player_game p",
 )
 def e6(v):
-    out = history.running_state(v.player_game, ["player_id", "season"], PLAYER_ORDER, latest={"last_app_date": F.col("game_date")})
+    out = history.running_state(v.player_game, ["player_id", "season"], PLAYER_ORDER, latest={"last_app_date": "game_date"})
     return out.select("player_id", "game_date", "dh", "last_app_date")
 
 
@@ -257,7 +255,7 @@ def e16(v):
         sums={"__velo": total, "__usage": usage},
         ewms={f"__{n}_{h}": (c, h) for n, c in (("velo", total), ("usage", usage)) for h in (2, 6)},
     )
-    speed = ratio(total, usage)
+    speed = F.expr(f"try_divide({total}, {usage})")
     mean = log.agg(F.avg(F.when(speed > 0, speed))).scalar()
     out = reserve.velocity_trend(state, mean)
     return tidy(out.select("player_id", "game_date", "dh", "velo_season", "velo_short", "velo_long", "velo_diff"))

@@ -259,7 +259,7 @@ def c18(v):
     rows = sides.team_rows(v.games)
     out = history.running_state(
         rows, ["season", "team"], ["game_date", "dh", "game_datetime", "game_id"],
-        sums={"rd": F.col("team_score") - F.col("opposing_team_score"), "wins": F.col("is_winner")},
+        sums={"rd": "team_score - opposing_team_score", "wins": "is_winner"},
     )
     return out.groupBy("season", "team").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("seq").alias("sum_gp"),

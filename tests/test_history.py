@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tallyline.operators.history import HistorySize, Metric, measure, rolling_rates, running_state
 
@@ -38,10 +37,9 @@ def expected(log):
 
 def actual(spark, log, **options):
     df = spark.createDataFrame(log.astype(object).where(log.notna(), None), "entity string, day long, i long, v double, w double")
-    vw = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("w")
-    ewms = {f"x{h}": (vw, h) for h in HALFLIVES} | {f"y{h}": (F.col("w"), h) for h in HALFLIVES}
+    ewms = {f"x{h}": ("coalesce(v, 0) * w", h) for h in HALFLIVES} | {f"y{h}": ("w", h) for h in HALFLIVES}
     out = running_state(
-        df, ["entity"], ["day", "i"], sums={"s": F.col("v")}, ewms=ewms, latest={"last": F.col("day")}, clock=F.col("day"), **options
+        df, ["entity"], ["day", "i"], sums={"s": "v"}, ewms=ewms, latest={"last": "day"}, clock="day", **options
     )
     return out.toPandas().sort_values(["entity", "day", "i"]).reset_index(drop=True)
 
@@ -72,7 +70,7 @@ def test_segments_bound_the_rows_of_a_window(spark, log):
     from tallyline.operators.history import _hot_entities
 
     df = spark.createDataFrame(log[["entity", "day"]], "entity string, day long")
-    hot = _hot_entities(df, ["entity"], F.col("day"), 100).toPandas()
+    hot = _hot_entities(df, ["entity"], "day", 100).toPandas()
     assert list(hot["entity"]) == ["hot"]
     width, first = int(hot["__width"][0]), int(hot["__first"][0])
     rows = log[log.entity == "hot"]
@@ -92,7 +90,7 @@ def test_leakage_later_rows_do_not_matter(spark):
 
     def run(rows):
         df = spark.createDataFrame(rows, "entity string, day long, v double, w double, prior_v double")
-        out = rolling_rates(df, ["entity"], ["day"], metric, (2,), date=None, clock=F.col("day"))
+        out = rolling_rates(df, ["entity"], ["day"], metric, (2,), date=None, clock="day")
         return out.orderBy("day").select("v_season", "v_ewm_h2").collect()
 
     assert run(base)[:6] == run(changed)[:6]
@@ -102,7 +100,7 @@ def test_leakage_later_rows_do_not_matter(spark):
 def test_first_row_is_the_prior_and_zero_weight_keeps_it(spark):
     rows = [("p", 1, 5.0, 0.0, 7.0), ("p", 2, 4.0, 2.0, 7.0), ("p", 3, 1.0, 1.0, 7.0)]
     df = spark.createDataFrame(rows, "entity string, day long, v double, w double, prior_v double")
-    out = rolling_rates(df, ["entity"], ["day"], (Metric("v", "v", "w", 2),), (4,), date=None, clock=F.col("day"))
+    out = rolling_rates(df, ["entity"], ["day"], (Metric("v", "v", "w", 2),), (4,), date=None, clock="day")
     got = [tuple(r) for r in out.orderBy("day").select("v_season", "v_ewm_h4").collect()]
     assert got[0] == (7.0, 7.0) and got[1] == (7.0, 7.0)
     assert got[2] == pytest.approx((0.5 * 4 + 0.5 * 7, 0.5 * 4 + 0.5 * 7))
