@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 WARM_UP_BUCKETS = 10
 
@@ -26,22 +26,17 @@ def league_averages(
     per bucket, then per date; the running sums run over one row per date.
     """
     season = list(season)
-    per_bucket, per_date, full = [], [], []
+    per_bucket, per_date = [], []
     for s, (w, _) in stats.items():
-        v = F.col(s).cast("double")
-        weight = F.col(w).cast("double") if w in rows.columns else F.lit(1.0)
-        ok = v.isNotNull() & (weight > 0)
-        per_bucket += [
-            F.sum(F.when(ok, v * weight)).alias(f"num_{s}"),
-            F.sum(F.when(ok, weight)).alias(f"den_{s}"),
-        ]
-        per_date += [
-            F.sum(f"num_{s}").alias(f"num_{s}"),
-            F.sum(f"den_{s}").alias(f"den_{s}"),
-            F.count(f"den_{s}").alias(f"cnt_{s}"),
-        ]
+        weight = f"cast({w} as double)" if w in rows.columns else "1D"
+        ok = f"FILTER (WHERE {s} IS NOT NULL AND {weight} > 0)"
+        per_bucket += [f"sum({s} * {weight}) {ok} AS num_{s}", f"sum({weight}) {ok} AS den_{s}"]
+        per_date += [f"sum(num_{s}) AS num_{s}", f"sum(den_{s}) AS den_{s}", f"count(den_{s}) AS cnt_{s}"]
     group = list(dict.fromkeys([*season, date, *[c for c in bucket if c in rows.columns]]))
-    by_date = rows.groupBy(*group).agg(*per_bucket).groupBy(*season, date).agg(*per_date)
+    by_date = (
+        rows.groupBy(*group).agg(*[F.expr(t) for t in per_bucket])
+        .groupBy(*season, date).agg(*[F.expr(t) for t in per_date])
+    )
     # wanted dates join the time line as rows of their own, so dates without games work too
     line = by_date.withColumn("__wanted", F.lit(0)).unionByName(
         dates.select(*season, date).distinct().withColumn("__wanted", F.lit(1)), allowMissingColumns=True
@@ -50,23 +45,22 @@ def league_averages(
         F.max("__wanted").alias("__wanted"),
         *[F.sum(c).alias(c) for c in by_date.columns if c not in (*season, date)],
     )
-    part = W.partitionBy(*season) if season else W.partitionBy()
-    before = part.orderBy(date).rowsBetween(W.unboundedPreceding, -1)
-    whole = part
-    out = []
-    for s in stats:
-        n, d = F.col(f"num_{s}"), F.col(f"den_{s}")
-        past = F.try_divide(F.sum(n).over(before), F.sum(d).over(before))
-        season_mean = F.try_divide(F.sum(n).over(whole), F.sum(d).over(whole))
-        seen = F.coalesce(F.sum(f"cnt_{s}").over(before), F.lit(0))
-        out.append(F.when(seen < min_buckets, season_mean).otherwise(past).alias(prefix + s))
-    return line.select(*season, date, "__wanted", *out).where(F.col("__wanted") == 1).drop("__wanted")
+    part = f"PARTITION BY {', '.join(season)} " if season else ""
+    before = f"OVER ({part}ORDER BY {date} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER ({part})"
+    out = [
+        f"CASE WHEN coalesce(sum(cnt_{s}) {before}, 0) < {min_buckets}"
+        f" THEN try_divide(sum(num_{s}) {whole}, sum(den_{s}) {whole})"
+        f" ELSE try_divide(sum(num_{s}) {before}, sum(den_{s}) {before}) END AS {prefix}{s}"
+        for s in stats
+    ]
+    return line.selectExpr(*season, date, "__wanted", *out).where("__wanted = 1").drop("__wanted")
 
 
 def relative_columns(
     columns: Sequence[str], stats: Mapping[str, tuple[str, str]], role: str = "", sides=("home_", "away_"), prefix: str = "avg_"
-) -> dict[str, Column]:
-    """Replacement expressions: x - average where higher is better, average - x where lower is.
+) -> dict[str, str]:
+    """Replacement texts: x - average where higher is better, average - x where lower is.
 
     Applies to columns starting with side + role + stat + '_'. A NULL average (no league
     rows at all) leaves the column as it is.
@@ -74,11 +68,11 @@ def relative_columns(
     out = {}
     for s, (_, direction) in stats.items():
         starts = tuple(f"{side}{role}{s}_" for side in sides)
+        avg = prefix + s
         for c in columns:
             if c.startswith(starts):
-                avg, x = F.col(prefix + s), F.col(c)
-                delta = avg - x if direction == "lower" else x - avg
-                out[c] = F.when(avg.isNull(), x).otherwise(delta)
+                delta = f"{avg} - {c}" if direction == "lower" else f"{c} - {avg}"
+                out[c] = f"if({avg} IS NULL, {c}, {delta})"
     return out
 
 
@@ -86,4 +80,4 @@ def apply_league_deltas(features: DataFrame, averages: DataFrame, stats, role=""
     """Features relative to the as-of league average (at most one row per date is joined)."""
     changed = relative_columns(features.columns, stats, role, sides)
     joined = features.join(averages, list(on), "left")
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in features.columns])
+    return joined.selectExpr(*[f"{changed[c]} AS {c}" if c in changed else c for c in features.columns])

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyline.operators.ordering import checked_broadcast
 from tallyline.operators.sides import GAME_KEY
 
 SLOTS = tuple(range(1, 10))
 STARTER_EXCLUDED = ("_id", "player_id", "name", "last_app_date")
 
 
-def lineup_players(games: DataFrame, lineups: DataFrame, stats: DataFrame, stat_cols: Sequence[str]) -> DataFrame:
+def lineup_players(
+    games: DataFrame, lineups: DataFrame, stats: DataFrame, stat_cols: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per game, side and line-up player with the player's stats of that game.
 
     A game without a line-up keeps one row per side with NULLs. Both sides go through one
@@ -22,6 +23,7 @@ def lineup_players(games: DataFrame, lineups: DataFrame, stats: DataFrame, stat_
     """
     sides = games.select(
         *GAME_KEY,
+        *keep,
         F.inline(
             F.array(
                 F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team"), F.col("home_team").alias("opposing_team")),
@@ -33,14 +35,23 @@ def lineup_players(games: DataFrame, lineups: DataFrame, stats: DataFrame, stat_
     return sides.join(players, ["game_date", "dh", "team", "opposing_team"], "left")
 
 
-def side_means(rows: DataFrame, stat_cols: Sequence[str], medians: Column) -> DataFrame:
-    """Mean per game and side; a player's missing stat counts as the league median."""
-    aggs = []
-    for side in ("away", "home"):
-        for c in stat_cols:
-            value = F.coalesce(F.col(c), F.col("__medians")[c])
-            aggs.append(F.avg(F.when(F.col("side") == side, value)).alias(f"{side}_{c}"))
-    return rows.withColumn("__medians", medians).groupBy(*GAME_KEY).agg(*aggs)
+def side_means(rows: DataFrame, stat_cols: Sequence[str], medians: Column | DataFrame) -> DataFrame:
+    """Mean per game and side; a player's missing stat counts as the league median.
+
+    ``medians`` is a struct column, or a table with one row per season.
+    """
+    if isinstance(medians, DataFrame):
+        table = medians.select("season", F.struct(*stat_cols).alias("__medians"))
+        rows = rows.join(checked_broadcast(table), "season", "left")
+    else:
+        rows = rows.withColumn("__medians", medians)
+    return rows.groupBy(*GAME_KEY).agg(
+        *[
+            F.expr(f"avg(coalesce({c}, __medians.{c})) FILTER (WHERE side = '{side}') AS {side}_{c}")
+            for side in ("away", "home")
+            for c in stat_cols
+        ]
+    )
 
 
 def slot_vectors(rows: DataFrame, stat_cols: Sequence[str], order: Sequence[str] = ("player_id",)) -> DataFrame:
@@ -50,20 +61,19 @@ def slot_vectors(rows: DataFrame, stat_cols: Sequence[str], order: Sequence[str]
     has to be collected.
     """
     cells = [(side, slot) for side in ("away", "home") for slot in SLOTS]
-    row = F.struct(*stat_cols)
-    key = F.struct(*order)
-    aggs = [
-        F.min_by(F.when(F.col("player_id").isNotNull(), row), F.when((F.col("side") == s) & (F.col("batting_order") == n), key)).alias(f"__{s}_{n}")
-        for s, n in cells
-    ]
-    wide = rows.groupBy(*GAME_KEY).agg(*aggs)
+    row, key = (f"struct({', '.join(names)})" for names in (stat_cols, order))
+    wide = rows.groupBy(*GAME_KEY).agg(
+        *[
+            F.expr(f"min_by({row}, {key}) FILTER (WHERE player_id IS NOT NULL AND side = '{s}' AND batting_order = {n}) AS __{s}_{n}")
+            for s, n in cells
+        ]
+    )
     out = []
     for s, n in cells:
-        cell = F.col(f"__{s}_{n}")
-        absent = reduce(and_, [cell[c].isNull() for c in stat_cols])
-        out += [cell[c].alias(f"{s}_batter_{n}_{c}") for c in stat_cols]
-        out.append(absent.alias(f"{s}_batter_{n}_is_missing_player"))
-    return wide.select(*GAME_KEY, *out)
+        cell, name = f"__{s}_{n}", f"{s}_batter_{n}"
+        out += [f"{cell}.{c} AS {name}_{c}" for c in stat_cols]
+        out.append(" AND ".join(f"{cell}.{c} IS NULL" for c in stat_cols) + f" AS {name}_is_missing_player")
+    return wide.selectExpr(*GAME_KEY, *out)
 
 
 def starter_stat_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -78,25 +88,20 @@ def starter_vectors(wide: DataFrame) -> DataFrame:
     """home_starter_* / away_starter_* columns renamed to vectors with a missing flag."""
     out = []
     for side in ("away", "home"):
-        prefix = f"{side}_starter_"
+        prefix, name = f"{side}_starter_", f"{side}_starter_vec"
         cols = starter_stat_columns(wide, prefix)
-        out += [F.col(c).alias(f"{side}_starter_vec_{c.removeprefix(prefix)}") for c in cols]
-        missing = reduce(and_, [F.col(c).isNull() for c in cols])
-        out.append(missing.alias(f"{side}_starter_vec_is_missing_starter"))
-    return wide.select(*GAME_KEY, *out)
+        out += [f"{c} AS {name}_{c.removeprefix(prefix)}" for c in cols]
+        out.append(" AND ".join(f"{c} IS NULL" for c in cols) + f" AS {name}_is_missing_starter")
+    return wide.selectExpr(*GAME_KEY, *out)
 
 
 def align_vectors(table: DataFrame, vectors: DataFrame, keys: Sequence[str], focal: str = "focal_is_home") -> DataFrame:
     """The vector row of every table row; sides are exchanged on away-focal rows."""
     cols = [c for c in vectors.columns if c not in keys]
     have = set(cols)
-    joined = table.select(*keys, focal).join(vectors, list(keys), "left")
     out = []
     for c in cols:
         side, _, rest = c.partition("_")
         other = {"home": f"away_{rest}", "away": f"home_{rest}"}.get(side)
-        if other in have:
-            out.append(F.when(F.col(focal).cast("boolean"), F.col(c)).otherwise(F.col(other)).alias(c))
-        else:
-            out.append(F.col(c))
-    return joined.select(*keys, focal, *out)
+        out.append(f"if(cast({focal} as boolean), {c}, {other}) AS {c}" if other in have else c)
+    return table.select(*keys, focal).join(vectors, list(keys), "left").selectExpr(*keys, focal, *out)

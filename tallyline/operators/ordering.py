@@ -113,13 +113,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], default: float | None = None) -> DataFrame:
-    """One row: the exact median of every column (``default`` where a column is all NULL)."""
-    q = exact_quantiles(df, columns, [0.5])
-    picks = [F.max(F.when(F.col("name") == c, F.get("q", F.lit(0)))) for c in columns]
-    if default is not None:
-        picks = [F.coalesce(p, F.lit(float(default))) for p in picks]
-    return q.agg(*[p.alias(c) for p, c in zip(picks, columns)])
+def exact_medians(df: DataFrame, columns: Sequence[str], default: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``keys``): the exact median of every column, ``default`` where all NULL."""
+    q = exact_quantiles(df, columns, [0.5], keys)
+    fallback = f", {float(default)}D" if default is not None else ""
+    return q.groupBy(*keys).agg(
+        *[F.expr(f"coalesce(max(CASE WHEN name = '{c}' THEN get(q, 0) END){fallback}) AS {c}") for c in columns]
+    )
 
 
 def row_positions(df: DataFrame, tick: str, order: Sequence[Column | str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import one_row
 from tallyline.operators.metrics import BATTING
@@ -89,17 +89,17 @@ def drop_market_extras(df: DataFrame, market_only: bool = False) -> DataFrame:
 
 def null_audit(df: DataFrame, by: str = "split") -> DataFrame:
     """Rows and rows with any NULL, per split, in one pass."""
-    any_null = F.greatest(*[F.col(c).isNull().cast("int") for c in df.columns if c != by], F.lit(0))
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(any_null).alias("n_null_rows"))
+    any_null = " OR ".join(f"{c} IS NULL" for c in df.columns if c != by)
+    return df.groupBy(by).agg(F.expr("count(1) AS n_rows"), F.expr(f"count_if({any_null}) AS n_null_rows"))
 
 
 def typed_partition(df: DataFrame, keys: Sequence[str] = (), market: Sequence[str] = ("p_open_home_median_nv",)) -> DataFrame:
     """Numeric columns, booleans as 0/1, market probability as it is; everything else goes."""
     types = [(c, t) for c, t in df.dtypes if c not in keys]
-    numeric = [F.col(c) for c, t in types if t in NUMERIC_TYPES and c not in market]
-    flags = [F.col(c).cast("int").alias(c) for c, t in types if t == "boolean"]
-    passed = [F.col(c) for c, _ in types if c in market]
-    return df.select(*keys, *numeric, *flags, *passed)
+    numeric = [c for c, t in types if t in NUMERIC_TYPES and c not in market]
+    flags = [f"cast({c} as int) AS {c}" for c, t in types if t == "boolean"]
+    passed = [c for c, _ in types if c in market]
+    return df.selectExpr(*keys, *numeric, *flags, *passed)
 
 
 def probability_audit(df: DataFrame, p: str, by: str = "split") -> DataFrame:
@@ -119,25 +119,25 @@ def require_probabilities(df: DataFrame, p: str, by: str = "split") -> DataFrame
     return df
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+def fit_scaler(df: DataFrame, columns: Sequence[str], train: str) -> DataFrame:
     """One row: mean_ and std_ (population, 0 -> 1) of each column over the training rows."""
-    aggs = []
-    for c in columns:
-        x = F.when(train, F.col(c).cast("double"))
-        sd = F.stddev_pop(x)
-        aggs += [F.avg(x).alias(f"mean_{c}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"std_{c}")]
-    return df.agg(*aggs)
+    rows = f"FILTER (WHERE {train})"
+    return df.agg(
+        *[F.expr(f"avg({c}) {rows} AS mean_{c}") for c in columns],
+        *[F.expr(f"coalesce(nullif(stddev_pop({c}) {rows}, 0D), 1D) AS std_{c}") for c in columns],
+    )
 
 
-def standardize(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+def standardize(df: DataFrame, columns: Sequence[str], train: str) -> DataFrame:
+    """Scale by the training rows (``train`` is a SQL condition)."""
     fit = one_row(fit_scaler(df, columns, train))
-    scaled = {c: (F.col(c) - F.col("__fit")[f"mean_{c}"]) / F.col("__fit")[f"std_{c}"] for c in columns}
-    return df.withColumn("__fit", fit).select(
-        *[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns]
+    scaled = set(columns)
+    return df.withColumn("__fit", fit).selectExpr(
+        *[f"({c} - __fit.mean_{c}) / __fit.std_{c} AS {c}" if c in scaled else c for c in df.columns]
     )
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str], train: Column, indicators: Sequence[str] = ()) -> DataFrame:
+def impute_medians(df: DataFrame, columns: Sequence[str], train: str, indicators: Sequence[str] = ()) -> DataFrame:
     """NULLs take the exact training median (0 when all NULL); missing indicators count as 1."""
     medians = one_row(exact_medians(df.where(train), columns, default=0.0))
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col("__med")[c]) for c in columns}

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.operators.history import Metric, zero
+from tallyline.operators.ordering import checked_broadcast
 
 
 def _mean_sql(value: str, weight: str, where: str | None = None) -> str:
@@ -96,3 +97,35 @@ def resolve_priors(
             for m in metrics
         ],
     )
+
+
+def season_league(log: DataFrame, population: DataFrame, metrics: Sequence[Metric], role: str = "true") -> DataFrame:
+    """One row per season of ``log``: the league mean of the season before (role rows of
+    ``population``), else of the season itself."""
+    names = [m.name for m in metrics]
+    before = role_or_all(population, role, metrics, ["season"], "prev_").withColumn("season", F.col("season") + 1)
+    now = league_priors(log, metrics, ["season"], "now_")
+    return now.join(before, "season", "left").selectExpr(
+        "season", *[f"coalesce(prev_{n}, now_{n}) AS league_{n}" for n in names]
+    )
+
+
+def with_season_priors(
+    log: DataFrame,
+    population: DataFrame,
+    metrics: Sequence[Metric],
+    floors: Mapping[str, float],
+    entity: str = "player_id",
+    role: str = "true",
+) -> DataFrame:
+    """``prior_{m}`` for several seasons at once: every season looks at the one before it.
+
+    Own rate in the role -> own rate in any role -> league. The join on (entity, season) has
+    one row per player and season on the right; the league table one row per season.
+    """
+    own = role_priors(population, metrics, floors, [entity, "season"], role).withColumn("season", F.col("season") + 1)
+    league = checked_broadcast(season_league(log, population, metrics, role))
+    joined = log.join(own, [entity, "season"], "left").join(league, "season")
+    return joined.selectExpr(
+        *log.columns, *[f"coalesce(own_{m.name}, any_{m.name}, league_{m.name}) AS prior_{m.name}" for m in metrics]
+    )

@@ -65,14 +65,15 @@ def availability(
     )
 
 
-def fill_with_priors(df: DataFrame, priors: Mapping[str, Column], marker: str = "pen_") -> DataFrame:
-    """NULLs of every column whose name contains ``pen_{metric}`` take that metric's prior."""
+def fill_with_priors(df: DataFrame, priors: Mapping[str, str], marker: str = "pen_") -> DataFrame:
+    """NULLs of every column whose name contains ``pen_{metric}`` take that metric's prior
+    (SQL text: a column or a number)."""
 
     def filled(c):
         used = [p for m, p in priors.items() if f"{marker}{m}" in c]
-        return F.coalesce(F.col(c), *used).alias(c) if used else F.col(c)
+        return f"coalesce({c}, {', '.join(used)}) AS {c}" if used else c
 
-    return df.select(*[filled(c) for c in df.columns])
+    return df.selectExpr(*[filled(c) for c in df.columns])
 
 
 def velocity_columns() -> tuple[str, str]:

@@ -138,8 +138,8 @@ def d8(v):
         "player_id", "game_date", "dh", F.col("ops").alias("team_pen_ops_season"), F.col("wpa_li").alias("team_pen_wpa_li_ewm_h3"),
         F.when(F.col("gs") == 0, F.col("fip")).alias("starter_fip"),
     )
-    league_ops = v.player_game.agg(priors.weighted_mean("ops", "pa")).scalar()
-    return tidy(reserve.fill_with_priors(df, {"ops": league_ops, "wpa_li": F.lit(1.5)}))
+    df = df.withColumn("league_ops", v.player_game.agg(priors.weighted_mean("ops", "pa")).scalar())
+    return tidy(reserve.fill_with_priors(df, {"ops": "league_ops", "wpa_li": "1.5D"}).drop("league_ops"))
 
 
 @query(
@@ -289,7 +289,7 @@ _SC = ("home_score", "venue_id", "p_m2")
     + f", {r('p_mkt')} AS p_mkt FROM @pred_wide p, f",
 )
 def d17(v):
-    out = prepare.standardize(v.pred_wide.select("game_id", "split", *_SC, "p_mkt"), _SC, F.col("split") == "train")
+    out = prepare.standardize(v.pred_wide.select("game_id", "split", *_SC, "p_mkt"), _SC, "split = 'train'")
     return tidy(out)
 
 
@@ -305,7 +305,7 @@ def d18(v):
     b = F.when(F.col("home_score") != 3, F.col("home_score").cast("double"))
     miss = F.when(F.col("venue_id") % 7 != 0, F.when(F.col("home_score") == 3, 1).otherwise(0))
     df = v.pred_wide.select("game_id", "split", a.alias("a"), b.alias("b"), miss.alias("miss"))
-    return tidy(prepare.impute_medians(df, ["a", "b"], F.col("split") == "train", ["miss"]))
+    return tidy(prepare.impute_medians(df, ["a", "b"], "split = 'train'", ["miss"]))
 
 
 _CP = "greatest(least(p, 1 - 1e-6), 1e-6)"

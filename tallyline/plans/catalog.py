@@ -1,4 +1,4 @@
 """All registered queries, family by family."""
 
-from tallyline.plans import aggregates, expressions, histories, joins, learning, scans  # noqa: F401
+from tallyline.plans import aggregates, club, expressions, histories, joins, learning, scans  # noqa: F401
 from tallyline.plans.registry import ORACLES, QUERIES  # noqa: F401

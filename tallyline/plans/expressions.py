@@ -246,7 +246,7 @@ _SAME = ", ".join(f"{_diff(m, m, h, h)} AS home_away_{m}_{h}_diff" for m in ("wi
 
 @query("b18_same_metric_diffs", f"SELECT game_id, {_SAME} FROM @games g")
 def b18(v):
-    return wide_sides(v).select("game_id", *sides.same_metric_diffs(["win_pct", "run_diff"], ["season", "ewm_h3"]))
+    return wide_sides(v).selectExpr("game_id", *sides.same_metric_diffs(["win_pct", "run_diff"], ["season", "ewm_h3"]))
 
 
 _CROSS = ", ".join(
@@ -256,7 +256,7 @@ _CROSS = ", ".join(
 
 @query("b19_cross_metric_diffs", f"SELECT game_id, {_CROSS} FROM @games g")
 def b19(v):
-    return wide_sides(v).select("game_id", *sides.cross_metric_diffs([("starter_fip", "woba")], ["season", "ewm_h3"], ["season", "ewm_h4"]))
+    return wide_sides(v).selectExpr("game_id", *sides.cross_metric_diffs([("starter_fip", "woba")], ["season", "ewm_h3"], ["season", "ewm_h4"]))
 
 
 def _all_diffs(flip=False):
@@ -281,7 +281,7 @@ def b21(v):
 )
 def b22(v):
     df = wide_sides(v)
-    return df.select(*sides.swapped_sides(df.columns)).select("game_id", "home_team", "away_team", "home_woba_season", "away_woba_season", "homegrown_metric")
+    return df.selectExpr(*sides.swapped_sides(df.columns)).select("game_id", "home_team", "away_team", "home_woba_season", "away_woba_season", "homegrown_metric")
 
 
 @query("b23_expected_value", f"SELECT game_id, {r('p_m1 / p_mkt - 1')} AS ev FROM @pred_wide p")

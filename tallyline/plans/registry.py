@@ -41,15 +41,16 @@ def half_up(c, digits: int = 6):
 
 def tidy(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:
     """Doubles rounded half up, integers as bigint: stable values for the comparison."""
+    scale = float(10**digits)
 
     def col(c, t):
         if t == "double" and c not in skip:
-            return half_up(c, digits).alias(c)
+            return f"floor({c} * {scale}D + {TIE}D) / {scale}D AS {c}"
         if t in ("int", "smallint", "tinyint", "boolean"):
-            return F.col(c).cast("long" if t != "boolean" else "int").cast("long").alias(c)
-        return F.col(c)
+            return f"cast({c} as bigint) AS {c}"
+        return c
 
-    return df.select(*[col(c, t) for c, t in df.dtypes])
+    return df.selectExpr(*[col(c, t) for c, t in df.dtypes])
 
 
 def r(expr: str, digits: int = 6) -> str:
