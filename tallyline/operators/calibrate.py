@@ -46,12 +46,12 @@ def grid_losses(rows: DataFrame, cells: Sequence[tuple[float, float]]) -> DataFr
                 m = z + a * r + b
                 total += (np.logaddexp(0.0, m) - y * m).sum(axis=0)
                 n += len(part)
-        yield pd.DataFrame({"cell": np.arange(len(a)), "loss": total, "n": n})
+        yield pd.DataFrame({"cell": np.arange(len(a)), "a": a, "b": b, "loss": total, "n": n})
 
-    sums = rows.mapInPandas(partial, "cell long, loss double, n long")
-    means = sums.groupBy("cell").agg(F.try_divide(F.sum("loss"), F.sum("n").cast("double")).alias("log_loss"))
-    lookup = lambda xs: F.get(F.array(*[F.lit(float(x)) for x in xs]), F.col("cell").cast("int"))
-    return means.select("cell", lookup(a).alias("a"), lookup(b).alias("b"), "log_loss")
+    sums = rows.mapInPandas(partial, "cell long, a double, b double, loss double, n long")
+    return sums.groupBy("cell", "a", "b").agg(
+        F.try_divide(F.sum("loss"), F.sum("n").cast("double")).alias("log_loss")
+    )
 
 
 def platt_grid(df: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def fit_isotonic(df: DataFrame, y="y", p="p") -> dict:
 
 def interpolate(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     """Piecewise linear between the thresholds, constant outside (a model's own short table)."""
-    ax, ay = (F.array(*[F.lit(float(v)) for v in vs]) for vs in (xs, ys))
+    ax, ay = (F.expr(f"array({', '.join(f'{float(v)!r}D' for v in vs)})") for vs in (xs, ys))
     i = F.size(F.filter(ax, lambda t: t <= x))  # 0 .. n
     x0, y0 = F.get(ax, i - 1), F.get(ay, i - 1)
     x1, y1 = F.get(ax, i), F.get(ay, i)

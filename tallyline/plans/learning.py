@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.market import MARKET_PROBABILITY, add_market_probabilities
 from tallyline.operators import backtest, calibrate, models, prepare
 from tallyline.plans.registry import query, r, tidy
-from tallyline.session import scratch_path
+from tallyline.session import pin, scratch_path
 
 _CUT = """(SELECT game_date FROM (SELECT game_date, row_number() OVER (ORDER BY game_date, game_id) - 1 AS i, count(*) OVER () AS n FROM @games g
     WHERE season = (SELECT max(season) FROM @games g2)) x WHERE i = n // 2)"""
@@ -174,7 +174,7 @@ def h13(v):
 
 @query("h14_grid_search")
 def h14(v):
-    folded = prepare.expanding_folds(model_frame(v), "game_date", ["game_id"])
+    folded = pin(prepare.expanding_folds(model_frame(v), "game_date", ["game_id"]), "folds")
     return tidy(models.best_parameters(models.grid_search(folded, FEATURES, (0.0, 0.1))))
 
 
