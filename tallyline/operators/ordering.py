@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyline.functions.numeric import as_col
+from tallyline.functions.numeric import one_row
 
 KNOTS = 64
 SUB_BUCKETS = 4096
 MAX_BROADCAST_ROWS = 10_000
+RANGES = 1024
 
 
 def checked_broadcast(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -122,23 +123,33 @@ def exact_medians(df: DataFrame, columns: Sequence[str], default: float | None =
     )
 
 
-def row_positions(df: DataFrame, tick: str, order: Sequence[Column | str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def row_positions(df: DataFrame, tick: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """0-based position of every row in the total order (tick, *order) within ``keys``.
 
-    ``tick`` is a coarse leading key (a date): counts per tick are accumulated (one row per
-    tick), and only the rows of one tick meet in one window.
+    ``tick`` is a coarse leading key (a date). Counts per tick are accumulated, and only the
+    rows of one tick meet in one window; where the next order column is a number, a tick is cut
+    further into equal ranges of it, so that a busy tick is spread as well.
     """
     keys = list(keys)
     group = [*keys, tick]
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    over = W.partitionBy(*keys).orderBy(tick) if keys else W.orderBy(tick)
-    starts = counts.select(
+    cut = df
+    if dict(df.dtypes)[order[0]] in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+        span = one_row(df.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi")))
+        cut = df.withColumn("__span", span).selectExpr(
+            *df.columns,
+            f"coalesce(cast(floor(try_divide(cast({order[0]} as double) - __span.lo, __span.hi - __span.lo) * {RANGES - 1}) as int), 0) AS __range",
+        )
+        group.append("__range")
+    counts = cut.groupBy(*group).agg(F.expr("count(1) AS __n"))
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    lead = ", ".join(group[len(keys):])
+    starts = counts.selectExpr(
         *group,
-        F.coalesce(F.sum("__n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"),
+        f"coalesce(sum(__n) OVER ({part}ORDER BY {lead} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __start",
     )
-    inside = W.partitionBy(*group).orderBy(*[as_col(c) for c in order])
+    inside = f"OVER (PARTITION BY {', '.join(group)} ORDER BY {', '.join(order)})"
     return (
-        df.withColumn("__r", F.row_number().over(inside) - 1)
+        cut.selectExpr("*", f"row_number() {inside} - 1 AS __r")
         .join(starts, group)
-        .select(*df.columns, (F.col("__start") + F.col("__r")).alias(name))
+        .selectExpr(*df.columns, f"__start + __r AS {name}")
     )

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # split a hot join key even when that costs one more exchange further down
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # medians per game: keep hashing beyond the default of 128 groups before sorting instead
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # a join on (entity, segment) may reuse an exchange on (entity, segment) made by a window
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
