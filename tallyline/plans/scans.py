@@ -84,10 +84,10 @@ def a8(v):
 @query(
     "a9_quote_lookup",
     """SELECT game_date, home_team, away_team, sportsbook, quote_id, home_opening_odds, away_opening_odds FROM @quotes q
-       WHERE game_date = DATE '1996-07-04' AND home_team = 12 AND away_team = 20""",
+       WHERE game_date = DATE '1998-09-18' AND home_team = 9 AND away_team = 11""",
 )
 def a9(v):
-    return tables.quote_lookup(v.quotes, "1996-07-04", 20, 12).select(
+    return tables.quote_lookup(v.quotes, "1998-09-18", 11, 9).select(
         "game_date", "home_team", "away_team", "sportsbook", "quote_id", "home_opening_odds", "away_opening_odds"
     )
 
