@@ -17,7 +17,7 @@ RANGES = 1024
 def checked_broadcast(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast a table that must be small; the job fails if it has more than ``limit`` rows."""
     n = F.count(F.lit(1)).over(W.partitionBy())
-    failed = F.when(n > limit, F.raise_error(F.lit(f"more than {limit} rows to broadcast")))
+    failed = F.when(n > limit, F.raise_error(F.lit(f"more than {limit} rows to broadcast: group the data by fewer keys, or use many_groups")))
     return F.broadcast(
         table.withColumn("__too_many", failed.cast("string")).where(F.col("__too_many").isNull()).drop("__too_many")
     )
@@ -67,11 +67,15 @@ def ordered_cumsum(values: DataFrame, keys: Sequence[str], value: str, cols: Seq
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), many_groups: bool = False
+) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (keys, ``name``) with an array ``q``.
 
     Columns are unpivoted, equal values are counted before any exchange, and the order is
-    accumulated by ``ordered_cumsum``; only the rows around the wanted ranks survive.
+    accumulated by ``ordered_cumsum``; only the rows around the wanted ranks survive. That way
+    serves up to MAX_BROADCAST_ROWS groups of any size; with ``many_groups`` the built-in
+    percentile per group serves any number of groups that each fit a task.
     """
     keys = list(keys)
     long = df.select(
@@ -81,6 +85,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         ).alias("e"),
     ).select(*keys, "e.name", "e.value").where(F.col("value").isNotNull())
     group = [*keys, "name"]
+    if many_groups:
+        return long.groupBy(*group).agg(F.percentile("value", [float(p) for p in probs]).alias("q"))
     counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = ordered_cumsum(counts, group, "value", ["n"])
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("total"))

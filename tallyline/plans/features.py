@@ -158,7 +158,7 @@ def bullpen_members(tables, matchups: DataFrame) -> DataFrame:
 
 def context_block(schedule: DataFrame, parks: DataFrame) -> DataFrame:
     parks = parks.select("venue_id", F.col("season").cast("int").alias("season"), F.col("park_factor").alias("__park"))
-    return schedule.join(checked_broadcast(parks), ["venue_id", "season"], "left").select(
+    return schedule.join(parks, ["venue_id", "season"], "left").select(
         *KEY,
         F.coalesce("__park", F.lit(100)).alias("park_factor"),
         "venue_elevation",

@@ -225,8 +225,11 @@ def c16(v):
 
 
 def park_lookup(games, parks):
-    """Park factor of the venue, 100 where unknown; one row per venue is broadcast."""
-    return games.join(checked_broadcast(parks.select("venue_id", "park_factor")), "venue_id", "left").withColumn(
+    """Park factor of the venue, 100 where unknown.
+
+    No hint: the planner broadcasts the venues while they are small and sorts both sides beyond.
+    """
+    return games.join(parks.select("venue_id", "park_factor"), "venue_id", "left").withColumn(
         "park_factor", F.coalesce("park_factor", F.lit(100))
     )
 

@@ -17,9 +17,10 @@ def samples():
 def test_exact_quantiles(spark, samples):
     rows = [(k, float(x)) for k, xs in samples.items() for x in xs] + [("heavy", None)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["x"], PROBS, ["k"]).collect()}
-    for k, xs in samples.items():
-        np.testing.assert_allclose(got[k], np.quantile(xs, PROBS), rtol=1e-12)
+    for many in (False, True):
+        got = {r["k"]: r["q"] for r in exact_quantiles(df, ["x"], PROBS, ["k"], many).collect()}
+        for k, xs in samples.items():
+            np.testing.assert_allclose(got[k], np.quantile(xs, PROBS), rtol=1e-12)
 
 
 def test_medians_of_several_columns(spark):
