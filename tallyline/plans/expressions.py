@@ -127,7 +127,7 @@ def b11(v):
 @query(
     "b12_derived_pitching",
     f"""SELECT player_id, game_date, dh, {r('k_percent - bb_percent')} AS k_bb_percent,
-          CASE WHEN gmli = 0 THEN NULL ELSE {r('wpa / gmli')} END AS wpa_li, 1 AS apps FROM @player_game p""",
+          CASE WHEN gmli = 0 THEN NULL ELSE {r('wpa / gmli')} END AS wpa_li, CAST(1 AS BIGINT) AS apps FROM @player_game p""",
 )
 def b12(v):
     return tidy(derived_pitching(v.player_game.drop("k_bb_percent", "wpa_li", "apps")).select("player_id", "game_date", "dh", "k_bb_percent", "wpa_li", "apps"))
@@ -147,7 +147,7 @@ _DH = "CASE o_orderpriority WHEN '1-URGENT' THEN 'N' WHEN '2-HIGH' THEN 'Y' WHEN
 
 @query(
     "b13_doubleheader_code",
-    f"""SELECT o_orderkey, CASE WHEN d = 'N' THEN 0 WHEN d IN ('Y', 'S') THEN CASE WHEN o_custkey % 2 = 1 THEN 1 ELSE 2 END END AS dh
+    f"""SELECT o_orderkey, CASE WHEN d = 'N' THEN CAST(0 AS BIGINT) WHEN d IN ('Y', 'S') THEN CASE WHEN o_custkey % 2 = 1 THEN 1 ELSE 2 END END AS dh
         FROM (SELECT *, {_DH} AS d FROM @orders o) x""",
 )
 def b13(v):

@@ -276,7 +276,7 @@ def e17(v):
 
 @query(
     "e18_order_contract",
-    "SELECT split, season, min(game_date) AS first, max(game_date) AS last, 0 AS falls FROM @pred_wide p GROUP BY split, season",
+    "SELECT split, season, min(game_date) AS first, max(game_date) AS last, CAST(0 AS BIGINT) AS falls FROM @pred_wide p GROUP BY split, season",
 )
 def e18(v):
     return tidy(order_violations(v.pred_wide))

@@ -328,7 +328,7 @@ def c21(v):
 @query(
     "c22_vector_alignment",
     """SELECT game_id, f.focal AS focal_is_home, CASE WHEN f.focal = 1 THEN home_score ELSE away_score END AS home_batter_1_x,
-         CASE WHEN f.focal = 1 THEN away_score ELSE home_score END AS away_batter_1_x FROM @games g, (SELECT unnest([0, 1]) AS focal) f""",
+         CASE WHEN f.focal = 1 THEN away_score ELSE home_score END AS away_batter_1_x FROM @games g, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS focal) f""",
 )
 def c22(v):
     vectors = v.games.select("game_id", F.col("home_score").alias("home_batter_1_x"), F.col("away_score").alias("away_batter_1_x"))
@@ -348,7 +348,7 @@ def c23(v):
 
 @query(
     "c24_index_contract",
-    """SELECT coalesce(a.true_game_id, b.game_id) AS game_id, coalesce(a.n, 0) AS n_predicted, CASE WHEN b.game_id IS NULL THEN 0 ELSE 1 END AS n_expected
+    """SELECT coalesce(a.true_game_id, b.game_id) AS game_id, coalesce(a.n, 0) AS n_predicted, CASE WHEN b.game_id IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS n_expected
        FROM (SELECT true_game_id, count(*) AS n FROM @quotes q GROUP BY 1) a FULL JOIN @games b ON a.true_game_id = b.game_id WHERE coalesce(a.n, 0) <> 1 OR b.game_id IS NULL""",
 )
 def c24(v):
@@ -408,7 +408,7 @@ def f5(v):
     return row_positions(v.pred_wide.select("split", "season", "game_date", "game_id"), "game_date", ["game_id"], ["split"]).select("split", "game_id", "pos")
 
 
-@query("g1_team_rows", "SELECT game_id, is_home, team, opposing_team, team_score, opposing_team_score, is_winner FROM @team_log t")
+@query("g1_team_rows", "SELECT game_id, is_home, team, opposing_team, team_score, opposing_team_score, CAST(is_winner AS BIGINT) AS is_winner FROM @team_log t")
 def g1(v):
     return tidy(sides.team_rows(v.games).select("game_id", "is_home", "team", "opposing_team", "team_score", "opposing_team_score", "is_winner"))
 
@@ -444,7 +444,7 @@ def _g4_side(flip):
     y = "1 - is_winner_home" if flip else "is_winner_home"
     p = "CAST(game_id % 100 AS DOUBLE) / 128"
     p = f"1 - {p}" if flip else p
-    return f"""SELECT game_id, {y} AS is_winner_home, home_team, {p} AS p_open_home_median_nv, {0 if flip else 1} AS focal_is_home,
+    return f"""SELECT game_id, CAST({y} AS BIGINT) AS is_winner_home, home_team, {p} AS p_open_home_median_nv, CAST({0 if flip else 1} AS BIGINT) AS focal_is_home,
        {side_sql('home', 'woba', 'season', flip)} AS home_woba_season, {side_sql('away', 'woba', 'season', flip)} AS away_woba_season,
        CAST(home_score AS DOUBLE) AS homegrown_metric, {_all_diffs(flip)} FROM @games g"""
 

@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            # flags are bigint on both sides
+            ORACLES[name] = oracle(sql).replace("THEN 1 ELSE 0 END", "THEN CAST(1 AS BIGINT) ELSE 0 END")
         return fn
 
     return register

@@ -174,7 +174,7 @@ _TEAM_NAMES = ", ".join(f"'{n}'" for n in (
     "a15_schedule_payload",
     f"""SELECT CAST(o_orderkey AS VARCHAR) AS game_id, CAST(o_orderdate AS DATE) AS game_date,
           CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 24) * 3600 AS game_second, away_team, home_team,
-          CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS dh,
+          CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS BIGINT) WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS dh,
           o_custkey % 9 AS home_score, CASE WHEN w THEN home_team ELSE away_team END AS winning_team,
           CASE WHEN w THEN away_team ELSE home_team END AS losing_team,
           CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(50 + o_orderkey % 40 AS BIGINT) END AS temp
@@ -297,7 +297,7 @@ def _game_logs(v):
 
 @query(
     "a19_game_log_batters",
-    """SELECT event_id AS mlb_id, user_id AS player_id, 'XYZ' AS team, CAST(ts AS DATE) AS game_date, 3 AS ab, 4 AS pa, value AS woba,
+    """SELECT event_id AS mlb_id, user_id AS player_id, 'XYZ' AS team, CAST(ts AS DATE) AS game_date, CAST(3 AS BIGINT) AS ab, CAST(4 AS BIGINT) AS pa, value AS woba,
          CAST(100 AS DOUBLE) AS wrc_plus, CAST(0 AS DOUBLE) AS ev FROM @events e WHERE event_type <> 'purchase'""",
 )
 def a19(v):
@@ -306,7 +306,7 @@ def a19(v):
 
 @query(
     "a19_game_log_pitchers",
-    """SELECT event_id AS mlb_id, user_id AS player_id, 'NYM' AS team, 1 AS games, 1 AS gs, value AS fip, CAST(100 AS DOUBLE) AS stuff,
+    """SELECT event_id AS mlb_id, user_id AS player_id, 'NYM' AS team, CAST(1 AS BIGINT) AS games, CAST(1 AS BIGINT) AS gs, value AS fip, CAST(100 AS DOUBLE) AS stuff,
          CAST(0 AS DOUBLE) AS era FROM @events e WHERE event_type = 'purchase'""",
 )
 def a19b(v):
@@ -368,7 +368,7 @@ def a22(v):
 
 @query(
     "a23_date_coverage",
-    """SELECT d.day, CASE WHEN s.game_date IS NULL THEN 0 ELSE 1 END AS scraped FROM
+    """SELECT d.day, CASE WHEN s.game_date IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS scraped FROM
          (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day) d
        LEFT JOIN (SELECT DISTINCT game_date FROM @games g) s ON d.day = s.game_date""",
 )

@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
                     ELSE (o_custkey % 30 + 1 + o_orderkey % 29) % 30 END AS winning_team
         FROM @orders""",
     "team_log": """
-        SELECT game_id, game_date, dh, game_datetime, season, 1 AS is_home, home_team AS team,
+        SELECT game_id, game_date, dh, game_datetime, season, CAST(1 AS BIGINT) AS is_home, home_team AS team,
                away_team AS opposing_team, home_score AS team_score, away_score AS opposing_team_score,
                is_winner_home AS is_winner FROM @games
         UNION ALL
@@ -150,7 +150,7 @@ VIEWS: dict[str, str] = {
         FROM @events WHERE event_type <> 'error' GROUP BY user_id, month(CAST(ts AS DATE))""",
     # long supplier histories
     "supplier_log": """
-        SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS game_date, l_orderkey, l_linenumber,
+        SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS game_date, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
                max(l_quantity) AS value, CAST(max(l_linenumber) % 4 AS BIGINT) AS weight
         FROM @lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE), l_orderkey, l_linenumber""",
     "pred_wide": """
