@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import licences, url_filter
+from tallyline.llm import licences, mixing, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op1(spark, table):
 @query("op10_licence_scan")
 def op10(spark, table):
     return licences.scan_licences(table("documents"))
+
+
+@query("op4_source_mixing", mixing.oracle())
+def op4(spark, table):
+    return mixing.mix_sources(table("documents"))
