@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import licences, mixing, url_filter
+from tallyline.llm import decontaminate, licences, mixing, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op10(spark, table):
 @query("op4_source_mixing", mixing.oracle())
 def op4(spark, table):
     return mixing.mix_sources(table("documents"))
+
+
+@query("op6_decontamination")
+def op6(spark, table):
+    return decontaminate.contaminated(table("documents"), table("benchmark"))
