@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import decontaminate, licences, mixing, url_filter
+from tallyline.llm import decontaminate, licences, mixing, pii, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op4(spark, table):
 @query("op6_decontamination")
 def op6(spark, table):
     return decontaminate.contaminated(table("documents"), table("benchmark"))
+
+
+@query("op9_pii")
+def op9(spark, table):
+    return pii.digest(table("documents"))
