@@ -91,6 +91,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         "__source", "__block", "in_block",
         "rest - (sum(in_block) OVER (PARTITION BY __source ORDER BY __block) - in_block) AS left_over",
     ).selectExpr("__source", "__block", "left_over", "left_over >= in_block AS whole")
+    # stored, so that the join does not inherit the window's partitioning by source alone
+    ended = pin(ended, "mix-blocks")
     in_blocks = placed.join(ended, ["__source", "__block"])
 
     full = in_blocks.where("passes > 0").selectExpr("*", "explode(sequence(0L, passes - 1)) AS epoch")
