@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import decontaminate, licences, mixing, pii, url_filter
+from tallyline.llm import decontaminate, factor_machine, importance, licences, mixing, pii, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,16 @@ def op6(spark, table):
 @query("op9_pii")
 def op9(spark, table):
     return pii.digest(table("documents"))
+
+
+@query("op3_quality_resampling")
+def op3(spark, table):
+    return importance.resample(table("documents"), table("labels"))
+
+
+@query("op7_toxicity")
+def op7(spark, table):
+    held = factor_machine.held_out("doc_id")
+    learned = table("labels").where(f"NOT ({held})")
+    scored = factor_machine.score_toxicity(table("documents"), learned)
+    return scored.selectExpr("doc_id", f"coalesce({held}, false) AS held_out", "score", "predicted")
