@@ -5,9 +5,9 @@ fingerprint is cut into ``radius + 1`` blocks; two fingerprints within the radiu
 join on (size, block number, block value) finds all of them. Candidates are verified by the weighted Jaccard similarity of
 their five-word shingles, the weight being the count of a shingle.
 
-Which windows are looked at loses nothing: sets of equal size with similarity t share at least 2t / (1 + t) of the
-shingles, so a window must hold that many shingles that items of this size have; and moving a window to its first such
-shingle (or back from the end of the document) never lowers the similarity. A text shorter than the item is one window.
+Which windows are looked at loses nothing: a window that matches an item holds one of its shingles, and moving it on to the
+first of them (or back from the end of the document) never lowers the similarity. So there is a window for every shingle
+that an item of that size has, too. A text shorter than the item is one window.
 
 Defined results: words are lower-cased and cut at ASCII white space; null text has none. An item without words matches
 nothing; an item of fewer than five words has one shingle, the whole. Repeated documents and items are matched each; a
@@ -16,6 +16,8 @@ repeated (key, text) or (item, text) row gives one result row. Empty tables give
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyline.session import pin
@@ -23,7 +25,7 @@ from tallyline.session import pin
 SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 16
-# the shingles of the items are broadcast up to this many rows, else joined by a shuffle
+# so many shingles of the items are broadcast at a time
 BROADCAST_ROWS = 200_000
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -62,48 +64,35 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     known = pin(known, "items")
     wanted = pin(known.selectExpr("n", f"least(n, {SHINGLE}) AS len", "explode(shingles) AS h").distinct(), "item-shingles")
     lengths = [r[0] for r in wanted.select("len").distinct().collect()]  # at most five
-    small = wanted.count() <= BROADCAST_ROWS
-    if small:
-        wanted = F.broadcast(wanted)
+    # items are taken in groups small enough for a broadcast; one scan of the documents each
+    parts = max(1, -(-wanted.count() // BROADCAST_ROWS))
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
     worded = texts.select("key", F.xxhash64("text").alias("fp"), _words("text").alias("words"))
-    hits = None
-    for length in lengths:
-        runs = worded.selectExpr("key", "fp", f"posexplode({shingles_sql('words', length)}) AS (pos, h)")
-        found = runs.join(wanted.where(f"len = {length}"), "h").select("key", "fp", "n", "len", "pos")
-        hits = found if hits is None else hits.union(found)
+    windows = None
+    for length, part in itertools.product(lengths, range(parts)):
+        own = F.broadcast(wanted.where(f"len = {length} AND pmod(h, {parts}) = {part}"))
+        runs = worded.selectExpr("key", "fp", "words", "size(words) AS total", f"posexplode({shingles_sql('words', length)}) AS (pos, h)")
+        # the window is cut out of the row at hand, so no text has to be fetched or shuffled
+        found = runs.join(own, "h").selectExpr("key", "fp", "n", "words", "total", "least(pos, greatest(0, total - n)) AS s").selectExpr(
+            "key", "fp", "n", "s", "least(n, total) AS long", "slice(words, s + 1, n) AS words")
+        windows = found if windows is None else windows.union(found)
     names = f"`{key}`"
-    if hits is None:
-        return docs.limit(0).select(
+    if windows is None:
+        return docs.select(
             F.col(key).alias(key), F.lit(None).cast(items.schema[item].dataType).alias(item), F.lit(0).cast("long").alias("start_word"),
-            F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
-    # one row per document and item size that may match: as long as the document at most
-    gated = hits.groupBy("key", "fp", "n", "len").agg(F.sort_array(F.collect_set("pos")).alias("at")).where(
-        # also a text shorter than the item has to hold this share of its shingles
-        f"size(at) >= {float(similarity)}D * (n - len + 1) - 1e-9"
-    )
-    gated = pin(gated, "windows").withColumnRenamed("key", "k").withColumnRenamed("fp", "f")
-    # the documents concerned are few; the planner broadcasts them by their stored size, or shuffles
-    near = worded.join(gated, F.col("key").eqNullSafe(F.col("k")) & (F.col("fp") == F.col("f"))).dropDuplicates(["key", "fp", "n"])
-    near = near.selectExpr(
-        "key", "fp", "n", "len", "words", "at", "size(words) AS total",
-        f"CASE {' '.join(f'WHEN len = {x} THEN ' + shingles_sql('words', x) for x in range(1, SHINGLE))} ELSE {shingles_sql('words', SHINGLE)} END AS shingles",
-    )
-    windows = near.selectExpr("*", "explode(array_distinct(transform(at, p -> least(p, greatest(0, total - n))))) AS s").where(
-        # hits inside the window against the share of both sets
-        f"size(filter(at, p -> p >= s AND p <= s + n - len)) >= {similarity / (1 + similarity)!r}D * ((n - len + 1) + (least(n, total) - len + 1)) - 1e-9"
-        if similarity > 0 else "true"
-    ).selectExpr("key", "fp", "n", "s", "least(n, total) AS long", "slice(words, s + 1, n) AS words", "slice(shingles, s + 1, n - len + 1) AS shingles")
-    windows = windows.selectExpr("key", "fp", "n", "s", "long", "shingles", f"{simhash_sql('words')} AS print")
+            F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity")).limit(0)
+    windows = windows.selectExpr("*", f"{simhash_sql('words')} AS print")
 
     left = windows.selectExpr("*", f"{blocks_sql('print', radius)} AS block").selectExpr("*", "block.no", "block.bits")
     right = known.selectExpr("item", "n AS size", "shingles AS theirs", "print AS their_print", f"{blocks_sql('print', radius)} AS block").selectExpr(
         "item", "size", "theirs", "their_print", "block.no AS their_no", "block.bits AS their_bits")
     pairs = left.join(right, F.expr("n = size AND no = their_no AND bits = their_bits")).selectExpr(
-        "key", "fp", "s", "long", "shingles", "item", "theirs", "bit_count(print ^ their_print) AS distance", "no",
+        "key", "fp", "s", "long", "words", "item", "theirs", "bit_count(print ^ their_print) AS distance", "no",
         f"{first_shared_block('print', 'their_print', radius)} AS first_no",
     ).where(f"distance <= {radius} AND no = first_no")
+    own = f"CASE {' '.join(f'WHEN size(theirs) = 1 AND long = {n} THEN ' + shingles_sql('words', n) for n in range(1, SHINGLE))} ELSE {shingles_sql('words', SHINGLE)} END"
+    pairs = pairs.selectExpr("*", f"{own} AS shingles")
     count = "size(filter({}, y -> y = x))"
     shared = f"aggregate(array_distinct(theirs), 0, (a, x) -> a + least({count.format('shingles')}, {count.format('theirs')}))"
     scored = pairs.selectExpr("*", f"{shared} AS both").selectExpr("*", "both / double(size(shingles) + size(theirs) - both) AS similarity")
