@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import decontaminate, factor_machine, importance, licences, mixing, pii, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, licences, mixing, pii, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op7(spark, table):
     learned = table("labels").where(f"NOT ({held})")
     scored = factor_machine.score_toxicity(table("documents"), learned)
     return scored.selectExpr("doc_id", f"coalesce({held}, false) AS held_out", "score", "predicted")
+
+
+@query("op5_nearest_vectors")
+def op5(spark, table):
+    rows = table("embeddings").select("vec_id", "embedding")
+    return collision_ann.nearest(rows, rows.where("vec_id % 20 = 0"))
