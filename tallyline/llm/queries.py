@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, licences, mixing, pii, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, jaccard_join, licences, mixing, pii, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op7(spark, table):
 def op5(spark, table):
     rows = table("embeddings").select("vec_id", "embedding")
     return collision_ann.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query("op8_jaccard_join")
+def op8(spark, table):
+    return jaccard_join.join_similar(table("documents"))
