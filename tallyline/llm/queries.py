@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, jaccard_join, licences, mixing, pii, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, jaccard_join, licences, mixing, pii, suffix_dedup, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op5(spark, table):
 @query("op8_jaccard_join")
 def op8(spark, table):
     return jaccard_join.join_similar(table("documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, table):
+    return suffix_dedup.remove_repeats(table("documents")).drop("kept")
