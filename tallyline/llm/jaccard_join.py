@@ -13,9 +13,13 @@ empty one is the same in both: its hash is the signature. Per set and band pair:
 A pair is found by any scheme that is enough for one of both. Signatures travel packed, per shard of the signature space,
 with the slack of their set (segments beyond H + 1). A shard turns small groups into pairs, counts common segments, and
 reports large groups. A set allocates its tolerance away from large groups (they cost most) as far as its slack allows: a
-set with more slack than such segments needs none of them, since its links appear elsewhere. Pairs with fewer common segments than
-the slack demands cannot be links. The other members of large groups are compared with one of them, then only across the
-components found so far. Everything that is left is verified on the whole texts.
+set with more slack than such segments needs none of them, since its links appear elsewhere. Pairs with fewer common
+segments than the slack demands cannot be links.
+
+Sets that large groups leave short meet once more among themselves, by single shingles: the slack is then two thirds of the
+set, so shared passages and lines no longer matter. What is still short consists of common shingles, like a large group of
+near-copies: its members are compared with one per group, then, in as many of its smallest groups as the set lacks, with
+members of other components. Everything found is verified on the whole texts.
 
 Copies of one set are one class throughout. Defined results: null, empty or blank texts have no shingles and are linked with
 nothing; a text of fewer than ``n`` words has one shingle. Rows without an id take no part (their component is null).
@@ -47,6 +51,10 @@ while BOUNDS[-1] < 2**40:
 BOUNDS = np.array(BOUNDS)
 
 
+def unpacked(texts: list[bytes]) -> pa.Array:
+    return pa.array([zlib.decompress(t).decode() for t in texts], pa.large_string())
+
+
 def sets_of(texts: pa.Array):
     """The sorted distinct shingle hashes of every text."""
     for _, data, bounds in vector.pieces(texts):
@@ -70,7 +78,7 @@ def segments(shingles: np.ndarray, m: int, tag: int) -> tuple[np.ndarray, np.nda
     return vector.mix(vector.mix(total) + salt), start, total
 
 
-def signatures(shingles: np.ndarray):
+def signatures(shingles: np.ndarray, single: bool = False):
     """(tag, slack, signatures) per band pair and scheme; tag = 3 * band pair + scheme. A slack of -1 leaves nothing out."""
     n = len(shingles)
     band = int(np.searchsorted(BOUNDS, n, "right")) - 1
@@ -81,15 +89,19 @@ def signatures(shingles: np.ndarray):
         most = (n + min(top, 4 * n // 3)) // 7
         if most == 0:
             continue  # linked sets of these sizes are equal
+        if single:
+            yield 3 * low + 2, n - (most + 1), vector.mix(shingles + np.uint64(3 * low + 2))
+            continue
         sig, _, _ = segments(shingles, -(-22 * top // 70) + 2, 3 * low)
         slack = len(sig) - (most + 1)
         yield 3 * low, max(slack, -1), sig
         if slack >= 0:
             continue
-        sig, start, total = segments(shingles, top // 7 + 3, 3 * low + 1)
+        m = top // 7 + 3
+        sig, start, total = segments(shingles, m, 3 * low + 1)
         sizes = np.diff(np.append(start, n))
         own = np.repeat(np.arange(len(start)), sizes)
-        number = (((shingles >> np.uint64(32)) * np.uint64(top // 7 + 3)) >> np.uint64(32)) * SALT + np.uint64(3 * low + 1)
+        number = (((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)) * SALT + np.uint64(3 * low + 1)
         less = vector.mix(vector.mix(total[own] - vector.mix(shingles)) + number)[sizes[own] > 1]
         yield 3 * low + 1, -1, np.concatenate([sig, less])
         if np.minimum(sizes, 2).sum() < most + 1:
@@ -99,8 +111,11 @@ def signatures(shingles: np.ndarray):
 PACKED = "shard int, low binary, high binary, counts binary, classes binary, tags binary, slacks binary"
 
 
-def pack(batches, text: str, shards: int):
-    """Rows of PACKED: signatures (40 bits beside the shard) of all sets, ordered by set, cut by shard."""
+def pack(batches, text: str, shards: int, single: bool = False):
+    """Rows of PACKED: signatures (40 bits beside the shard) of all sets, ordered by set, cut by shard.
+
+    ``single`` takes compressed texts and makes every shingle a signature.
+    """
     sigs, owners, heads, held, seen = [], [], [], 0, set()
 
     def flush():
@@ -121,14 +136,15 @@ def pack(batches, text: str, shards: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 6)], [f.split()[0] for f in PACKED.split(", ")])
 
     for batch in batches:
-        for shingles in sets_of(batch.column(text)):
+        texts = batch.column(text)
+        for shingles in sets_of(unpacked(texts.to_pylist()) if single else texts):
             if not len(shingles):
                 continue
             name, _ = fingerprint(shingles)
             if name in seen:
                 continue
             seen.add(name)
-            for tag, slack, sig in signatures(shingles):
+            for tag, slack, sig in signatures(shingles, single):
                 sigs.append(sig)
                 owners.append(np.full(len(sig), len(heads), np.int32))
                 heads.append((name, tag, min(slack, 32_000)))
@@ -193,25 +209,20 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b")
 
     def check(batches):
-        known: dict = {}
         for batch in batches:
+            known: dict = {}
+            sides = [batch.column(c).to_pylist() for c in ("a", "b")]
+            for ids, name in zip(sides, ("packed_a", "packed_b")):
+                new = {i: p for i, p in zip(ids, batch.column(name).to_pylist()) if i not in known}
+                known.update(zip(new, sets_of(unpacked(list(new.values())))))
             keep = []
-            sides = []
-            for name in ("a", "b"):
-                ids, packed = batch.column(name).to_pylist(), batch.column(f"packed_{name}").to_pylist()
-                new = {i: p for i, p in zip(ids, packed) if i not in known}
-                if len(known) > 2_000:
-                    known, new = {}, dict(zip(ids, packed)) if name == "a" else {**dict(zip(batch.column("a").to_pylist(), batch.column("packed_a").to_pylist())), **dict(zip(ids, packed))}
-                if new:
-                    texts_ = pa.array([zlib.decompress(p).decode() for p in new.values()], pa.large_string())
-                    known.update(zip(new, sets_of(texts_)))
-                sides.append(ids)
             for i, j in zip(*sides):
                 x, y = known[i], known[j]
-                common = len(x) + len(y) - len(np.union1d(x, y)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
+                near = 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y))
+                common = len(x) + len(y) - len(np.union1d(x, y)) if near else 0
                 keep.append(4 * common >= 3 * (len(x) + len(y) - common))
-            keep = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
+            keep = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
     return joined.mapInArrow(check, "a long, b long")
 
@@ -235,6 +246,22 @@ def classes_of(docs: DataFrame, key: str, text: str, carry_text: bool = False) -
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(name, f"id {kind}, n long, class long, other long{more}")
 
 
+def settle(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the groups of one round: pairs to verify, members of large groups (sig, class, tag), and what sets lack.
+
+    ``lacks`` (class, tag, lack): a set needs so many of its large groups.
+    """
+    hot = found.where("hot").select("sig", F.col("a").alias("class"), "tag", F.col("slack_a").alias("slack"))
+    taken = pin(hot.groupBy("class", "tag").agg(F.count("*").alias("h"), F.min("slack").alias("slack")), "large-groups")
+    counted = found.where("NOT hot").groupBy("a", "b", "tag").agg(F.sum("n").alias("n"), F.min("slack_a").alias("slack_a"), F.min("slack_b").alias("slack_b"))
+    for side in ("a", "b"):
+        counted = counted.join(taken.selectExpr(f"class AS {side}", "tag", f"h AS h_{side}"), [side, "tag"], "left")
+    # common segments outside large groups: at least the slack less what the set has in large groups, plus one
+    need = "greatest(0, slack_a - coalesce(h_a, 0), slack_b - coalesce(h_b, 0)) + 1"
+    pairs = pin(counted.where(f"n >= {need}").select("a", "b").distinct(), "pairs")
+    return pairs, hot.select("sig", "class", "tag"), taken.where("h > slack").selectExpr("class", "tag", "if(slack < 0, h, h - slack) AS lack")
+
+
 def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -244,37 +271,42 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", group
     real = named.where("n > 0 AND id IS NOT NULL")
     classes = pin(real.groupBy("n", "class", "other").agg(F.min("id").alias("rep")), "class-heads")
 
-    packed = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")).mapInArrow(lambda b: pack(b, "text", shards), PACKED)
-    found = pin(packed.groupBy("shard").applyInArrow(lambda t: meet(t, group), FOUND), "signature-groups")
-    hot = found.where("hot").select("sig", F.col("a").alias("class"), "tag", F.col("slack_a").alias("slack"))
-    taken = pin(hot.groupBy("class", "tag").agg(F.count("*").alias("h"), F.min("slack").alias("slack")), "large-groups")
-    counted = found.where("NOT hot").groupBy("a", "b", "tag").agg(F.sum("n").alias("n"), F.min("slack_a").alias("slack_a"), F.min("slack_b").alias("slack_b"))
-    for side in ("a", "b"):
-        counted = counted.join(taken.selectExpr(f"class AS {side}", "tag", f"h AS h_{side}"), [side, "tag"], "left")
-    # common segments outside large groups: at least the slack less what the set has in large groups, plus one
-    need = "greatest(0, slack_a - coalesce(h_a, 0), slack_b - coalesce(h_b, 0)) + 1"
-    plain = pin(counted.where(f"n >= {need}").select("a", "b").distinct(), "pairs")
-    short = pin(hot.join(taken.where("h > slack").select("class", "tag"), ["class", "tag"]).select("sig", "class"), "large-group-members")
-    centres = short.groupBy("sig").agg(F.min("class").alias("centre"))
-    star = pin(short.join(centres, "sig").where("class <> centre").selectExpr("centre AS a", "class AS b").distinct(), "star-pairs")
+    def groups(packed: DataFrame) -> DataFrame:
+        return pin(packed.groupBy("shard").applyInArrow(lambda t: meet(t, group), FOUND), "signature-groups")
 
-    wanted = plain.select(F.col("a").alias("class")).union(plain.select("b")).union(short.select("class")).distinct()
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text"))
+    pairs, _, lacks = settle(groups(rows.mapInArrow(lambda b: pack(b, "text", shards), PACKED)))
+    short = pin(lacks.select("class").distinct(), "short-sets")
+
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(short).distinct()
     ids = pin(wanted.join(classes, "class").select(F.col("rep").alias(key)).distinct(), "candidates")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     some = docs.select(key, text).join(ids, key, "left_semi")
     texts = pin(classes_of(some, key, text, carry_text=True).where("n > 0").select("class", "packed").dropDuplicates(["class"]), "candidate-texts")
 
-    links = pin(verify(plain.union(star).distinct(), texts), "links-found")
+    members = None
     if not short.isEmpty():
+        again = texts.join(short, "class", "left_semi").select("packed")
+        more, hot, lacks = settle(groups(again.mapInArrow(lambda b: pack(b, "packed", shards, True), PACKED)))
+        members = pin(hot.join(lacks, ["class", "tag"]), "large-group-members")
+        centres = members.groupBy("sig").agg(F.min("class").alias("centre"))
+        star = pin(members.join(centres, "sig").where("class <> centre").selectExpr("centre AS a", "class AS b").distinct(), "star-pairs")
+        pairs = pairs.union(more).union(star).distinct()
+    links = pin(verify(pairs, texts), "links-found")
+    part = components(links)
+    if members is not None and not members.isEmpty():
         # members of large groups that the first links have not brought together
-        part = components(links)
-        placed = pin(short.join(part.withColumnRenamed("node", "class"), "class", "left").selectExpr("sig", "class", "coalesce(root, class) AS root"), "placed")
-        several = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
+        placed = pin(members.join(part.withColumnRenamed("node", "class"), "class", "left").selectExpr("sig", "class", "tag", "lack", "coalesce(root, class) AS root"), "placed")
+        several = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size")).where("r <> s").select("sig", "size")
         open_ = placed.join(several, "sig")
-        across = open_.selectExpr("sig", "class AS a", "root AS ra").join(open_.selectExpr("sig", "class AS b", "root AS rb"), "sig").where("a < b AND ra <> rb")
-        across = across.select("a", "b").distinct().join(star.union(star.selectExpr("b AS a", "a AS b")), ["a", "b"], "left_anti")
-        links = pin(links.union(verify(across, texts)), "links-found")
-    part = components(links)
+        # a set that lacks k segments looks into the k smallest of its large groups
+        chosen = open_.selectExpr("*", "row_number() OVER (PARTITION BY class, tag ORDER BY size, sig) AS nth").where("nth <= lack")
+        across = chosen.selectExpr("sig", "class AS x", "root AS rx").join(placed.selectExpr("sig", "class AS y", "root AS ry"), "sig").where("rx <> ry")
+        across = across.selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct().join(star.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti")
+        across = pin(across, "pairs-across")
+        if not across.isEmpty():
+            links = pin(links.union(verify(across, texts)), "links-found")
+            part = components(links)
     heads = classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     low = heads.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = heads.join(low, "root").select("n", "class", "other", "component_id")
