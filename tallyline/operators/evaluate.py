@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import MODEL_CLIP, clip, logit, one_row
-from tallyline.operators.ordering import checked_broadcast, exact_quantiles, ordered_cumsum
+from tallyline.operators.ordering import exact_quantiles, ordered_cumsum
 
 GROUP = ("model", "split")
 
@@ -65,7 +65,7 @@ def roc_points(pred: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     counts = score_counts(pred, keys)
     ranked = ordered_cumsum(counts, keys, "p", ["pos", "neg"])
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return ranked.join(checked_broadcast(totals), list(keys)).select(
+    return ranked.join(totals, list(keys)).select(
         *keys,
         F.col("p").alias("threshold"),
         F.try_divide((F.col("n_neg") - F.col("before_neg")).cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
@@ -89,7 +89,7 @@ def bin_edges(pred: DataFrame, n_bins: int, strategy: str, keys: Sequence[str] =
 
 def calibration_bins(pred: DataFrame, n_bins: int = 10, strategy: str = "uniform", keys: Sequence[str] = GROUP) -> DataFrame:
     """Count, positives and probability total per non-empty right-closed bin."""
-    binned = pred.join(checked_broadcast(bin_edges(pred, n_bins, strategy, keys)), list(keys))
+    binned = pred.join(bin_edges(pred, n_bins, strategy, keys), list(keys))
     inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
     return (
         binned.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))

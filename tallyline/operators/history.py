@@ -6,8 +6,9 @@ Three physical shapes, chosen from one cheap count per entity (two columns are r
 
 * short histories: one exchange, one sort, one window spec;
 * long histories: the EWM is taken in blocks of ``400 * halflife`` rows, because its closed
-  form ``r^k * sum(c * x * r^-i)`` overflows over longer runs. Only the previous block is
-  carried over; older ones weigh less than 2^-400;
+  form ``r^k * sum(c * x * r^-i)`` overflows over longer runs. The ends of all earlier blocks
+  that a double can still hold (FULL_DECAY half-lives back) are carried over, so a rate whose
+  numerator and weight have faded together is kept, whatever the length of the history;
 * hot entities: an entity with more rows than ``segment_rows`` is cut into stretches of its
   clock (a day by default), each with a bounded number of rows, so that no task gets the
   entity as a whole. The stretches' totals (at most one row per clock tick) are carried forward
@@ -176,12 +177,16 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
         base = base.selectExpr(
             "*", *[f"coalesce(sum(__c * {c} * __g) {in_block}, 0D) / __g / {r!r}D AS __b_{n}" for n, c in named.items()]
         )
-        previous = over(part, ["__blk"], "RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING")
         tail = f"CASE WHEN __j % {rows} = {rows - 1} THEN __b_{{n}} * {r!r}D + __c * {{c}} END"
-        base = base.selectExpr(
-            "*",
-            *[f"__b_{n} + coalesce(sum({tail.format(n=n, c=c)}) {previous}, 0D) / __g AS __e_{n}" for n, c in named.items()],
-        )
+
+        def carried(n: str, c: str) -> str:
+            ends = []
+            for back in range(1, int(FULL_DECAY * h / rows) + 2):
+                frame = over(part, ["__blk"], f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING")
+                ends.append(f"coalesce(sum({tail.format(n=n, c=c)}) {frame}, 0D) * pow(2D, {-(back - 1) * rows / h!r}D)")
+            return " + ".join(ends)
+
+        base = base.selectExpr("*", *[f"__b_{n} + ({carried(n, c)}) / __g AS __e_{n}" for n, c in named.items()])
         if has_hot:
             base = base.selectExpr("*", *[f"__e_{n} * {r!r}D + __c * {c} AS __a_{n}" for n, c in named.items()])
         base = base.drop("__blk", "__c", "__g", *[f"__b_{n}" for n in named])

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.operators.ordering import checked_broadcast
 from tallyline.operators.sides import GAME_KEY
 
 SLOTS = tuple(range(1, 10))
@@ -42,7 +41,7 @@ def side_means(rows: DataFrame, stat_cols: Sequence[str], medians: Column | Data
     """
     if isinstance(medians, DataFrame):
         table = medians.select("season", F.struct(*stat_cols).alias("__medians"))
-        rows = rows.join(checked_broadcast(table), "season", "left")
+        rows = rows.join(F.broadcast(table), "season", "left")
     else:
         rows = rows.withColumn("__medians", medians)
     return rows.groupBy(*GAME_KEY).agg(

@@ -10,32 +10,23 @@ from tallyline.functions.numeric import one_row
 
 KNOTS = 64
 SUB_BUCKETS = 4096
-MAX_BROADCAST_ROWS = 10_000
 RANGES = 1024
 
 
-def checked_broadcast(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table that must be small; the job fails if it has more than ``limit`` rows."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    failed = F.when(n > limit, F.raise_error(F.lit(f"more than {limit} rows to broadcast: group the data by fewer keys, or use many_groups")))
-    return F.broadcast(
-        table.withColumn("__too_many", failed.cast("string")).where(F.col("__too_many").isNull()).drop("__too_many")
-    )
-
-
 def ordered_cumsum(values: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str]) -> DataFrame:
     """Add ``before_{c}``: the total of ``c`` over smaller values of the key's group.
 
     ``values`` holds one row per (keys, value), already pre-aggregated. Values are cut into at
     most KNOTS x SUB_BUCKETS buckets (approximate quantile knots, then equal widths between
     knots); totals per bucket are accumulated first, then rows inside each bucket. The knots
-    only balance the buckets, the sums are exact. Meant for few groups of many values.
+    only balance the buckets, the sums are exact. Windows are partitioned by group and bucket, and
+    the knots are joined by the keys, so groups may be few and large or many and small.
     """
     keys = list(keys)
     probs = [i / KNOTS for i in range(KNOTS + 1)]
     knots = values.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("__knots"))
     if keys:
-        cut = values.join(checked_broadcast(knots), keys)
+        cut = values.join(knots, keys)
     else:
         cut = values.withColumn("__knots", knots.scalar())
     v, ks = F.col(value).cast("double"), F.col("__knots")
@@ -68,14 +59,13 @@ def ordered_cumsum(values: DataFrame, keys: Sequence[str], value: str, cols: Seq
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), many_groups: bool = False
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (keys, ``name``) with an array ``q``.
 
     Columns are unpivoted, equal values are counted before any exchange, and the order is
-    accumulated by ``ordered_cumsum``; only the rows around the wanted ranks survive. That way
-    serves up to MAX_BROADCAST_ROWS groups of any size; with ``many_groups`` the built-in
-    percentile per group serves any number of groups that each fit a task.
+    accumulated by ``ordered_cumsum``; only the rows around the wanted ranks survive. One plan
+    serves any number of groups of any size.
     """
     keys = list(keys)
     long = df.select(
@@ -85,8 +75,6 @@ def exact_quantiles(
         ).alias("e"),
     ).select(*keys, "e.name", "e.value").where(F.col("value").isNotNull())
     group = [*keys, "name"]
-    if many_groups:
-        return long.groupBy(*group).agg(F.percentile("value", [float(p) for p in probs]).alias("q"))
     counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = ordered_cumsum(counts, group, "value", ["n"])
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("total"))
@@ -99,7 +87,7 @@ def exact_quantiles(
     # ride on the rows as an array, so no pairs are formed
     ranks = wanted.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("ranks"))
     first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
-    hit = ranked.join(checked_broadcast(ranks), group).select(
+    hit = ranked.join(ranks, group).select(
         *group,
         "value",
         first.alias("first"),

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.operators.history import Metric, zero
-from tallyline.operators.ordering import checked_broadcast
 
 
 def _mean_sql(value: str, weight: str, where: str | None = None) -> str:
@@ -124,7 +123,7 @@ def with_season_priors(
     one row per player and season on the right; the league table one row per season.
     """
     own = role_priors(population, metrics, floors, [entity, "season"], role).withColumn("season", F.col("season") + 1)
-    league = checked_broadcast(season_league(log, population, metrics, role))
+    league = F.broadcast(season_league(log, population, metrics, role))
     joined = log.join(own, [entity, "season"], "left").join(league, "season")
     return joined.selectExpr(
         *log.columns, *[f"coalesce(own_{m.name}, any_{m.name}, league_{m.name}) AS prior_{m.name}" for m in metrics]

@@ -17,15 +17,15 @@ def classify_appearances(matchups: DataFrame, log: DataFrame, on=("game_date", "
     )
 
 
-def opener_flags(rows: DataFrame, entity: str = "player_id", limit: float = 0.25) -> DataFrame:
+def opener_flags(rows: DataFrame, entity: Sequence[str] = ("player_id",), limit: float = 0.25) -> DataFrame:
     """Starts / games below the limit; unknown or zero games -> not an opener."""
     share = F.try_divide(F.sum("gs").cast("double"), F.sum("games").cast("double"))
-    return rows.groupBy(entity).agg(F.coalesce(share < limit, F.lit(False)).alias("is_opener_flag"))
+    return rows.groupBy(*entity).agg(F.coalesce(share < limit, F.lit(False)).alias("is_opener_flag"))
 
 
-def classify_openers(rows: DataFrame, entity: str = "player_id") -> DataFrame:
+def classify_openers(rows: DataFrame, entity: Sequence[str] = ("player_id",)) -> DataFrame:
     flags = opener_flags(rows, entity)
-    return rows.join(flags, entity, "left").select(
+    return rows.join(flags, list(entity), "left").select(
         *rows.columns,
         (F.col("is_starter") & F.coalesce("is_opener_flag", F.lit(False))).alias("is_opener"),
     )

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyline.operators.history import Metric, measure, rolling_rates
 from tallyline.operators.metrics import TEAM_HALFLIVES, horizons
-from tallyline.operators.ordering import checked_broadcast
 from tallyline.operators.priors import prior_columns
 from tallyline.operators.sides import collapse_sides
 
@@ -61,7 +60,7 @@ def team_form(
         for h in halflives:
             ewms |= {f"__rs_{h}": (rs, h), f"__ra_{h}": (ra, h), f"__gp_{h}": (one, h)}
     size = options.pop("size", None) or measure(rows, entity)
-    with_priors = log.join(checked_broadcast(priors), season)  # one row per season
+    with_priors = log.join(F.broadcast(priors), season)  # one row per season
     extra = ["__alpha"] if pythagorean else []
     out = rolling_rates(
         with_priors, entity, order, metrics, halflives, keep=[*keep, *extra], date=None,

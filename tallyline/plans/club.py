@@ -45,23 +45,16 @@ def club_tables(v) -> dict[str, DataFrame]:
         "lineups": seasoned(v.matchups),
         "lineup_players": seasoned(v.lineups),
         "fielding": fielding,
-        "rosters": v.rosters.selectExpr("game_date", "team", "player_id + 1000 AS player_id", "'P' AS position"),
+        "rosters": seasoned(v.rosters.selectExpr("game_date", "team", "player_id + 1000 AS player_id", "'P' AS position")),
         "park_factors": v.parks.selectExpr("cast(venue_id as int) AS venue_id", "park_factor", "explode(array(1, 2)) AS season"),
     }
     return {name: pin(df, name) for name, df in derived.items()}  # stored tables, as in real use
 
 
-# one build per session and data folder; the tables lie in the shared scratch folder
-_BUILT: dict[tuple[str, str], tuple[dict[str, DataFrame], DataFrame]] = {}
-
-
 def built(v) -> tuple[dict[str, DataFrame], DataFrame]:
-    key = (v.spark.sparkContext.applicationId, v.dir)
-    if key not in _BUILT:
-        tables = club_tables(v)
-        features, _ = season_features(tables)
-        _BUILT[key] = tables, pin(features, "wide")
-    return _BUILT[key]
+    tables = club_tables(v)
+    features, _ = season_features(tables)
+    return tables, pin(features, "wide")
 
 
 @query("s1_wide_features")

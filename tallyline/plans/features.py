@@ -17,7 +17,7 @@ from tallyline.functions.market import MARKET_PROBABILITY, add_market_probabilit
 from tallyline.operators import asof, league, lineups, metrics, prepare, quotes, reserve, sides, teams
 from tallyline.operators.history import rolling_rates
 from tallyline.operators.metrics import horizons
-from tallyline.operators.ordering import checked_broadcast, exact_medians
+from tallyline.operators.ordering import exact_medians
 from tallyline.operators.priors import season_league, with_season_priors
 from tallyline.session import pin
 from tallyline.sources.sinks import cache_key, cached
@@ -88,7 +88,7 @@ def pitching_log(tables, matchups: DataFrame) -> DataFrame:
         "*", "k_percent - bb_percent AS k_bb_percent", "try_divide(wpa, gmli) AS wpa_li", "1 AS apps"
     )
     rows = reserve.classify_appearances(matchups.drop("season"), log)
-    return reserve.classify_openers(rows)
+    return reserve.classify_openers(rows, ["player_id", "season"])
 
 
 def pitching_block(tables, config: FeatureConfig, store: Store = pin) -> DataFrame:
@@ -112,8 +112,10 @@ def pitching_block(tables, config: FeatureConfig, store: Store = pin) -> DataFra
         extra_ewms={f"__{n}_{h}": (c, h) for n, c in (("velo", total), ("usage", usage)) for h in (2, 6)},
     )
     speed = F.expr(f"try_divide({total}, {usage})")
-    mean = tables["pitching_stats"].where(STARTER_WHERE).agg(F.avg(F.when(speed > 0, speed))).scalar()
-    starts = store(reserve.velocity_trend(starts, mean), "starters")
+    # one row per season
+    mean = log.where("is_starter").groupBy("season").agg(F.avg(F.when(speed > 0, speed)).alias("__velo_mean"))
+    starts = starts.join(F.broadcast(mean), "season", "left")
+    starts = store(reserve.velocity_trend(starts, F.col("__velo_mean")), "starters")
     starter_cols = [f"{m.name}_{h}" for m in metrics.STARTER for h in horizons(config.starter)]
     starter_cols += ["velo_season", "velo_short", "velo_long", "velo_diff", "is_opener"]
 
@@ -136,7 +138,7 @@ def pitching_block(tables, config: FeatureConfig, store: Store = pin) -> DataFra
     usage_rows = reserve.availability(known, group, leverage)
     means = reserve.group_means(known, group, pen_cols)
     out = pairs.join(usage_rows, group, "left").join(means, group, "left")
-    out = out.join(checked_broadcast(pen_priors), "season", "left")
+    out = out.join(F.broadcast(pen_priors), "season", "left")
     priors = {m.name: f"league_{m.name}" for m in metrics.RELIEVER}
     out = reserve.fill_with_priors(out, priors, "team_pen_")
     return out.drop(*[f"league_{m.name}" for m in metrics.RELIEVER], "season", "team_starter_id", "opposing_starter_id")
@@ -150,9 +152,10 @@ def bullpen_members(tables, matchups: DataFrame) -> DataFrame:
     ids = tables["pitching_stats"].groupBy(F.col("player_id").alias("team_starter_id")).agg(F.max("mlb_id").alias("starter_mlb_id"))
     starters = matchups.select("game_date", "team", "season", "team_starter_id").distinct().join(ids, "team_starter_id", "left")
     starters = starters.groupBy("game_date", "team", "season").agg(F.collect_set("starter_mlb_id").alias("starter_ids"))
-    pitchers = tables["rosters"].where("position IN ('P', 'TWP')").select("game_date", "team", "player_id").distinct()
-    listed = pitchers.join(starters, ["game_date", "team"])
-    filled = asof.forward_fill_groups(pitchers, starters, ["team"], "game_date", ["season", "starter_ids"])
+    pitchers = tables["rosters"].where("position IN ('P', 'TWP')").select("game_date", "team", "season", "player_id").distinct()
+    listed = pitchers.join(starters, ["game_date", "team", "season"])
+    # the first day of a season has no earlier roster
+    filled = asof.forward_fill_groups(pitchers, starters, ["team", "season"], "game_date", ["starter_ids"])
     return listed.unionByName(filled).where("NOT coalesce(array_contains(starter_ids, player_id), false)").drop("starter_ids")
 
 

@@ -8,7 +8,6 @@ from tallyline.functions.numeric import ratio
 from tallyline.operators import history, metrics, reserve, sides, teams
 from tallyline.operators.evaluate import stability_score
 from tallyline.operators.history import Metric
-from tallyline.operators.ordering import checked_broadcast
 from tallyline.operators.prepare import order_violations
 from tallyline.operators.priors import league_priors
 from tallyline.plans.registry import query, r, tidy
@@ -89,6 +88,26 @@ def e3(v):
     return tidy(out.select("entity", "game_date", "l_orderkey", "l_linenumber", ratio(F.col("a"), F.col("w")).alias("ewm_h3")))
 
 
+_GAP = 0.5 ** (1 / 0.65)
+
+
+@query(
+    "e3_long_gap",
+    f"""SELECT entity, game_date, l_orderkey, l_linenumber,
+          {r(f"list_reduce(a, lambda e, x: {_GAP!r} * e + {1 - _GAP!r} * x) / nullif(list_reduce(w, lambda e, x: {_GAP!r} * e + {1 - _GAP!r} * x), 0)")} AS ewm_gap
+        FROM (SELECT *, list(value * early) OVER p AS a, list(early) OVER p AS w FROM (
+          SELECT *, CASE WHEN row_number() OVER (PARTITION BY entity ORDER BY game_date, l_orderkey, l_linenumber) <= 10 THEN CAST(weight AS DOUBLE) ELSE 0.0 END AS early
+          FROM @supplier_log s) t
+         WINDOW p AS (PARTITION BY entity ORDER BY game_date, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x""",
+)
+def e3_long_gap(v):
+    """Weight on the first rows only: numerator and weight fade together, the rate stays."""
+    early = "if(row_number() OVER (PARTITION BY entity ORDER BY game_date, l_orderkey, l_linenumber) <= 10, cast(weight AS double), 0D)"
+    log = v.supplier_log.selectExpr("*", f"{early} AS early")
+    out = history.running_state(log, ["entity"], LOG_ORDER, ewms={"a": ("value * early", 0.65), "w": ("early", 0.65)})
+    return tidy(out.select("entity", "game_date", "l_orderkey", "l_linenumber", ratio(F.col("a"), F.col("w")).alias("ewm_gap")))
+
+
 @query(
     "e4_shrinkage",
     f"""SELECT player_id, game_date, dh, {r("CASE WHEN coalesce(bip, 0) > 0 THEN bip / (bip + 70.0) * woba + 70.0 / (bip + 70.0) * 25.0 ELSE 25.0 END")} AS shrunk
@@ -204,7 +223,7 @@ def _season_prior_sql(view, ms):
 
 
 def _player_block(v, log, ms, hs, season="season"):
-    priors = checked_broadcast(league_priors(log, ms, [season]))  # one row per season
+    priors = F.broadcast(league_priors(log, ms, [season]))  # one row per season
     return history.rolling_rates(log.join(priors, season), ["player_id", season], PLAYER_ORDER, ms, hs, keep=["player_id", "game_date", "dh"])
 
 

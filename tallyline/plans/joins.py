@@ -8,7 +8,6 @@ from tallyline.functions.context import season_month
 from tallyline.functions.market import add_market_probabilities
 from tallyline.operators import asof, backtest, dedupe, history, lineups, prepare, quotes, reserve, sides
 from tallyline.operators.history import Metric
-from tallyline.operators.ordering import checked_broadcast
 from tallyline.operators.priors import league_priors
 from tallyline.plans.expressions import _all_diffs, side_sql, wide_sides
 from tallyline.plans.histories import _season_prior_sql, sql_rolling
@@ -423,7 +422,7 @@ _G2M = (Metric("woba", "woba", "pa", 100),)
 def g2(v):
     """Several seasons in one plan: the season is part of the window key."""
     log = v.player_game
-    log = log.join(checked_broadcast(league_priors(log, _G2M, ["season"])), "season")
+    log = log.join(F.broadcast(league_priors(log, _G2M, ["season"])), "season")
     out = history.rolling_rates(log, ["player_id", "season"], ["game_date", "dh"], _G2M, (4,), keep=["player_id", "season", "game_date", "dh"], date=None)
     return tidy(out.drop("seq"))
 

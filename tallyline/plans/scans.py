@@ -149,6 +149,20 @@ def a13(v):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
 
 
+@query(
+    "a13_partition_move",
+    """SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS season FROM @orders o""",
+)
+def a13_partition_move(v):
+    """A fifth of the orders is delivered again with the next season: each order is stored once, in its new partition."""
+    path = f"{scratch_path(v.spark, 'upsert')}/table"
+    orders = v.orders.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "year(o_orderdate) AS season", "1 AS delivery")
+    moved = orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "season + 1 AS season", "2 AS delivery")
+    for batch in (orders, moved):
+        sinks.upsert_table(batch, path, ["o_orderkey"], ["delivery"], "season")
+    return v.spark.read.parquet(path).selectExpr("o_orderkey", "o_custkey", "o_totalprice", "bigint(season) AS season")
+
+
 @query(
     "a14_latest_players",
     """SELECT player_id, mlb_id, pos, team AS current_team, game_date FROM (

@@ -48,16 +48,28 @@ _own_scratch: str | None = None
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared checkpoint folder; a local folder only where none is set."""
+    """A fresh path in the shared checkpoint folder.
+
+    Only a session that is one process (master local) may do without one: it gets a folder of its own.
+    """
     global _own_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the executors of {master} share")
         if _own_scratch is None:
             _own_scratch = tempfile.mkdtemp(prefix="tallyline-")
         root = _own_scratch
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def pin(df, label: str):
     """Cut the lineage by writing the rows to the shared folder and reading them back."""
     spark = df.sparkSession

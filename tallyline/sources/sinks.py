@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.operators.dedupe import keep_last
-from tallyline.session import scratch_path
+from tallyline.session import drop_scratch, pin, scratch_path
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -31,24 +32,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def upsert_table(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], partition: str | None = None) -> None:
     """Merge a batch into a stored table.
 
-    With a partition column only the partitions the batch touches are read and rewritten. The
-    merged rows are staged in the shared folder first, so the table is never read and
-    overwritten in one job.
+    With a partition column, the partitions the batch falls into and those that hold one of its
+    keys are read and rewritten, so a key whose partition value changes leaves its old place
+    (finding them reads the keys of the table, no other column). The merged rows are staged in
+    the shared folder first; a partition that loses all its rows is removed. Without a partition
+    column the merged table is written beside the old one and takes its place by a rename.
     """
     spark = new.sparkSession
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        if partition:
-            old = old.join(new.select(partition).distinct(), partition, "left_semi")
-        merged = upsert(old, new, keys, version)
-    else:
+    if not _exists(spark, path):
         merged = keep_last(new, keys, version)
+        (merged.write.partitionBy(partition) if partition else merged.write).parquet(path)
+        return
+    old = spark.read.parquet(path)
+    if not partition:
+        beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        upsert(old, new, keys, version).write.parquet(beside)
+        _replace(spark, beside, path)
+        return
+    held = old.join(new.select(*keys).distinct(), list(keys), "left_semi").select(partition)
+    touched = pin(held.union(new.select(F.col(partition).cast(old.schema[partition].dataType))).distinct(), "touched")
+    same = F.col(partition).eqNullSafe(F.col("__p"))
+    part = old.join(touched.withColumnRenamed(partition, "__p"), same, "left_semi")
     staged = scratch_path(spark, "upsert")
-    merged.write.parquet(staged)
-    writer = spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite")
-    if partition:
-        writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    upsert(part, new, keys, version).write.parquet(staged)
+    merged = spark.read.parquet(staged)
+    merged.write.mode("overwrite").partitionBy(partition).option("partitionOverwriteMode", "dynamic").parquet(path)
+    # bounded by the partitions of the table
+    for row in touched.join(merged.select(partition).distinct().withColumnRenamed(partition, "__p"), same, "left_anti").collect():
+        value = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
+        drop_scratch(spark, f"{path.rstrip('/')}/{partition}={value}")
+    drop_scratch(spark, staged)
+
+
+def _replace(spark: SparkSession, new: str, path: str) -> None:
+    """Rename ``new`` to ``path``; the table that was there stays until the new one is in place."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files, before = of(path).getFileSystem(conf), f"{new}-before"
+    if not (files.rename(of(path), of(before)) and files.rename(of(new), of(path))):
+        raise OSError(f"could not rename {new} to {path}; the old table is at {before}")
+    files.delete(of(before), True)
+    spark.catalog.refreshByPath(path)
 
 
 def refresh_table(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -66,6 +66,18 @@ def test_running_state(spark, log, options):
             )
 
 
+@pytest.mark.parametrize("options", [{}, {"segment_rows": 500}])
+def test_a_long_gap_keeps_the_rate(spark, options):
+    """Weight on the first ten rows only: after 960 half-lives the rate is still that of the recursion."""
+    df = spark.range(2_900).selectExpr("'p' AS entity", "id AS day", "if(id < 10, double(id), 99D) AS v", "if(id < 10, 1D, 0D) AS w")
+    out = running_state(df, ["entity"], ["day"], ewms={"n": ("v * w", 3), "d": ("w", 3)}, clock="day", **options)
+    rates = [r.rate for r in out.orderBy("day").selectExpr("try_divide(n, d) AS rate").collect()]
+    a, n, d = 0.5 ** (1 / 3), 0.0, 0.0
+    for i in range(10):
+        n, d = (float(i), 1.0) if i == 0 else (a * n + (1 - a) * i, a * d + (1 - a))
+    np.testing.assert_allclose(rates[10:], n / d, rtol=1e-9)
+
+
 def test_segments_bound_the_rows_of_a_window(spark, log):
     from tallyline.operators.history import _hot_entities
 

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tallyline.operators.ordering import checked_broadcast, exact_medians, exact_quantiles, ordered_cumsum, row_positions
+from tallyline.operators import evaluate
+from tallyline.operators.ordering import exact_medians, exact_quantiles, ordered_cumsum, row_positions
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
 
@@ -17,10 +18,9 @@ def samples():
 def test_exact_quantiles(spark, samples):
     rows = [(k, float(x)) for k, xs in samples.items() for x in xs] + [("heavy", None)]
     df = spark.createDataFrame(rows, "k string, x double")
-    for many in (False, True):
-        got = {r["k"]: r["q"] for r in exact_quantiles(df, ["x"], PROBS, ["k"], many).collect()}
-        for k, xs in samples.items():
-            np.testing.assert_allclose(got[k], np.quantile(xs, PROBS), rtol=1e-12)
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["x"], PROBS, ["k"]).collect()}
+    for k, xs in samples.items():
+        np.testing.assert_allclose(got[k], np.quantile(xs, PROBS), rtol=1e-12)
 
 
 def test_medians_of_several_columns(spark):
@@ -44,8 +44,10 @@ def test_row_positions(spark):
     assert list(got["pos"]) == list(range(12))
 
 
-def test_broadcast_is_refused_beyond_its_limit(spark):
-    left = spark.range(3)
-    assert left.join(checked_broadcast(spark.range(3), 5), "id").count() == 3
-    with pytest.raises(Exception, match="more than 5 rows"):
-        left.join(checked_broadcast(spark.range(9), 5), "id").collect()
+def test_more_than_ten_thousand_groups(spark):
+    df = spark.range(30_003).selectExpr("id % 10001 AS k", "cast(id DIV 10001 AS double) AS x", "cast(id % 2 AS int) AS y", "(1 + id DIV 10001) / 10D AS p")
+    q = exact_quantiles(df, ["x"], [0.5, 1.0], ["k"])
+    assert q.count() == 10_001 and q.where("q[0] <> 1 OR q[1] <> 2").count() == 0
+    auc = evaluate.roc_auc(df, ["k"])
+    assert auc.count() == 10_001
+    assert "SinglePartition" not in auc._jdf.queryExecution().executedPlan().toString()

@@ -90,3 +90,17 @@ def test_schedule_rejects(spark):
     good, bad = payloads.flatten_schedule(raw)
     assert [(r["game_id"], r["winning_team"], r["losing_team"], r["venue_elevation"]) for r in good.collect()] == [("1", "NYM", "NYY", 0)]
     assert sorted(r["game_id"] for r in bad.collect()) == ["2", "4"]
+
+
+def test_a_key_leaves_its_old_partition(spark, tmp_path):
+    path = str(tmp_path / "moving")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, season int, ver int")
+    sinks.upsert_table(rows((1, 2000, 1), (2, 2001, 1), (3, 2002, 1)), path, ["k"], ["ver"], "season")
+    sinks.upsert_table(rows((1, 2001, 2)), path, ["k"], ["ver"], "season")
+    got = sorted((r.k, r.season) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 2001), (2, 2001), (3, 2002)]
+    flat = str(tmp_path / "flat")
+    for batch in (rows((1, 1, 1)), rows((1, 2, 2), (2, 2, 2))):
+        sinks.upsert_table(batch, flat, ["k"], ["ver"])
+    assert sorted((r.k, r.season) for r in spark.read.parquet(flat).collect()) == [(1, 2), (2, 2)]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("flat")] == ["flat"]
