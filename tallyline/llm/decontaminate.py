@@ -43,7 +43,8 @@ def shingles_sql(words: str, n: int) -> str:
 def simhash_sql(words: str) -> str:
     ones = "aggregate(hs, 0, (s, h) -> s + int(shiftright(h, b) & 1L))"
     bits = f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if(2 * {ones} > size(hs), 1L, 0L), b))"
-    return f"element_at(transform(array(transform({words}, w -> xxhash64(w))), hs -> {bits}), 1)"
+    # never null, or the join below would get a null check that computes all this once more
+    return f"coalesce(element_at(transform(array(transform({words}, w -> xxhash64(w))), hs -> {bits}), 1), 0L)"
 
 
 def blocks_sql(print_: str, radius: int) -> str:
@@ -72,7 +73,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     windows = None
     for length, part in itertools.product(lengths, range(parts)):
         own = F.broadcast(wanted.where(f"len = {length} AND pmod(h, {parts}) = {part}"))
-        runs = worded.selectExpr("key", "fp", "words", "size(words) AS total", f"posexplode({shingles_sql('words', length)}) AS (pos, h)")
+        # the hashes are a column of their own: a generator over a lambda expression would copy the words for every position,
+        # and a filter for empty arrays (which the outer form does without) would compute them twice
+        runs = worded.selectExpr("key", "fp", "words", f"{shingles_sql('words', length)} AS runs").selectExpr(
+            "key", "fp", "words", "size(words) AS total", "posexplode_outer(runs) AS (pos, h)")
         # the window is cut out of the row at hand, so no text has to be fetched or shuffled
         found = runs.join(own, "h").selectExpr("key", "fp", "n", "words", "total", "least(pos, greatest(0, total - n)) AS s").selectExpr(
             "key", "fp", "n", "s", "least(n, total) AS long", "slice(words, s + 1, n) AS words")
@@ -92,10 +96,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         f"{first_shared_block('print', 'their_print', radius)} AS first_no",
     ).where(f"distance <= {radius} AND no = first_no")
     own = f"CASE {' '.join(f'WHEN size(theirs) = 1 AND long = {n} THEN ' + shingles_sql('words', n) for n in range(1, SHINGLE))} ELSE {shingles_sql('words', SHINGLE)} END"
-    pairs = pairs.selectExpr("*", f"{own} AS shingles")
+    # a generator keeps the costly check above the join: as a filter it would be computed for every pair of equal blocks
+    pairs = pairs.selectExpr("key", "fp", "s", "long", "item", "distance", f"inline_outer(array(struct({own} AS mine, theirs AS wanted)))")
     count = "size(filter({}, y -> y = x))"
-    shared = f"aggregate(array_distinct(theirs), 0, (a, x) -> a + least({count.format('shingles')}, {count.format('theirs')}))"
-    scored = pairs.selectExpr("*", f"{shared} AS both").selectExpr("*", "both / double(size(shingles) + size(theirs) - both) AS similarity")
+    shared = f"aggregate(array_distinct(wanted), 0, (a, x) -> a + least({count.format('mine')}, {count.format('wanted')}))"
+    pairs = pairs.selectExpr("*", f"inline_outer(array(struct({shared} AS both)))")
+    scored = pairs.selectExpr("*", "both / double(size(mine) + size(wanted) - both) AS similarity")
     best = scored.where(f"similarity >= {similarity}D").groupBy("key", "fp", "item").agg(
         F.min(F.expr("struct(-similarity AS low, distance, s, long)")).alias("b"))
     return best.selectExpr(
