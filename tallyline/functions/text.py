@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 from tallyline.functions.numeric import as_col
 
-# Accented Latin letters and their base letters, position by position.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöōőŕřśšťùúûüūůűýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorrsstuuuuuuuyyzzz"
+
+@cache
+def accented() -> tuple[str, str]:
+    """Every precomposed lower-case letter of the basic plane and its base letter, position by position."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter.islower() and all(unicodedata.category(m) == "Mn" for m in marks):
+            found[letter] = base
+    return "".join(found), "".join(found.values())
+
+
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
 def normalize_name(name: Column | str) -> Column:
     """'Guerrero Jr., Vladimir' -> 'vladimir guerrero jr'; NULL -> ''."""
     text = F.lower(F.coalesce(as_col(name), F.lit("")))
-    text = F.translate(text, ACCENTED, PLAIN)
+    text = F.translate(text, *accented())
     text = F.regexp_replace(text, r"\p{Mn}", "")
     halves = F.split(text, ",")
     text = F.when(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import MODEL_CLIP, clip, logit, one_row
 from tallyline.operators.ordering import exact_quantiles, ordered_cumsum
+from tallyline.session import pin
 
 GROUP = ("model", "split")
 
@@ -17,11 +18,12 @@ def log_loss_of(y: Column, p: Column) -> Column:
 
 
 def score_counts(pred: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
-    """Positives and negatives per distinct (clipped) score."""
-    return pred.select(*keys, "y", clip("p", *MODEL_CLIP).alias("p")).groupBy(*keys, "p").agg(
+    """Positives and negatives per distinct (clipped) score, written once: every statistic below reads it several times."""
+    counts = pred.select(*keys, "y", clip("p", *MODEL_CLIP).alias("p")).groupBy(*keys, "p").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"),
     )
+    return pin(counts, "score-counts")
 
 
 def roc_auc(pred: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import one_row
+from tallyline.session import pin
 
 KNOTS = 64
 SUB_BUCKETS = 4096
@@ -75,7 +76,8 @@ def exact_quantiles(
         ).alias("e"),
     ).select(*keys, "e.name", "e.value").where(F.col("value").isNotNull())
     group = [*keys, "name"]
-    counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    # read five times below, so written once
+    counts = pin(long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     ranked = ordered_cumsum(counts, group, "value", ["n"])
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("total"))
     wanted = sizes.select(

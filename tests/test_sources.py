@@ -104,3 +104,11 @@ def test_a_key_leaves_its_old_partition(spark, tmp_path):
         sinks.upsert_table(batch, flat, ["k"], ["ver"])
     assert sorted((r.k, r.season) for r in spark.read.parquet(flat).collect()) == [(1, 2), (2, 2)]
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("flat")] == ["flat"]
+
+
+def test_accents_of_every_latin_letter(spark):
+    from tallyline.functions.text import normalize_name
+
+    names = ["Nguyễn", "Ḥĝǎ", "José Ramírez", "Łuk", "Čech, Ǻsa", "Ḗ"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.x for r in df.select(normalize_name("n").alias("x")).collect()] == ["nguyen", "hga", "jose ramirez", "łuk", "asa cech", "e"]
