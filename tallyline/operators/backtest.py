@@ -9,7 +9,7 @@ from tallyline.operators.dedupe import duplicate_groups, keep_first
 from tallyline.operators.prepare import half_point
 
 
-def attach_predictions(quotes: DataFrame, predictions: DataFrame, key: str = "game_id", validate: bool = False) -> DataFrame:
+def attach_predictions(quotes: DataFrame, predictions: DataFrame, key: str = "game_id", validate: bool = True) -> DataFrame:
     """Every quote with the prediction of its game, if any (1:m)."""
     if validate and duplicate_groups(predictions, [key]).first():
         raise ValueError("predictions are not unique per game")

@@ -406,9 +406,9 @@ def _hist_sql(src, value, bins):
       FROM (SELECT unnest(range({bins})) AS i) g LEFT JOIN c ON c.bin = i, s"""
 
 
-@query("d24_logit_delta_histogram", _hist_sql(f"(SELECT * FROM {_DL} dd WHERE model = 'm1')", "delta", 50))
+@query("d24_logit_delta_histogram", _hist_sql(_DL, "delta", 50))
 def d24b(v):
-    return tidy(evaluate.histogram(evaluate.logit_delta(v.preds.where("model = 'm1'")), "delta", 50))
+    return tidy(evaluate.histogram(evaluate.logit_delta(v.preds), "delta", 50))
 
 
 @query(

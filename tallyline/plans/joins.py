@@ -117,7 +117,7 @@ def c7(v):
     return tidy(asof.asof_before(v.rosters, stats, ["player_id"], "game_date", ["last_dh", "stat_date", "fip"], ["last_dh"]))
 
 
-_WANT = "(SELECT DISTINCT game_date, team, team_starter_id FROM @matchups m WHERE dh = 1)"
+_WANT = "(SELECT DISTINCT game_date, team, team_starter_id FROM @matchups m)"
 _FILL = f"""(SELECT w.game_date, w.team, w.team_starter_id, r.player_id FROM
     (SELECT w.*, (SELECT max(game_date) FROM @rosters r WHERE r.team = w.team AND r.game_date < w.game_date) AS src FROM {_WANT} w
      WHERE NOT EXISTS (SELECT 1 FROM @rosters r WHERE r.team = w.team AND r.game_date = w.game_date)) w JOIN @rosters r ON r.team = w.team AND r.game_date = w.src)"""
@@ -125,7 +125,7 @@ _FILL = f"""(SELECT w.game_date, w.team, w.team_starter_id, r.player_id FROM
 
 @query("c8_roster_forward_fill", f"SELECT * FROM {_FILL} f")
 def c8(v):
-    want = v.matchups.where("dh = 1").select("game_date", "team", "team_starter_id").distinct()
+    want = v.matchups.select("game_date", "team", "team_starter_id").distinct()
     return asof.forward_fill_groups(v.rosters, want, ["team"], "game_date", ["team_starter_id"])
 
 
@@ -134,7 +134,7 @@ def c8(v):
     f"SELECT r.game_date, r.team, r.player_id FROM @rosters r LEFT JOIN {_WANT} w ON r.game_date = w.game_date AND r.team = w.team WHERE coalesce(r.player_id <> w.team_starter_id, TRUE)",
 )
 def c9(v):
-    want = v.matchups.where("dh = 1").select("game_date", "team", "team_starter_id").distinct()
+    want = v.matchups.select("game_date", "team", "team_starter_id").distinct()
     return reserve.exclude_starter(v.rosters.join(want, ["game_date", "team"], "left")).select("game_date", "team", "player_id")
 
 
