@@ -43,15 +43,6 @@ def settle(won: Column | str, price_probability: Column | str) -> Column:
     return y * (ratio(F.lit(1.0), d) - 1) - (1 - y)
 
 
-def is_market_column(name: str) -> bool:
-    return name in MARKET_COLUMNS or name.startswith(MARKET_PREFIXES)
-
-
-def baseball_columns(names) -> list[str]:
-    """Everything that is neither market information nor the stacked logit."""
-    return [c for c in names if c != STACKED_LOGIT and not is_market_column(c)]
-
-
 # Names that mark market information in a wide feature table.
 MARKET_PROBABILITY = "p_open_home_median_nv"
 STACKED_LOGIT = "pretrained_baseball_logit"
@@ -63,3 +54,15 @@ MARKET_PREFIXES = (
     "home_opening_logit_",
     "away_opening_logit_",
 )
+
+
+def role_of(column: str) -> str:
+    """What a column of the wide table is: 'stack' (the stacked logit), 'market' or 'baseball'."""
+    if column == STACKED_LOGIT:
+        return "stack"
+    listed = set(MARKET_COLUMNS) & {column} or [p for p in MARKET_PREFIXES if column.startswith(p)]
+    return "market" if listed else "baseball"
+
+
+def of_role(columns, role: str) -> list[str]:
+    return [c for c in columns if role_of(c) == role]

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.functions.market import MARKET_PROBABILITY, STACKED_LOGIT, baseball_columns
+from tallyline.functions.market import MARKET_PROBABILITY, STACKED_LOGIT, of_role
 from tallyline.functions.numeric import MODEL_CLIP, clip, logit, sigmoid
 from tallyline.operators.evaluate import log_loss_of
 
@@ -66,7 +66,7 @@ def predict_market_free(model, df: DataFrame, features: Sequence[str], output: s
 
 def stack_logit(df: DataFrame, model, pretrained_features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The market-free model's logit as one more feature, after the signature contract."""
-    actual = [c for c in baseball_columns(df.columns) if c not in keys]
+    actual = [c for c in of_role(df.columns, "baseball") if c not in keys]
     missing = sorted(set(pretrained_features) - set(actual))
     extra = sorted(set(actual) - set(pretrained_features))
     if missing or extra:
