@@ -18,8 +18,9 @@ segments than the slack demands cannot be links.
 
 Sets that large groups leave short meet once more among themselves, by single shingles: the slack is then two thirds of the
 set, so shared passages and lines no longer matter. What is still short consists of common shingles, like a large group of
-near-copies: its members are compared with one per group, then, in as many of its smallest groups as the set lacks, with
-members of other components. Everything found is verified on the whole texts.
+near-copies. With one order of all shingles, rarest first, the first one that two linked sets share is among the H + 1 first
+of both; so such sets meet in as many of their smallest large groups as they lack, in blocks: a matrix product gives all
+overlaps of two blocks, and only links that connect something leave the task. Everything else is verified on whole texts.
 
 Copies of one set are one class throughout. Defined results: null, empty or blank texts have no shingles and are linked with
 nothing; a text of fewer than ``n`` words has one shingle. Rows without an id take no part (their component is null).
@@ -42,6 +43,9 @@ N = 5
 # the similarity is 3/4 throughout: bands, H and the check are written for it
 GROUP = 16  # larger groups of one signature are not turned into pairs at once
 ENTRIES = 1_000_000  # signatures a task packs together
+# sets of a large group that meet in a task come from two blocks of about this size
+BLOCK_SETS = 1_000
+BLOCK_SHINGLES = 2_000_000
 BROADCAST_IDS = 1_000_000  # candidates' ids are broadcast up to this many, else joined by a shuffle
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,6 +231,55 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+def link_block(table: pa.Table) -> pa.Table:
+    """Links inside one block of a large group, as few as connect what is linked. Overlaps come from a matrix product."""
+    names = table.column("class").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    common = counts[ids] > 1
+    number = np.cumsum(counts > 1) - 1
+    row, ids = row[common], number[ids[common]]
+    order = np.argsort(ids, kind="stable")
+    row, ids = row[order], ids[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 2048):
+        part = slice(*np.searchsorted(ids, (low, low + 2048)))
+        there = np.zeros((len(sets), 2048), np.float32)
+        there[row[part], ids[part] - low] = 1
+        both += there @ there.T
+    linked = 7 * both.astype(np.int64) >= 3 * (sizes[:, None] + sizes[None, :])
+    root = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, root[None, :], len(sets)).min(1)
+        lower = np.minimum(lower, root)
+        if (lower == root).all():
+            break
+        root = lower
+    apart = np.flatnonzero(root != np.arange(len(sets)))
+    return pa.table({"a": names[apart], "b": names[root[apart]]})
+
+
+def dense_links(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the sets (sig, class) of large groups. A group is cut into blocks; every two blocks meet in one task."""
+
+    def unpack(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in sets_of(unpacked(batch.column("packed").to_pylist()))]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
+
+    wanted = texts.join(chosen.select("class").distinct(), "class", "left_semi").select("class", "packed")
+    shingles = pin(wanted.mapInArrow(unpack, "class long, shingles binary"), "large-group-sets")
+    lengths = chosen.join(shingles.selectExpr("class", "octet_length(shingles) div 8 AS length"), "class")
+    sizes = lengths.groupBy("sig").agg(F.count("*").alias("size"), F.sum("length").alias("length")).where("size > 1")
+    sizes = sizes.selectExpr("sig", f"int(ceil(greatest(size / {BLOCK_SETS}D, length / {BLOCK_SHINGLES}D))) AS n")
+    cut = chosen.join(sizes, "sig").selectExpr("sig", "class", "n", "int(pmod(xxhash64(class), n)) AS block")
+    cut = cut.selectExpr("sig", "class", "block", "explode(sequence(0, n - 1)) AS other").selectExpr(
+        "sig", "class", "least(block, other) AS i", "greatest(block, other) AS j")
+    return cut.join(shingles, "class").groupBy("sig", "i", "j").applyInArrow(link_block, "a long, b long")
+
+
 def classes_of(docs: DataFrame, key: str, text: str, carry_text: bool = False) -> DataFrame:
     """(id, n, class, other) of every row, with the packed text on demand."""
     kind = docs.schema[key].dataType.simpleString()
@@ -284,29 +337,20 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", group
     some = docs.select(key, text).join(ids, key, "left_semi")
     texts = pin(classes_of(some, key, text, carry_text=True).where("n > 0").select("class", "packed").dropDuplicates(["class"]), "candidate-texts")
 
-    members = None
+    found = None
     if not short.isEmpty():
         again = texts.join(short, "class", "left_semi").select("packed")
         more, hot, lacks = settle(groups(again.mapInArrow(lambda b: pack(b, "packed", shards, True), PACKED)))
-        members = pin(hot.join(lacks, ["class", "tag"]), "large-group-members")
-        centres = members.groupBy("sig").agg(F.min("class").alias("centre"))
-        star = pin(members.join(centres, "sig").where("class <> centre").selectExpr("centre AS a", "class AS b").distinct(), "star-pairs")
-        pairs = pairs.union(more).union(star).distinct()
-    links = pin(verify(pairs, texts), "links-found")
+        pairs = pairs.union(more).distinct()
+        # rarest shingles first, the same order for all sets: the first common shingle of a link is among those both sets need
+        sizes = hot.groupBy("sig").agg(F.count("*").alias("size"))
+        chosen = hot.join(lacks, ["class", "tag"]).join(sizes, "sig").selectExpr(
+            "sig", "class", "lack", "row_number() OVER (PARTITION BY class, tag ORDER BY size, sig) AS nth").where("nth <= lack")
+        chosen = pin(chosen.select("sig", "class"), "large-group-members")
+        found = dense_links(chosen, texts)
+    links = verify(pairs, texts)
+    links = pin(links if found is None else links.union(found), "links-found")
     part = components(links)
-    if members is not None and not members.isEmpty():
-        # members of large groups that the first links have not brought together
-        placed = pin(members.join(part.withColumnRenamed("node", "class"), "class", "left").selectExpr("sig", "class", "tag", "lack", "coalesce(root, class) AS root"), "placed")
-        several = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size")).where("r <> s").select("sig", "size")
-        open_ = placed.join(several, "sig")
-        # a set that lacks k segments looks into the k smallest of its large groups
-        chosen = open_.selectExpr("*", "row_number() OVER (PARTITION BY class, tag ORDER BY size, sig) AS nth").where("nth <= lack")
-        across = chosen.selectExpr("sig", "class AS x", "root AS rx").join(placed.selectExpr("sig", "class AS y", "root AS ry"), "sig").where("rx <> ry")
-        across = across.selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct().join(star.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti")
-        across = pin(across, "pairs-across")
-        if not across.isEmpty():
-            links = pin(links.union(verify(across, texts)), "links-found")
-            part = components(links)
     heads = classes.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     low = heads.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = heads.join(low, "root").select("n", "class", "other", "component_id")
