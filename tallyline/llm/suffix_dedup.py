@@ -15,7 +15,7 @@ form its context, one contiguous stretch of text.
 3. The removed windows come back to the batches, which cut their texts.
 
 Batches are written to the shared folder once, so their ids and orders are the same in every step and after a retry. Hashes
-decide in step 1 only (40 + 48 bits beside the shard); no pair of occurrences is ever formed.
+decide in step 1 only (40 + 40 bits beside the shard); no pair of occurrences is ever formed.
 
 Defined results: null text is empty. Texts shorter than LENGTH are kept whole. Rows without an id are kept whole and remove
 nothing; repeated ids do not remove each other. Empty tables give no rows. Only the named columns are read.
@@ -155,7 +155,7 @@ def stage(batches):
         real = np.array([i is not None for i in ids], bool)
         numbers = np.array([0 if i is None else i for i in ids], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        packed = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
         values = [uuid.uuid4().int >> 65, packed, numbers.tobytes(), real.tobytes(), sizes.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(values)], [f.split()[0] for f in STAGED.split(", ")])
 
@@ -176,7 +176,7 @@ ENTRIES = "shard int, batch long, a_low binary, a_high binary, c_low binary, c_h
 
 
 def send_entries(batches, shards: int):
-    """Per batch and shard: 40 bits of the anchor, 48 of the context, the documents' ids with their counts."""
+    """Per batch and shard: 40 bits of the anchor, 40 of the context, the documents' ids with their counts."""
     for table in batches:
         for name, *packed in zip(*[table.column(c).to_pylist() for c in ("batch", "payload", "ids", "real", "sizes")]):
             b = Batch(*packed, shards)
@@ -186,7 +186,7 @@ def send_entries(batches, shards: int):
                 docs, counts = np.unique(b.doc[part], return_counts=True)
                 a, c = b.anchor[part], b.context[part]
                 rows.append((int(shard), name, a.astype(np.uint32).tobytes(), (a >> np.uint64(32)).astype(np.uint8).tobytes(), c.astype(np.uint32).tobytes(),
-                             (c >> np.uint64(32)).astype(np.uint16).tobytes(), docs.tobytes(), counts.astype(np.uint32).tobytes()))
+                             (c >> np.uint64(32)).astype(np.uint8).tobytes(), docs.tobytes(), counts.astype(np.uint32).tobytes()))
             if rows:
                 yield _rows(rows, ENTRIES)
 
@@ -203,7 +203,7 @@ FLAGS = "batch long, shard int, repeats binary, asked binary"
 def merge_entries(table: pa.Table) -> pa.Table:
     """Of one shard: the entries whose context a smaller id has, and those that share their anchor with other contexts."""
     blobs = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (
-        ("a_low", np.uint32), ("a_high", np.uint8), ("c_low", np.uint32), ("c_high", np.uint16), ("docs", np.int64), ("counts", np.uint32))}
+        ("a_low", np.uint32), ("a_high", np.uint8), ("c_low", np.uint32), ("c_high", np.uint8), ("docs", np.int64), ("counts", np.uint32))}
     sizes = [len(x) for x in blobs["a_low"]]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     anchor = np.concatenate(blobs["a_high"]).astype(np.int64) << 32 | np.concatenate(blobs["a_low"])
