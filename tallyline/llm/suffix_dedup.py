@@ -368,7 +368,7 @@ def meet_contexts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows, schema)])
 
 
-def cut(batches, key: str, kind: pa.DataType):
+def cut(batches, key: str):
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of the batches."""
     for table in batches:
         for payload, ids, real, sizes, ranges in zip(*[table.column(c).to_pylist() for c in ("payload", "ids", "real", "sizes", "ranges")]):
@@ -405,4 +405,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ranges = sent.where("shard < 0").select("batch", "low", "high").union(met)
     ranges = ranges.groupBy("batch").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     return staged.join(ranges.hint("merge"), "batch", "left").mapInArrow(
-        lambda b: cut(b, key, None), f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        lambda b: cut(b, key), f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
