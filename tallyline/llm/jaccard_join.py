@@ -262,22 +262,24 @@ def link_block(table: pa.Table) -> pa.Table:
 
 
 def dense_links(chosen: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among the sets (sig, class) of large groups. A group is cut into blocks; every two blocks meet in one task."""
+    """Links among the sets (sig, class) of large groups. What hangs together is cut into blocks; every two blocks meet in one task."""
 
     def unpack(batches):
         for batch in batches:
             sets = [s.tobytes() for s in sets_of(unpacked(batch.column("packed").to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
 
+    # sets that share a needed signature, directly or through others: every set travels once, not once per signature
+    part = components(chosen.selectExpr("class AS a", "sig AS b")).selectExpr("node AS class", "root")
     wanted = texts.join(chosen.select("class").distinct(), "class", "left_semi").select("class", "packed")
     shingles = pin(wanted.mapInArrow(unpack, "class long, shingles binary"), "large-group-sets")
-    lengths = chosen.join(shingles.selectExpr("class", "octet_length(shingles) div 8 AS length"), "class")
-    sizes = lengths.groupBy("sig").agg(F.count("*").alias("size"), F.sum("length").alias("length")).where("size > 1")
-    sizes = sizes.selectExpr("sig", f"int(ceil(greatest(size / {BLOCK_SETS}D, length / {BLOCK_SHINGLES}D))) AS n")
-    cut = chosen.join(sizes, "sig").selectExpr("sig", "class", "n", "int(pmod(xxhash64(class), n)) AS block")
-    cut = cut.selectExpr("sig", "class", "block", "explode(sequence(0, n - 1)) AS other").selectExpr(
-        "sig", "class", "least(block, other) AS i", "greatest(block, other) AS j")
-    return cut.join(shingles, "class").groupBy("sig", "i", "j").applyInArrow(link_block, "a long, b long")
+    placed = pin(shingles.selectExpr("class", "octet_length(shingles) div 8 AS length").join(part, "class"), "large-group-parts")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size"), F.sum("length").alias("length")).where("size > 1")
+    sizes = sizes.selectExpr("root", f"int(ceil(greatest(size / {BLOCK_SETS}D, length / {BLOCK_SHINGLES}D))) AS n")
+    cut = placed.join(sizes, "root").selectExpr("root", "class", "n", "int(pmod(xxhash64(class), n)) AS block")
+    cut = cut.selectExpr("root", "class", "block", "explode(sequence(0, n - 1)) AS other").selectExpr(
+        "root", "class", "least(block, other) AS i", "greatest(block, other) AS j")
+    return cut.join(shingles, "class").groupBy("root", "i", "j").applyInArrow(link_block, "a long, b long")
 
 
 def classes_of(docs: DataFrame, key: str, text: str, carry_text: bool = False) -> DataFrame:
