@@ -1,9 +1,9 @@
 """Licence scan: a positional index of rare licence words per file, intersected with template postings.
 
-For every file the licence words that are rarest in the corpus (highest IDF) are looked up; each occurrence proposes the
-start of every template that has the word, the other words of the template are compared at their relative positions, and
-a template counts when its key phrase stands there and enough of its IDF mass matches. Base phrases are templates whose
-rarest word is always looked up and which have to match in full, so all their places are found.
+For every template the word of its key phrase that is rarest in the corpus (highest IDF) is looked up in every file; each
+occurrence proposes a start, the other words of the template are compared at their relative positions, and the template
+counts when its key phrase stands there and enough of its IDF mass matches. As the key phrase has to be in place, all
+places of all templates are found. Base phrases are looked up by their rarest word alike and have to match in full.
 
 Defined results: null text is empty; an empty text or table has no words and no labels. Repeated rows are scanned alike.
 Only ``key`` and ``text`` are read.
@@ -36,7 +36,6 @@ TEMPLATES = (
     ("reserved", "all rights reserved", "all rights reserved"),
 )
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKED_UP = 4
 THRESHOLD = 0.5
 
 
@@ -58,37 +57,35 @@ def inverse_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, fl
     return {w: 1.0 + math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _starts(phrase: list[str], tokens: dict[str, int]) -> str:
-    """Starts proposed by the occurrences of the looked-up tokens: token -> its position in the phrase."""
-    lists = [f"transform(filter(hits, h -> h.w = '{w}'), h -> h.i - {at})" for w, at in tokens.items()]
-    return f"array_distinct(concat({', '.join(lists)}))"
+def _starts(word: str, at: int) -> str:
+    """Starts proposed by the occurrences of the looked-up word, which stands at one position of the phrase."""
+    return f"transform(filter(hits, h -> h.w = '{word}'), h -> h.i - {at})"
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, templates=TEMPLATES,
-                  looked_up: int = LOOKED_UP, threshold: float = THRESHOLD) -> DataFrame:
+                  threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row."""
     words = with_words(docs, key, text)
     vocabulary = sorted({w for phrase, _ in base for w in phrase.split()} | {w for _, t, _ in templates for w in t.split()})
     idf = inverse_frequencies(words, vocabulary)
-    rank = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    anchors = {p: max(p.split(), key=lambda w: (idf[w], w)) for p, _ in base}
-    # words of which at least one is in every file worth a closer look: anchors of the base, the rarest words of each key phrase
-    doors = sorted(set(anchors.values()) | {max(k.split(), key=lambda w: (idf[w], w)) for _, _, k in templates})
+    # the rarest word of each base phrase and key phrase; at least one of them is in every file worth a closer look
+    anchors = {p: max(p.split(), key=lambda w: (idf[w], w)) for p in [p for p, _ in base] + [k for _, _, k in templates]}
+    doors = sorted(set(anchors.values()))
 
     rows = words.selectExpr(
         f"`{key}`", "size(__words) AS n_words", f"CASE WHEN arrays_overlap(__words, {_quoted(doors)}) THEN __words END AS words"
     ).selectExpr(
-        f"`{key}`", "n_words", "words", f"slice(array_intersect({_quoted(rank)}, words), 1, {looked_up}) AS top",
-        f"filter(transform(words, (w, i) -> struct(w, i)), h -> h.w IN ({', '.join(repr(w) for w in vocabulary)})) AS hits",
+        f"`{key}`", "n_words", "words",
+        f"filter(transform(words, (w, i) -> struct(w, i)), h -> h.w IN ({', '.join(repr(w) for w in doors)})) AS hits",
     )
 
     places, base_labels = [], []
     for phrase, label in base:
         parts = phrase.split()
         fits = " AND ".join(f"get(words, s + {j}) <=> '{w}'" for j, w in enumerate(parts))
-        places.append(f"filter({_starts(parts, {anchors[phrase]: parts.index(anchors[phrase])})}, s -> s >= 0 AND {fits})")
+        places.append(f"filter({_starts(anchors[phrase], parts.index(anchors[phrase]))}, s -> s >= 0 AND {fits})")
         base_labels.append(label)
-    # an anchor that stands twice in its phrase would miss nothing: array_distinct over one relative position is complete
+    # an anchor that stands twice in its phrase misses nothing: one relative position proposes every start
     found, found_labels = [], []
     for label, template, must in templates:
         parts, need = template.split(), must.split()
@@ -96,9 +93,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", base
         total = sum(idf[w] for w in parts)
         mass = " + ".join(f"if(get(words, s + {j}) <=> '{w}', {idf[w] / total!r}D, 0D)" for j, w in enumerate(parts))
         key_fits = " AND ".join(f"get(words, s + {at + j}) <=> '{w}'" for j, w in enumerate(need))
-        tokens = {w: parts.index(w) for w in parts if parts.count(w) == 1}
-        lists = [f"if(array_contains(top, '{w}'), transform(filter(hits, h -> h.w = '{w}'), h -> h.i - {j}), array())" for w, j in tokens.items()]
-        starts = f"array_distinct(concat({', '.join(lists)}))"
+        starts = _starts(anchors[must], at + need.index(anchors[must]))
         found.append(f"array_max(transform(filter({starts}, s -> {key_fits}), s -> {mass}))")
         found_labels.append(label)
     named = rows.selectExpr(

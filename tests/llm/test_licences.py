@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -38,5 +39,41 @@ def test_base_against_brute_force(spark):
     assert labels[TEXTS[6]] == "cc-by,cc-by-nc" and labels[""] == ""
 
 
+def labels_by_hand(texts):
+    lists = [words_of(t) for t in texts]
+    idf = {w: 1.0 + math.log((len(lists) + 1) / (sum(w in x for x in lists) + 1)) for _, t, _ in licences.TEMPLATES for w in t.split()}
+    out = []
+    for words in lists:
+        found = {label for phrase, label in licences.BASE for p in [phrase.split()] for i in range(len(words)) if words[i:i + len(p)] == p}
+        for label, template, must in licences.TEMPLATES:
+            parts, need = template.split(), must.split()
+            at = next(i for i in range(len(parts)) if parts[i:i + len(need)] == need)
+            total = sum(idf[w] for w in parts)
+            for s in range(-at, len(words) - at):
+                mass = sum(idf[w] / total for j, w in enumerate(parts) if 0 <= s + j < len(words) and words[s + j] == w)
+                if words[s + at:s + at + len(need)] == need and mass >= licences.THRESHOLD:
+                    found.add(label)
+        out.append(",".join(sorted(found)))
+    return out
+
+
+def test_every_licence_of_a_file_is_found(spark):
+    rng = random.Random(7)
+    several = "Licensed under CC BY-NC. All rights reserved. Licensed under the Apache License, Version 2.0"
+    every = " x ".join(t for _, t, _ in licences.TEMPLATES)
+    common = [t for t in (licences.TEMPLATES[0][1], licences.TEMPLATES[1][1]) for _ in range(20)]
+    prose = "no charge for the person whose forms are the subject of redistribution. " + licences.TEMPLATES[0][1]
+    mixed = []
+    for _ in range(30):
+        picked = [t.split() for _, t, _ in rng.sample(licences.TEMPLATES, 4)]
+        mixed.append(" ".join(w if rng.random() > 0.08 else "x" for p in picked for w in p))
+    texts = [several, every, prose] + common + mixed
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = [r.labels for r in licences.scan_licences(docs).orderBy("doc_id").collect()]
+    assert labels == labels_by_hand(texts)
+    assert "apache-2.0" in labels[0].split(",") and "apache-2.0" in labels[2].split(",")
+    assert set(labels[1].split(",")) == {label for label, _, _ in licences.TEMPLATES}
+
+
 def test_empty_table(spark):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
