@@ -124,8 +124,17 @@ def match_summary(schedule: DataFrame, quotes: DataFrame, links: DataFrame) -> D
     )
 
 
+def book_prices(quotes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per key and book, over all books: number of its quotes and each price of the first by quote_id."""
+    first = [F.min_by(F.col(v), F.col("quote_id")).alias(v) for v in values]
+    return quotes.groupBy(*keys, "sportsbook").agg(F.count(F.lit(1)).alias("num_quotes"), *first)
+
+
 def pivot_books(quotes: DataFrame, keys: Sequence[str], books: Sequence, values: Sequence[str]) -> DataFrame:
-    """One column per book for each price; several quotes of a book -> the first by quote_id."""
+    """One column per listed book for each price; several quotes of a book -> the first by quote_id. An unlisted book raises."""
+    book = F.col("sportsbook")
+    unlisted = F.raise_error(F.concat(F.lit("book not in the pivot's list: "), F.coalesce(book.cast("string"), F.lit("NULL"))))
+    quotes = quotes.withColumn("sportsbook", F.when(book.isin(list(books)), book).otherwise(unlisted))
     first = [F.min_by(F.col(v), F.col("quote_id")).alias(v) for v in values]
     wide = quotes.groupBy(*keys).pivot("sportsbook", list(books)).agg(*first)
     names = {f"{b}_{v}": f"{v}_{b}" for b in books for v in values}

@@ -274,11 +274,21 @@ _BOOKS = (0, 1, 2, 3)
     ) + " FROM @quotes q GROUP BY true_game_id",
 )
 def d16(v):
-    """Every book belongs to one of four houses; the houses are the pivot's closed list."""
+    """Books folded into four houses, one quote per house, as the SQL has it; ``d16_book_prices`` has all books."""
     houses = v.quotes.withColumn("sportsbook", F.col("sportsbook") % 4)
     return quotes.pivot_books(houses, ["true_game_id"], _BOOKS, ["away_opening_odds", "home_opening_odds"])
 
 
+@query(
+    "d16_book_prices",
+    """SELECT true_game_id, sportsbook, count(*) AS num_quotes, arg_min(away_opening_odds, quote_id) AS away_opening_odds,
+         arg_min(home_opening_odds, quote_id) AS home_opening_odds FROM @quotes q GROUP BY true_game_id, sportsbook""",
+)
+def d16_prices(v):
+    """One row per game and book, over all books."""
+    return quotes.book_prices(v.quotes, ["true_game_id"], ["away_opening_odds", "home_opening_odds"])
+
+
 _SC = ("home_score", "venue_id", "p_m2")
 
 

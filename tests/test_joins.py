@@ -91,3 +91,14 @@ def test_slots_and_median_fill(spark):
 
     m = lineups.side_means(rows, ["woba_season"], F.struct(F.lit(0.7).alias("woba_season"))).first()
     assert m["home_woba_season"] == pytest.approx((0.5 + 0.9 + 0.7) / 3) and m["away_woba_season"] == pytest.approx(0.7)
+
+
+def test_all_books_are_priced_and_unlisted_books_raise(spark):
+    rows = [(1, 1, "a", 110.0), (1, 5, "b", 120.0), (1, 5, "c", 125.0), (2, 9, "d", -130.0)]
+    q = spark.createDataFrame(rows, "true_game_id int, sportsbook int, quote_id string, home_opening_odds double")
+    long = quotes.book_prices(q, ["true_game_id"], ["home_opening_odds"])
+    assert sorted(tuple(r) for r in long.collect()) == [(1, 1, 1, 110.0), (1, 5, 2, 120.0), (2, 9, 1, -130.0)]
+    wide = quotes.pivot_books(q, ["true_game_id"], [1, 5, 9], ["home_opening_odds"]).orderBy("true_game_id")
+    assert [tuple(r) for r in wide.collect()] == [(1, 110.0, 120.0, None), (2, None, None, -130.0)]
+    with pytest.raises(Exception, match="not in the pivot's list: 9"):
+        quotes.pivot_books(q, ["true_game_id"], [1, 5], ["home_opening_odds"]).collect()
