@@ -24,7 +24,7 @@ RULES = (
 )
 NGRAM = 3
 BUCKETS = 1 << 13
-# at most this many labelled urls are used for fitting (those with the smallest hash of the url)
+# at most this many distinct labelled urls are used for fitting (those with the smallest hash of the url), weighted by count
 LABELLED_ROWS = 20_000
 # rules are written out as one expression; a longer list belongs in a table
 MAX_RULES = 500
@@ -61,10 +61,12 @@ def ngrams_sql(col: str, tag: str, n: int = NGRAM) -> str:
 
 
 def fit_url_model(labelled: DataFrame, host: str = "host", path: str = "path", label: str = "label", rows: int = LABELLED_ROWS):
-    """Fit on at most ``rows`` labelled rows. None without labelled rows, a number where all labels agree, else a model."""
+    """Fit on at most ``rows`` distinct labelled rows, weighted by count. None without labelled rows, a number where all labels agree, else a model."""
     kept = (
         labelled.where(F.col(label).isNotNull())
         .select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(label).cast("double").alias("label"))
+        # copies are counted first: side by side by hash, those of one url could fill the sample
+        .groupBy("host", "path", "label").agg(F.count("*").cast("double").alias("weight"))
         .orderBy(F.xxhash64("host", "path"), "host", "path", "label")
         .limit(rows)
     )
@@ -74,7 +76,7 @@ def fit_url_model(labelled: DataFrame, host: str = "host", path: str = "path", l
     grams = SQLTransformer(statement=f"SELECT *, concat({ngrams_sql('host', 'h')}, {ngrams_sql('path', 'p')}) AS __grams FROM __THIS__")
     hashed = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=BUCKETS, binary=True)
     logistic = LogisticRegression(
-        featuresCol="__features", labelCol="label", predictionCol="__prediction", rawPredictionCol="__raw",
+        featuresCol="__features", labelCol="label", weightCol="weight", predictionCol="__prediction", rawPredictionCol="__raw",
         probabilityCol="__probability", maxIter=40, regParam=1e-3, standardization=False,
     )
     return Pipeline(stages=[grams, hashed, logistic]).fit(kept)

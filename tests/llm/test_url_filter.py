@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tallyline.llm import url_filter
 
 URLS = [
@@ -50,3 +52,14 @@ def test_learned_verdicts_on_held_out_urls(spark):
     rows = url_filter.filter_urls(frame(spark, [u for u, _ in urls[200:]]), labelled=labelled).orderBy("page_id").collect()
     right = sum((r.verdict == "block") == bool(y) for r, (_, y) in zip(rows, urls[200:]))
     assert right >= 98
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    urls = [(f"{'casino' if i % 2 else 'library'}{i}.org", f"/{'win' if i % 2 else 'book'}/{i}", i % 2) for i in range(60)]
+    known = spark.createDataFrame(urls, "host string, path string, label int")
+    lowest = known.orderBy(F.xxhash64("host", "path")).first()
+    copies = spark.createDataFrame([lowest] * 200, known.schema)
+    model = url_filter.fit_url_model(known.union(copies), rows=60)
+    assert model is not None and not isinstance(model, float)
+    fitted = model.transform(known)
+    assert fitted.where("int(__prediction) = label").count() >= 58
