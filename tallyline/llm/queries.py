@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import collision_ann, decontaminate, factor_machine, importance, jaccard_join, licences, mixing, pii, suffix_dedup, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, hard_negatives, importance, jaccard_join, licences, mixing, pii, suffix_dedup, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op8(spark, table):
 @query("op2_suffix_dedup")
 def op2(spark, table):
     return suffix_dedup.remove_repeats(table("documents")).drop("kept")
+
+
+@query("op11_hard_negatives", hard_negatives.oracle())
+def op11(spark, table):
+    return hard_negatives.mine_negatives(hard_negatives.relabelled(table("embeddings")), "id % 100 = 0")
