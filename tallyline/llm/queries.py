@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import collision_ann, decontaminate, factor_machine, hard_negatives, importance, jaccard_join, licences, mixing, pii, suffix_dedup, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, hard_negatives, importance, jaccard_join, licences, mixing, pii, spellings, suffix_dedup, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op2(spark, table):
 @query("op11_hard_negatives", hard_negatives.oracle())
 def op11(spark, table):
     return hard_negatives.mine_negatives(hard_negatives.relabelled(table("embeddings")), "id % 100 = 0")
+
+
+@query("op12_spelling_variants", spellings.oracle())
+def op12(spark, table):
+    return spellings.group_spellings(spellings.count_words(table("documents"), noise=spellings.NOISE))
