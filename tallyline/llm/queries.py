@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import collision_ann, decontaminate, factor_machine, hard_negatives, importance, jaccard_join, licences, mixing, pii, spellings, suffix_dedup, url_filter
+from tallyline.llm import collision_ann, decontaminate, factor_machine, hard_negatives, importance, jaccard_join, kd_shards, licences, mixing, pii, spellings, suffix_dedup, url_filter
 from tallyline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op11(spark, table):
 @query("op12_spelling_variants", spellings.oracle())
 def op12(spark, table):
     return spellings.group_spellings(spellings.count_words(table("documents"), noise=spellings.NOISE))
+
+
+@query("op13_sharding")
+def op13(spark, table):
+    return kd_shards.shard_documents(table("documents"))
