@@ -3,15 +3,18 @@
 Two generative models over hashed byte n-grams, one of target text and one of all raw text, give every document the
 logarithm of its importance weight. Documents are drawn without replacement by Gumbel top-k: the k largest sums of log
 weight and Gumbel noise, the noise being a function of the document's id, so a run can be repeated. By default k is the
-number of documents whose log weight reaches the cut that best separates the labelled ones.
-
-The raw model counts every document, a long one with a mass of MASS n-grams at most. The target model and the cut are
-fitted on at most ``labelled_rows`` labelled documents (those with the smallest hash of the id). The models have BUCKETS
-entries whatever the input.
-
-Defined results: null and empty text has log weight 0. Without good labels every weight is 1; without labels of both
-kinds the cut is -infinity, so everything is kept. A document labelled twice is good if all its labels are. Ties
-of the noisy weight are broken by the id. Repeated rows are drawn alike. Only the named columns are read.
+number of documents whose log weight reaches the cut that best separates the labelled ones; the cut lies half way between the
+lowest good value that is kept and the highest bad one below it.
+
+The raw model counts every n-gram of every document, whatever its length. The target model and the cut are fitted on at most
+``labelled_rows`` labelled documents (those with the smallest hash of the id). The models have BUCKETS entries whatever the
+input.
+
+Defined results: a text without n-grams (null, empty, shorter than N bytes) has the log weight NO_TEXT, below that of any other:
+it is drawn when all others are. Without good labels every other weight is 1; without labels of both kinds the cut is
+-infinity, so everything is kept. A document labelled twice is good if all its labels are. Ties of the noisy weight are broken
+by a hash of the id. Repeated rows are drawn alike. An empty table gives no rows. Very long texts are counted in pieces of
+rows, one long text at a time. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ N = 3  # bytes of an n-gram: a context of two and the byte that follows
 CONTEXT_BITS = 11
 BUCKETS = 1 << (CONTEXT_BITS + 7)  # hashed context, low seven bits of the byte
 SHRINK = 50.0  # pseudo-occurrences of a context by which the target model leans on the raw one
-MASS = 2_000
+NO_TEXT = -1e9
 LABELLED_ROWS = 20_000
 SEED = 11
 EXACT_ROWS = 20_000  # the last rows around the threshold are ordered, not counted
@@ -54,20 +57,18 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(bucket, raw, target) from (text, target boolean): one row per bucket and task, summed."""
 
     def count(batches):
-        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             good = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for first, data, bounds in vector.pieces(batch.column("text")):
                 at, starts = _buckets(data, bounds)
-                runs = np.diff(starts)
-                mass = np.repeat(np.minimum(1.0, MASS / np.maximum(runs, 1)), runs)
-                raw += np.bincount(at, mass, BUCKETS)
-                taken = np.repeat(good[first: first + len(bounds) - 1], runs)
-                target += np.bincount(at[taken], mass[taken], BUCKETS)
+                raw += np.bincount(at, minlength=BUCKETS)
+                taken = np.repeat(good[first: first + len(bounds) - 1], np.diff(starts))
+                target += np.bincount(at[taken], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
-    partial = docs.mapInArrow(count, "bucket long, raw double, target double")
+    partial = docs.mapInArrow(count, "bucket long, raw long, target long")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -110,8 +111,8 @@ def weigh(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "
                 at, starts = _buckets(data, bounds)
                 n = len(bounds) - 1
                 total = np.concatenate([[0.0], np.cumsum(ratio[at])])
-                weight[first: first + n] = total[starts[1:]] - total[starts[:-1]]
                 grams[first: first + n] = np.diff(starts)
+                weight[first: first + n] = np.where(grams[first: first + n] > 0, total[starts[1:]] - total[starts[:-1]], NO_TEXT)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(grams), pa.array(weight)], [*names, "n_grams", "log_weight"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_grams long, log_weight double"
@@ -151,14 +152,19 @@ def top_threshold(scores: DataFrame, k: int) -> tuple[float, list] | None:
 
 
 def best_cut(weighed: DataFrame, key: str, sample: DataFrame) -> float:
-    """The lowest log weight at which the share of good labelled documents kept, less that of bad ones, is within half a percent of the best."""
+    """The lowest log weight at which the share of good labelled documents kept, less that of bad ones, is within half a percent of the best.
+
+    It is moved into the gap below: half way to the next bad value, or to the next good one that was given up.
+    """
     rows = weighed.select(F.col(key).alias("id"), "log_weight").join(F.broadcast(sample), "id").select("target", "log_weight").collect()
     good = np.sort([r.log_weight for r in rows if r.target])
     bad = np.sort([r.log_weight for r in rows if not r.target])
     if not len(good) or not len(bad):
         return -math.inf
     gain = np.searchsorted(bad, good) / len(bad) - np.arange(len(good)) / len(good)
-    return float(good[np.flatnonzero(gain >= gain.max() - 0.005)[0]])
+    lowest = good[np.flatnonzero(gain >= gain.max() - 0.005)[0]]
+    below = [x[k - 1] for x in (good, bad) if (k := np.searchsorted(x, lowest))]
+    return float((lowest + max(below)) / 2 if below else lowest)
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", label_key: str = "doc_id",
