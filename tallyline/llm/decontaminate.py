@@ -2,16 +2,21 @@
 
 For every item, the windows of a document that have as many words as the item get a 64-bit SimHash of their words. The
 fingerprint is cut into ``radius + 1`` blocks; two fingerprints within the radius agree in at least one block, so an equi
-join on (size, block number, block value) finds all of them. Candidates are verified by the weighted Jaccard similarity of
+join on (item, block number, block value) finds all of them. Candidates are verified by the weighted Jaccard similarity of
 their five-word shingles, the weight being the count of a shingle.
 
 Which windows are looked at loses nothing: a window that matches an item holds one of its shingles, and moving it on to the
-first of them (or back from the end of the document) never lowers the similarity. So there is a window for every shingle
-that an item of that size has, too. A text shorter than the item is one window.
+first of them (or back from the end of the document) never lowers the similarity. So postings (shingle, item) give a window for
+every place of a shingle and every item that has it; a window meets no other item. A text shorter than the item is one window.
+
+The radius follows from the similarity: windows of similarity 0.75 share six sevenths of their words, so a bit differs with
+probability arccos(6 / 7) / pi = 0.172, 11 bits of 64 with a deviation of 3. RADIUS lies five deviations above.
 
 Defined results: words are lower-cased and cut at ASCII white space; null text has none. An item without words matches
 nothing; an item of fewer than five words has one shingle, the whole. Repeated documents and items are matched each; a
-repeated (key, text) or (item, text) row gives one result row. Empty tables give no rows. Only the named columns are read.
+repeated (key, text) or (item, text) row gives one result row; of windows equally similar the one with the smaller distance, then
+the first, is reported. Very long texts are one row like others, their windows are cut out of it one by one. Empty tables give no
+rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from tallyline.session import pin
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 16
+RADIUS = 26
 # so many shingles of the items are broadcast at a time
 BROADCAST_ROWS = 200_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -62,8 +67,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         "*", f"CASE {' '.join(f'WHEN n = {n} THEN ' + shingles_sql('words', n) for n in range(1, SHINGLE))} ELSE {shingles_sql('words', SHINGLE)} END AS shingles",
         f"{simhash_sql('words')} AS print",
     )
-    known = pin(known, "items")
-    wanted = pin(known.selectExpr("n", f"least(n, {SHINGLE}) AS len", "explode(shingles) AS h").distinct(), "item-shingles")
+    known = pin(known.withColumn("number", F.monotonically_increasing_id()), "items")
+    wanted = pin(known.selectExpr("number", "n", f"least(n, {SHINGLE}) AS len", "explode(shingles) AS h").distinct(), "item-shingles")
     lengths = [r[0] for r in wanted.select("len").distinct().collect()]  # at most five
     # items are taken in groups small enough for a broadcast; one scan of the documents each
     parts = max(1, -(-wanted.count() // BROADCAST_ROWS))
@@ -78,8 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         runs = worded.selectExpr("key", "fp", "words", f"{shingles_sql('words', length)} AS runs").selectExpr(
             "key", "fp", "words", "size(words) AS total", "posexplode_outer(runs) AS (pos, h)")
         # the window is cut out of the row at hand, so no text has to be fetched or shuffled
-        found = runs.join(own, "h").selectExpr("key", "fp", "n", "words", "total", "least(pos, greatest(0, total - n)) AS s").selectExpr(
-            "key", "fp", "n", "s", "least(n, total) AS long", "slice(words, s + 1, n) AS words")
+        found = runs.join(own, "h").selectExpr("key", "fp", "number", "n", "words", "total", "least(pos, greatest(0, total - n)) AS s").selectExpr(
+            "key", "fp", "number", "s", "least(n, total) AS long", "slice(words, s + 1, n) AS words")
         windows = found if windows is None else windows.union(found)
     names = f"`{key}`"
     if windows is None:
@@ -89,9 +94,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     windows = windows.selectExpr("*", f"{simhash_sql('words')} AS print")
 
     left = windows.selectExpr("*", f"{blocks_sql('print', radius)} AS block").selectExpr("*", "block.no", "block.bits")
-    right = known.selectExpr("item", "n AS size", "shingles AS theirs", "print AS their_print", f"{blocks_sql('print', radius)} AS block").selectExpr(
-        "item", "size", "theirs", "their_print", "block.no AS their_no", "block.bits AS their_bits")
-    pairs = left.join(right, F.expr("n = size AND no = their_no AND bits = their_bits")).selectExpr(
+    right = known.selectExpr("item", "number AS its_number", "shingles AS theirs", "print AS their_print", f"{blocks_sql('print', radius)} AS block").selectExpr(
+        "item", "its_number", "theirs", "their_print", "block.no AS their_no", "block.bits AS their_bits")
+    pairs = left.join(right, F.expr("number = its_number AND no = their_no AND bits = their_bits")).selectExpr(
         "key", "fp", "s", "long", "words", "item", "theirs", "bit_count(print ^ their_print) AS distance", "no",
         f"{first_shared_block('print', 'their_print', radius)} AS first_no",
     ).where(f"distance <= {radius} AND no = first_no")

@@ -64,3 +64,22 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contaminated(docs, items).count() == 0
     assert decontaminate.contaminated(items.withColumnRenamed("item_id", "doc_id"), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_edited_items_are_found(spark):
+    """Items whose last words are replaced, down to a similarity just above the limit, and long texts around them."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items, docs, want = [], [], set()
+    for n in (12, 40, 120, 200):
+        for _ in range(60):
+            words, i = text(n), len(items)
+            items.append((i, " ".join(words)))
+            gone = max(k for k in range(n) if (n - 4 - k) / (n - 4 + k) >= 0.75)
+            edited = words[: n - gone] + [f"x{rng.randrange(5000)}" for _ in range(gone)]
+            docs.append((i, " ".join(text(rng.randint(0, 50)) + edited + text(rng.choice([0, 30])))))
+            want.add((i, i))
+    docs.append((9999, " ".join(text(60_000) + docs[150][1].split() + text(40_000))))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want | {(9999, 150)}
+    assert min(r.similarity for r in got) < 0.77
