@@ -1,11 +1,12 @@
-"""Market baseline, offset logistic residual model, stacking, grid search over time folds."""
+"""Market baseline, residual and market-free models (boosted trees or linear), stacking, searches over time folds."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.functions.market import MARKET_PROBABILITY, STACKED_LOGIT, of_role
 from tallyline.functions.numeric import MODEL_CLIP, clip, logit, sigmoid
+from tallyline.operators import boosting
 from tallyline.operators.evaluate import log_loss_of
 
 # Bound and weight of the residual combination.
@@ -52,14 +54,29 @@ def linear_score(features: Sequence[str], weights, intercept: float) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(float(intercept)))
 
 
-def fit_market_free(train: DataFrame, features: Sequence[str], target: str = "y", trees: bool = False, reg: float = 0.0):
+def fit_residual_trees(
+    df: DataFrame, features: Sequence[str], settings: boosting.Settings = boosting.Settings(), train: str = "true", stopping: str = "false",
+    target: str = "y", p_mkt: str = MARKET_PROBABILITY,
+) -> dict:
+    """Boosted trees whose margin starts at the market logit; early stopping on the rows of ``stopping``."""
+    if p_mkt not in df.columns:
+        raise ValueError(f"{p_mkt} is required as the base margin")
+    return boosting.fit(df, features, settings, train, stopping, target, logit(p_mkt))
+
+
+def predict_residual_trees(model: dict, df: DataFrame, p_mkt: str = MARKET_PROBABILITY, output: str = "p") -> DataFrame:
+    return boosting.predict(model, df, logit(p_mkt), output)
+
+
+def fit_market_free(train: DataFrame, features: Sequence[str], target: str = "y", reg: float = 0.0):
+    """Logistic regression; boosted trees without a margin come from ``boosting.fit``."""
     data = assemble(train, features).withColumn("label", F.col(target).cast("double"))
-    if trees:
-        return GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(data)
     return LogisticRegression(regParam=reg, maxIter=50).fit(data)
 
 
 def predict_market_free(model, df: DataFrame, features: Sequence[str], output: str = "p") -> DataFrame:
+    if isinstance(model, dict):
+        return boosting.predict(model, df, output=output).select(*df.columns, output)
     out = model.transform(assemble(df, features))
     return out.withColumn(output, vector_to_array("probability")[1]).select(*df.columns, output)
 
@@ -75,6 +92,48 @@ def stack_logit(df: DataFrame, model, pretrained_features: Sequence[str], keys:
     return scored.withColumn(STACKED_LOGIT, logit("__p")).drop("__p")
 
 
+def pretraining_border(df: DataFrame, season: str = "season"):
+    """The last season of the earlier half: the market-free model learns up to it, the residual model after it."""
+    seasons = sorted(r[0] for r in df.select(season).where(F.col(season).isNotNull()).distinct().collect())
+    if len(seasons) < 2:
+        raise ValueError("a stacked model needs two seasons at least")
+    return seasons[len(seasons) // 2 - 1]
+
+
+def random_candidates(n: int = 20, rounds: int = 100, patience: int = 20, seed: int = 42) -> list[boosting.Settings]:
+    """Settings drawn from fixed ranges: depth 2-8, rate 0.001-0.1, shares of rows and columns 0.1-1, and the penalties."""
+    rng = np.random.default_rng(seed)
+    return [
+        boosting.Settings(
+            rounds=rounds, patience=patience, depth=int(rng.integers(2, 9)), rate=float(rng.uniform(0.001, 0.1)), subsample=float(rng.uniform(0.1, 1)),
+            colsample=float(rng.uniform(0.1, 1)), min_child_weight=int(rng.integers(1, 9)), reg_alpha=float(rng.uniform(0, 1)), reg_lambda=float(rng.uniform(1, 8)),
+            gamma=float(rng.uniform(0, 5)), seed=seed,
+        ) for _ in range(n)
+    ]
+
+
+def search_trees(
+    folded: DataFrame, features: Sequence[str], candidates: Sequence[boosting.Settings], folds: int = 4, target: str = "y", p_mkt: str | None = MARKET_PROBABILITY,
+) -> DataFrame:
+    """(candidate, fold, rounds, log_loss): every candidate on every expanding fold, all grown together.
+
+    The loss is that of the best round on the fold's own rows, where it also stops.
+    """
+    tasks = [boosting.Task(s, f"fold < {k}", f"fold = {k}") for s in candidates for k in range(folds)]
+    fitted = boosting.fit_many(folded, features, tasks, target, logit(p_mkt) if p_mkt else None)
+    rows = []
+    for i, model in enumerate(fitted):
+        losses = [e["stopping"] for e in model["losses"]]
+        rows.append((i // folds, i % folds, len(model["trees"]), losses[len(model["trees"])]))
+    return folded.sparkSession.createDataFrame(rows, "candidate int, fold int, rounds int, log_loss double")
+
+
+def best_candidates(losses: DataFrame) -> DataFrame:
+    """Mean fold loss of every candidate, the best first (as a rank)."""
+    mean = losses.groupBy("candidate").agg(F.avg("log_loss").alias("mean_log_loss"), F.avg("rounds").alias("mean_rounds"))
+    return mean.withColumn("rank", F.expr("row_number() OVER (ORDER BY mean_log_loss, candidate)"))
+
+
 def grid_search(folded: DataFrame, features: Sequence[str], regs: Sequence[float], folds: int = 4, target: str = "y") -> DataFrame:
     """Mean fold log loss per regularisation strength over expanding time folds."""
     losses = []

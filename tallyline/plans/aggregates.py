@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.market import add_market_probabilities
 from tallyline.functions.numeric import one_row
-from tallyline.operators import backtest, evaluate, league, lineups, metrics, prepare, priors, quotes, reserve
+from tallyline.operators import backtest, boosting, evaluate, league, lineups, metrics, prepare, priors, quotes, reserve
 from tallyline.operators.history import Metric
-from tallyline.operators.models import assemble, fit_market_free
 from tallyline.operators.ordering import exact_medians
 from tallyline.plans.registry import query, r, tidy
 
@@ -434,12 +433,10 @@ def d25(v):
 
 @query("d26_importance_share")
 def d26(v):
-    """Gain shares of a fitted tree model (rows depend on the trained model, so no oracle)."""
+    """Gain shares of boosted trees (rows depend on the trained model, so no oracle)."""
     cols = ["home_score", "away_score", "venue_id", "p_m2"]
-    train = v.pred_wide.where("split = 'train'")
-    model = fit_market_free(train, cols, trees=True)
-    gains = v.spark.createDataFrame([(c, float(g)) for c, g in zip(cols, model.featureImportances.toArray())], "feature string, gain double")
-    return tidy(evaluate.top_importances(gains, 20))
+    model = boosting.fit(v.pred_wide, cols, boosting.Settings(rounds=15, patience=4, depth=3, rate=0.2), "split = 'train'", "split = 'val'")
+    return tidy(evaluate.top_importances(boosting.gains(model, v.spark), 20))
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tallyline.functions.market import MARKET_PROBABILITY, add_market_probabilities
-from tallyline.operators import backtest, calibrate, models, prepare
+from tallyline.functions.numeric import logit
+from tallyline.operators import backtest, boosting, calibrate, models, prepare
 from tallyline.plans.registry import query, r, tidy
 from tallyline.session import pin, scratch_path
 
@@ -56,26 +59,89 @@ def h4(v):
     return tidy(models.market_baseline(model_frame(v)).select("game_id", "split", "p"))
 
 
+# settings of the registered fits; the operators' defaults are 200 rounds with a patience of 40
+TREES = boosting.Settings(rounds=15, patience=4, depth=3, rate=0.2)
+
+
+def staged(df):
+    """``part``: train, the halves of the validation rows (stopping, calibration), test."""
+    halves = prepare.ordered_halves(df.where("split = 'val'"), "game_date", ["game_id"])
+    return df.where("split <> 'val'").withColumn("part", F.col("split")).unionByName(halves)
+
+
 @query("h5_residual_model")
 def h5(v):
+    """Boosted trees from the market logit on, stopped early on the first half of the validation rows."""
+    df = model_frame(v)
+    model = models.fit_residual_trees(staged(df), FEATURES, TREES, "part = 'train'", "part = 'stopping'")
+    return tidy(models.predict_residual_trees(model, df).select("game_id", "split", "p"))
+
+
+@query("h5_residual_linear")
+def h5_linear(v):
     """Offset logistic fit on the training seasons, predictions for every game."""
     df = model_frame(v)
     model = models.fit_residual(df.where("split = 'train'"), FEATURES)
     return tidy(models.predict_residual(model, df, FEATURES).select("game_id", "split", "p"))
 
 
+_BINS = 16
+_X = {"x_venue": "venue_id / 40.0", "x_form": "home_score / 11.0 - 0.5", "x_noise": "p_m2"}
+_TRAIN = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _X.items()) + ", y, 1 / (1 + exp(-ln(p_mkt / (1 - p_mkt)))) AS p FROM @pred_wide w WHERE split = 'train'"
+_ROOT = f"""t AS ({_TRAIN}), long AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, p - y AS g, p * (1 - p) AS h FROM t" for c in _X)}),
+    qs AS (SELECT feature, quantile_cont(x, [{", ".join(f"{k / _BINS}" for k in range(1, _BINS))}]) AS q FROM long GROUP BY feature),
+    cuts AS (SELECT DISTINCT feature, unnest(q) AS cut FROM qs),
+    sides AS (SELECT long.feature, cut, sum(g) FILTER (WHERE x < cut) AS gl, sum(h) FILTER (WHERE x < cut) AS hl, sum(g) AS gt, sum(h) AS ht FROM long JOIN cuts ON long.feature = cuts.feature GROUP BY 1, 2),
+    scored AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM sides WHERE hl >= 1 AND ht - hl >= 1),
+    root AS (SELECT * FROM scored WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(gain, 12) DESC, cut) = 1)"""
+
+
+@query("h5_first_splits", f"WITH {_ROOT} SELECT feature, {r('cut')} AS threshold, {r('gain')} AS gain, {r('hl')} AS left_weight, {r('ht - hl')} AS right_weight FROM root")
+def h5_first(v):
+    """The best split of the root on every feature, by gradients at the market's probabilities."""
+    train = model_frame(v).where("split = 'train'")
+    return tidy(boosting.root_splits(train, FEATURES, margin=logit(MARKET_PROBABILITY), bins=_BINS))
+
+
+@query(
+    "h5_one_stump",
+    f"""WITH {_ROOT}, best AS (SELECT * FROM root ORDER BY round(gain, 12) DESC, list_position(['x_venue', 'x_form', 'x_noise'], feature) LIMIT 1),
+      rows AS (SELECT game_id, split, ln(p_mkt / (1 - p_mkt)) AS z, {", ".join(f"{e} AS {c}" for c, e in _X.items())} FROM @pred_wide w)
+      SELECT game_id, split, {r("1 / (1 + exp(-(z + 0.3 * CASE WHEN CASE feature WHEN 'x_venue' THEN x_venue WHEN 'x_form' THEN x_form ELSE x_noise END < cut THEN -gl / (hl + 1) ELSE -(gt - gl) / (ht - hl + 1) END)))")} AS p
+      FROM rows, best""",
+)
+def h5_stump(v):
+    """One round of depth one: the market's logit plus one step."""
+    df = model_frame(v)
+    model = boosting.fit(df, FEATURES, boosting.Settings(rounds=1, depth=1), "split = 'train'", margin=logit(MARKET_PROBABILITY), bins=_BINS)
+    return tidy(models.predict_residual_trees(model, df).select("game_id", "split", "p"))
+
+
 @query("h6_market_free_model")
 def h6(v):
+    """Boosted trees that never see the market."""
+    df = model_frame(v)
+    model = boosting.fit(staged(df), FEATURES, TREES, "part = 'train'", "part = 'stopping'")
+    return tidy(models.predict_market_free(model, df, FEATURES).select("game_id", "split", "p"))
+
+
+@query("h6_market_free_linear")
+def h6_linear(v):
     df = model_frame(v)
     model = models.fit_market_free(df.where("split = 'train'"), FEATURES)
     return tidy(models.predict_market_free(model, df, FEATURES).select("game_id", "split", "p"))
 
 
+KEYS = ["game_id", "game_date", "season", "split", "y"]
+
+
 def _stacked(v):
+    """Pretrained on the earlier half of the seasons (split anew among themselves); its logit joins the later rows."""
     df = model_frame(v)
-    free = models.fit_market_free(df.where("season <= 1997"), FEATURES)
-    keys = ["game_id", "game_date", "season", "split", "y"]
-    return models.stack_logit(df.where("season > 1997"), free, FEATURES, keys)
+    border = models.pretraining_border(df)
+    early = prepare.season_split(df.where(F.col("season") <= border).drop("split"))
+    free = boosting.fit(staged(early), FEATURES, TREES, "part = 'train'", "part = 'stopping'")
+    return models.stack_logit(df.where(F.col("season") > border), free, FEATURES, KEYS)
 
 
 @query("h7_two_stage_stack")
@@ -86,11 +152,12 @@ def h7(v):
 
 @query("h8_final_refit")
 def h8(v):
-    """Refit on train and validation rows, predictions for the test split."""
-    df = _stacked(v)
+    """Rounds found by early stopping, then a refit on train and validation rows; predictions for the test split."""
+    df = pin(_stacked(v), "stacked")
     cols = [*FEATURES, models.STACKED_LOGIT]
-    model = models.fit_residual(df.where("split <> 'test'"), cols, reg=0.01)
-    return tidy(models.predict_residual(model, df.where("split = 'test'"), cols).select("game_id", "p"))
+    stopped = models.fit_residual_trees(staged(df), cols, TREES, "part = 'train'", "part = 'stopping'")
+    final = models.fit_residual_trees(df, cols, replace(TREES, rounds=len(stopped["trees"])), "split <> 'test'")
+    return tidy(models.predict_residual_trees(final, df.where("split = 'test'")).select("game_id", "p"))
 
 
 _Z = lambda c: f"ln({c} / (1 - {c}))"
@@ -174,6 +241,14 @@ def h13(v):
 
 @query("h14_grid_search")
 def h14(v):
+    """Twenty random candidates on four expanding folds, eighty models grown by the same jobs."""
+    folded = pin(prepare.expanding_folds(model_frame(v), "game_date", ["game_id"]), "folds")
+    losses = models.search_trees(folded, FEATURES, models.random_candidates(20, rounds=6, patience=3))
+    return tidy(models.best_candidates(losses))
+
+
+@query("h14_linear_grid")
+def h14_linear(v):
     folded = pin(prepare.expanding_folds(model_frame(v), "game_date", ["game_id"]), "folds")
     return tidy(models.best_parameters(models.grid_search(folded, FEATURES, (0.0, 0.1))))
 
