@@ -58,7 +58,7 @@ def over(entity: Sequence[str], order: Sequence[str], frame: str = EARLIER) -> s
     return f"OVER (PARTITION BY {keys} ORDER BY {', '.join(order)} {frame})"
 
 
-def _hot_entities(df: DataFrame, entity, clock: str, segment_rows: int) -> DataFrame:
+def hot_entities(df: DataFrame, entity, clock: str, segment_rows: int) -> DataFrame:
     """Entities over ``segment_rows`` with the stretch width that keeps a stretch under it."""
     ticks = df.groupBy(*entity, F.expr(clock).alias("__tick")).agg(F.expr("count(1) AS n"))
     return (
@@ -150,7 +150,7 @@ def _direct(base, entity, order, sums, ewms, latest):
 def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, segment_rows, has_hot):
     base = base.selectExpr("*", f"{clock} AS __clock")
     if has_hot:
-        hot = _hot_entities(base, entity, "__clock", segment_rows)
+        hot = hot_entities(base, entity, "__clock", segment_rows)
         base = base.join(F.broadcast(hot), list(entity), "left")
         base = base.selectExpr("*", "cast(coalesce(floor((__clock - __first) / __width), 0) as bigint) AS __seg")
     else:

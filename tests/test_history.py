@@ -79,10 +79,10 @@ def test_a_long_gap_keeps_the_rate(spark, options):
 
 
 def test_segments_bound_the_rows_of_a_window(spark, log):
-    from tallyline.operators.history import _hot_entities
+    from tallyline.operators.history import hot_entities
 
     df = spark.createDataFrame(log[["entity", "day"]], "entity string, day long")
-    hot = _hot_entities(df, ["entity"], "day", 100).toPandas()
+    hot = hot_entities(df, ["entity"], "day", 100).toPandas()
     assert list(hot["entity"]) == ["hot"]
     width, first = int(hot["__width"][0]), int(hot["__first"][0])
     rows = log[log.entity == "hot"]

@@ -1,6 +1,8 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.operators import asof, dedupe, lineups, quotes, reserve
 from tallyline.operators.sides import GAME_KEY
@@ -102,3 +104,46 @@ def test_all_books_are_priced_and_unlisted_books_raise(spark):
     assert [tuple(r) for r in wide.collect()] == [(1, 110.0, 120.0, None), (2, None, None, -130.0)]
     with pytest.raises(Exception, match="not in the pivot's list: 9"):
         quotes.pivot_books(q, ["true_game_id"], [1, 5], ["home_opening_odds"]).collect()
+
+
+def one_hot_key(seed=3, rows=400):
+    """Nine tenths of all rows share a key; times come in bursts and at long intervals."""
+    rng = random.Random(seed)
+    key = lambda: rng.choice(["hot"] * 9 + ["cold"])
+    at = lambda: datetime(2024, 1, 1) + timedelta(seconds=rng.choice([rng.randrange(600), rng.randrange(40_000_000)]))
+    left = [(key(), at(), i) for i in range(rows)]
+    right = [(key(), rng.choice([at(), rng.choice(left)[1]]), i % 3, i) for i in range(rows)]
+    return left, right
+
+
+def test_hot_key_is_cut_and_gives_the_same_rows(spark):
+    left, right = one_hot_key()
+    a = spark.createDataFrame(left, "k string, t timestamp_ntz, i int")
+    b = spark.createDataFrame(right, "k string, t timestamp_ntz, dh int, v int")
+    early = lambda rows, k, t: [r for r in rows if r[0] == k and r[1] < t]
+    want = {i: max(((r[1], r[2], r[3]) for r in early(right, k, t)), default=(0, 0, None))[2] for k, t, i in left}
+    for segment in (None, 20, 7):
+        got = {r.i: r.v for r in asof.asof_before(a, b, ["k"], "t", ["v"], ["dh", "v"], segment_rows=segment).collect()}
+        assert got == want
+    gap = lambda r, t: (abs((r[1] - t).total_seconds()), r[2], r[3])
+    want = {i: min(gap(r, t) for r in right if r[0] == k)[2] for k, t, i in left}
+    for segment in (None, 20, 7):
+        got = {r.i: r.v for r in asof.nearest_in_time(a, b, ["k"], "t", ["v"], "dh", segment_rows=segment).collect()}
+        assert got == want
+
+
+def test_no_window_holds_more_than_a_stretch(spark):
+    left, right = one_hot_key()
+    both = spark.createDataFrame([(k, t, None) for k, t, _ in left] + [(k, t, 1) for k, t, *_ in right], "k string, t timestamp_ntz, v int")
+    hot = asof.hot_entities(both.withColumn("__tick", F.expr(asof._clock(both, "t"))), ["k"], "__tick", 60)
+    cut = both.join(hot, "k").withColumn("seg", F.expr("floor((unix_seconds(cast(t as timestamp)) - __first) / __width)"))
+    sizes = [r["count"] for r in cut.groupBy("k", "seg").count().collect()]
+    assert len(sizes) > 5 and max(sizes) <= 60
+
+
+def test_hot_key_of_dates_fills_forward(spark):
+    days = [date(2020, 1, 1) + timedelta(days=3 * i) for i in range(300)]
+    rosters = spark.createDataFrame([("T", d, n) for n, d in enumerate(days) if n % 5], "team string, d date, player int")
+    want = spark.createDataFrame([("T", d, n) for n, d in enumerate(days)], "team string, d date, starter int")
+    rows = lambda s: sorted(map(tuple, asof.forward_fill_groups(rosters, want, ["team"], "d", ["starter"], segment_rows=s).collect()))
+    assert rows(None) == rows(11) and len(rows(11)) == 59
