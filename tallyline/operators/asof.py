@@ -36,6 +36,8 @@ def _clock(df: DataFrame, time: str) -> str:
         return f"cast(unix_date({time}) as bigint)"
     if kind.startswith("timestamp"):
         return f"unix_seconds(cast({time} as timestamp))"
+    if kind in ("double", "float"):
+        return f"cast(floor(greatest(least({time}, 1e12D), -1e12D) * 1048576) as bigint)"
     return f"cast(floor({time}) as bigint)"
 
 
@@ -84,10 +86,11 @@ def asof_before(
     payload: Sequence[str],
     tie_order: Sequence[Column | str] = (),
     segment_rows: int | None = None,
+    inclusive: bool = False,
 ) -> DataFrame:
     """Left rows plus the payload of the last right row of the key with an earlier ``time``.
 
-    Equal times do not match; several right rows at one time -> the last by ``tie_order``.
+    Equal times match only where ``inclusive``; several right rows at one time -> the last by ``tie_order``.
     """
     keys = list(keys)
     segment_rows = segment_rows or _segment_rows(left, right, keys)
@@ -102,7 +105,8 @@ def asof_before(
         *at, F.lit(None).cast(known.schema["__row"].dataType).alias("__row"), F.lit(1).alias("__is_left")
     )
     # rows at the same time sort after the question, so they stay invisible to it
-    look = {"__found": (False, [F.col(time), F.col("__is_left").desc()], -1)}
+    is_left = F.col("__is_left").asc() if inclusive else F.col("__is_left").desc()
+    look = {"__found": (False, [F.col(time), is_left], -1)}
     answers = _looked_up(known.unionByName(asked), keys, time, "__row", look, segment_rows).where(F.col("__is_left") == 1).select(*at, "__found")
     return left.join(answers, at, "left").select(
         *left.columns, *[F.col("__found")[c].alias(c) for c in payload]

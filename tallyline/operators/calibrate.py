@@ -8,12 +8,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyline.functions.numeric import CALIBRATION_CLIP, clip, logit, sigmoid
+from tallyline.operators import isotonic
 from tallyline.operators.evaluate import calibration_bins, calibration_error, log_loss_of, merge_small_bins
+from tallyline.session import pin, scratch_path
 
 # The slope and offset grid of the residual Platt fit, the temperature range.
 SLOPES = tuple(float(x) for x in np.linspace(0.6, 1.4, 41))
@@ -64,50 +64,53 @@ def fit_platt(df: DataFrame) -> dict:
     return {"kind": "platt", "a": best["a"], "b": best["b"]}
 
 
-def fit_temperature(df: DataFrame, points: int = 33, passes: int = 4) -> dict:
-    """Temperature with the least loss, by a log-spaced grid refined around its best point.
+def slopes(rows: DataFrame, points: Sequence[float]) -> list[tuple[float, float]]:
+    """First and second derivative of the mean loss of sigmoid(z + u * r) at every ``u``: one aggregate."""
+    p = lambda u: f"1 / (1 + exp(-(z + {float(u)!r}D * r)))"
+    sums = rows.agg(*[
+        e for i, u in enumerate(points)
+        for e in (F.expr(f"avg(r * ({p(u)} - y)) AS d{i}"), F.expr(f"avg(r * r * ({p(u)}) * (1 - {p(u)})) AS c{i}"))
+    ]).first()
+    return [(sums[f"d{i}"], sums[f"c{i}"]) for i in range(len(points))]
 
-    The loss is convex in 1/T, so the best grid point brackets the minimum.
-    """
-    rows = residual_frame(df)
-    low, high = (math.log(t) for t in TEMPERATURES)
-    for _ in range(passes):
-        grid = np.linspace(low, high, points)
-        best = grid_losses(rows, [(math.exp(-g), 0.0) for g in grid]).orderBy("log_loss", "cell").first()
-        i = best["cell"]
-        low, high = grid[max(i - 1, 0)], grid[min(i + 1, points - 1)]
-    return {"kind": "temperature", "T": math.exp(grid[i])}
 
+def fit_temperature(df: DataFrame, tolerance: float = 1e-12, passes: int = 60) -> dict:
+    """Temperature with the least loss, by Newton steps on u = 1 / T, in which the loss is convex.
 
-def fit_isotonic(df: DataFrame, y="y", p="p") -> dict:
-    """Monotone fit on one weighted row per distinct score."""
-    scores = df.groupBy(F.col(p).alias("p")).agg(
-        F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    data = VectorAssembler(inputCols=["p"], outputCol="features").transform(scores)
-    model = IsotonicRegression(labelCol="y", weightCol="w").fit(data)
-    return {
-        "kind": "isotonic",
-        "x": [float(v) for v in model.boundaries],
-        "y": [min(max(float(v), 0.0), 1.0) for v in model.predictions],
-    }
+    The rows are stored once; a step is one aggregate over them. A step that leaves the bracket is replaced by the bracket's
+    geometric middle. Without rows, or where the model never differs from the market, T = 1.
+    """
+    rows = pin(residual_frame(df), "residuals")
+    low, high = 1 / TEMPERATURES[1], 1 / TEMPERATURES[0]
+    u = 1.0
+    (at_low, _), (here, curve), (at_high, _) = slopes(rows, [low, u, high])
+    if not curve:
+        return {"kind": "temperature", "T": 1.0}
+    if at_low >= 0 or at_high <= 0:
+        return {"kind": "temperature", "T": 1 / (low if at_low >= 0 else high)}
+    for _ in range(passes):
+        low, high = (low, u) if here > 0 else (u, high)
+        step = u - here / curve if curve > 0 else low
+        if not low < step < high:
+            step = math.sqrt(low * high)
+        moved, u = abs(step - u), step
+        if moved <= tolerance * u:
+            break
+        here, curve = slopes(rows, [u])[0]
+    return {"kind": "temperature", "T": 1 / u}
 
 
-def interpolate(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-    """Piecewise linear between the thresholds, constant outside (a model's own short table)."""
-    ax, ay = (F.expr(f"array({', '.join(f'{float(v)!r}D' for v in vs)})") for vs in (xs, ys))
-    i = F.size(F.filter(ax, lambda t: t <= x))  # 0 .. n
-    x0, y0 = F.get(ax, i - 1), F.get(ay, i - 1)
-    x1, y1 = F.get(ax, i), F.get(ay, i)
-    inside = y0 + F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0)) * (y1 - y0)
-    return F.when(i == 0, F.lit(float(ys[0]))).when(i == len(xs), F.lit(float(ys[-1]))).otherwise(inside)
+def fit_isotonic(df: DataFrame, y="y", p="p", range_rows: int = isotonic.RANGE_ROWS) -> dict:
+    """Monotone fit; the thresholds are a stored table, the parameters only name it."""
+    thresholds, cuts = isotonic.fit(df, y, p, range_rows)
+    path = scratch_path(df.sparkSession, "isotonic")
+    isotonic.save(thresholds, path)
+    return {"kind": "isotonic", "thresholds": path, "cuts": cuts}
 
 
 def calibrated(params: dict, p: Column | str = "p", p_mkt: Column | str | None = "p_mkt") -> Column:
-    """Calibrated probability as a column expression."""
+    """Calibrated probability of a residual calibrator as a column expression."""
     p = F.col(p) if isinstance(p, str) else p
-    if params["kind"] == "isotonic":
-        return clip(interpolate(p, params["x"], params["y"]), 0.0, 1.0)
     if p_mkt is None:
         raise ValueError("a residual calibrator needs the market probability")
     z = logit(p_mkt, CALIBRATION_CLIP)
@@ -121,14 +124,23 @@ def calibrated(params: dict, p: Column | str = "p", p_mkt: Column | str | None =
     raise ValueError(f"unknown calibrator {params['kind']}")
 
 
+def calibrate(df: DataFrame, params: dict, p: str = "p", p_mkt: str | None = "p_mkt", output: str = "p_cal") -> DataFrame:
+    """``df`` with the calibrated probability, whatever the calibrator."""
+    if params["kind"] == "isotonic":
+        return isotonic.apply(df, isotonic.load(df.sparkSession, params["thresholds"]), params["cuts"], p, output)
+    return df.withColumn(output, calibrated(params, p, p_mkt))
+
+
 def fit(df: DataFrame, method: str) -> dict:
     return {"platt": fit_platt, "temperature": fit_temperature, "isotonic": fit_isotonic}[method](df)
 
 
 def candidate_metrics(evaluation: DataFrame, fitted: dict[str, dict], n_bins=10, strategy="quantile", min_bin: int | None = None) -> DataFrame:
     """ECE, Brier and log loss of each fitted candidate, all candidates in one pass."""
-    options = [F.struct(F.lit(m).alias("model"), calibrated(f).alias("p")) for m, f in fitted.items()]
-    long = evaluation.select("y", F.inline(F.array(*options)))
+    wide = evaluation.select("y", "p", "p_mkt") if "p_mkt" in evaluation.columns else evaluation.select("y", "p")
+    for m, f in fitted.items():
+        wide = calibrate(wide, f, output=f"__{m}")
+    long = wide.select("y", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"__{m}").alias("p")) for m in fitted])))
     bins = calibration_bins(long, n_bins, strategy, ("model",))
     if min_bin is not None:
         bins = merge_small_bins(bins, min_bin, ("model",))
@@ -149,12 +161,17 @@ def select_calibrator(
     return fitted[best], metrics
 
 
-def save_calibrator(spark: SparkSession, params: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(params),)], "value string").write.mode("overwrite").text(path)
+def save_calibrator(spark: SparkSession, params: dict, path: str) -> dict:
+    """Parameters as JSON; thresholds are copied beside them. Returns what ``load_calibrator`` will."""
+    if params["kind"] == "isotonic":
+        isotonic.save(isotonic.load(spark, params["thresholds"]), f"{path}/thresholds")
+        params = {**params, "thresholds": f"{path}/thresholds"}
+    spark.createDataFrame([(json.dumps(params),)], "value string").write.mode("overwrite").text(f"{path}/parameters")
+    return params
 
 
 def load_calibrator(spark: SparkSession, path: str) -> dict:
-    params = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    params = json.loads(spark.read.text(f"{path}/parameters", wholetext=True).first()[0])
     if params.get("kind") not in ("platt", "temperature", "isotonic"):
         raise ValueError(f"unknown calibrator {params.get('kind')}")
     return params

@@ -199,7 +199,18 @@ def h10(v):
     return tidy(calibrate.grid_losses(calibrate.residual_frame(_cal(v)), cells).select("cell", "log_loss"))
 
 
-@query("h10_temperature_fit")
+def _newton(steps: int) -> str:
+    """The oracle's Newton steps on u = 1 / T from u = 1, one common table each."""
+    p = "1 / (1 + exp(-(z + u * r)))"
+    parts = [f"c AS {_CAL}", "u0 AS (SELECT CAST(1 AS DOUBLE) AS u)"]
+    parts += [f"u{k + 1} AS (SELECT least(greatest(max(u) - avg(r * ({p} - y)) / avg(r * r * ({p}) * (1 - {p})), 0.05), 100.0) AS u FROM c, u{k})" for k in range(steps)]
+    return "WITH " + ", ".join(parts)
+
+
+@query(
+    "h10_temperature_fit",
+    f"{_newton(12)} SELECT p_m1 AS p, p_mkt, {r('1 / (1 + exp(-(' + _Z('p_mkt') + ' + u * (' + _Z('p_m1') + ' - ' + _Z('p_mkt') + '))))')} AS p_cal FROM @pred_wide w, u12 WHERE split = 'val'".replace("SELECT p_m1 AS p, p_mkt", f"SELECT {r('p_m1')} AS p, {r('p_mkt')} AS p_mkt"),
+)
 def h10b(v):
     params = calibrate.fit_temperature(_cal(v))
     return tidy(_cal(v).select("p", "p_mkt", calibrate.calibrated(params).alias("p_cal")))
@@ -217,7 +228,7 @@ def h10b(v):
 def h11(v):
     """Monotone fit; the oracle is the max-min formula over all score intervals."""
     params = calibrate.fit_isotonic(_cal(v))
-    return tidy(_cal(v).select("p").distinct().select("p", calibrate.calibrated(params, "p", None).alias("p_cal")))
+    return tidy(calibrate.calibrate(_cal(v).select("p").distinct(), params))
 
 
 @query("h12_calibrator_selection")

@@ -74,13 +74,20 @@ def test_temperature_near_the_optimum(residuals):
     assert calibrate.fit_temperature(df)["T"] == pytest.approx(grid[int(np.argmin(loss))], rel=2e-3)
 
 
+def test_temperature_at_the_bounds(spark):
+    rows = lambda y: spark.createDataFrame([(y, 0.9, 0.5), (y, 0.8, 0.5)], "y int, p double, p_mkt double")
+    assert calibrate.fit_temperature(rows(1))["T"] == pytest.approx(0.01) and calibrate.fit_temperature(rows(0))["T"] == pytest.approx(20.0)
+    assert calibrate.fit_temperature(rows(1).limit(0))["T"] == 1.0
+    assert calibrate.fit_temperature(rows(1).withColumn("p", F.col("p_mkt")))["T"] == 1.0
+
+
 def test_calibrators_round_trip_and_need_the_market(spark, residuals, tmp_path):
     df = residuals[3]
     params = calibrate.fit_isotonic(df)
-    calibrate.save_calibrator(spark, params, str(tmp_path / "c"))
-    assert calibrate.load_calibrator(spark, str(tmp_path / "c")) == params
-    out = df.select(calibrate.calibrated(params, "p", None).alias("c"), "p").orderBy("p").toPandas()
-    assert (np.diff(out["c"]) >= -1e-12).all() and out["c"].between(0, 1).all()
+    stored = calibrate.save_calibrator(spark, params, str(tmp_path / "c"))
+    assert calibrate.load_calibrator(spark, str(tmp_path / "c")) == stored and stored["thresholds"].startswith(str(tmp_path))
+    out = calibrate.calibrate(df, stored).orderBy("p").toPandas()
+    assert (np.diff(out["p_cal"]) >= -1e-12).all() and out["p_cal"].between(0, 1).all()
     with pytest.raises(ValueError):
         calibrate.calibrated({"kind": "platt", "a": 1, "b": 0}, "p", None)
 
