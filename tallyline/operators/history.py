@@ -73,7 +73,7 @@ def hot_entities(df: DataFrame, entity, clock: str, segment_rows: int) -> DataFr
     )
 
 
-def _coef(halflife: float) -> tuple[float, float]:
+def ewm_factors(halflife: float) -> tuple[float, float]:
     r = 0.5 ** (1.0 / halflife)
     return r, 1.0 - r
 
@@ -140,7 +140,7 @@ def _direct(base, entity, order, sums, ewms, latest):
     base = base.selectExpr("*", *[f"pow(2D, seq / {h}D) AS {_g(h)}" for h in halflives])
     cols = [f"sum({c}) {earlier} AS {n}" for n, c in sums.items()]
     for n, (c, h) in ewms.items():
-        r, alpha = _coef(h)
+        r, alpha = ewm_factors(h)
         weighted = f"if(seq = 0, 1D, {alpha!r}D) * {c} * {_g(h)}"
         cols.append(f"(sum({weighted}) {earlier}) / {_g(h)} / {r!r}D AS {n}")
     cols += [f"max(__d_{n}) {earlier} AS {n}" for n in latest]
@@ -164,7 +164,7 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
         *[f"max(__d_{n}) {earlier} AS __l_{n}" for n in latest],
     )
     for h in sorted({h for _, h in ewms.values()}):
-        r, alpha = _coef(h)
+        r, alpha = ewm_factors(h)
         rows = int(block_factor * h)
         named = {n: c for n, (c, hh) in ewms.items() if hh == h}
         base = base.selectExpr(
@@ -273,6 +273,27 @@ def shrink(n: str, k: float, value: str, prior: str) -> str:
     return f"CASE WHEN {n} > 0 THEN {n} / ({n} + {k}) * ({value}) + {k} / ({n} + {k}) * {prior} ELSE {prior} END"
 
 
+def rate_state(metrics: Sequence[Metric], halflives: Sequence[float]) -> tuple[dict[str, str], dict[str, tuple[str, float]]]:
+    """The running sums and EWMs that rates are made of; weight totals once per weight column, not once per metric."""
+    weights = sorted({m.weight for m in metrics})
+    sums = {f"__n_{m.name}": m.numerator() for m in metrics} | {f"__w_{x}": x for x in weights}
+    ewms = {f"__n_{m.name}_{h}": (m.numerator(), h) for m in metrics for h in halflives}
+    ewms |= {f"__w_{x}_{h}": (x, h) for x in weights for h in halflives}
+    return sums, ewms
+
+
+def rates_of(metrics: Sequence[Metric], halflives: Sequence[float], prior_prefix: str = "prior_") -> list[str]:
+    """``{m}_season`` and ``{m}_ewm_h{h}`` from the columns of ``rate_state``, shrunk to the row's prior (SQL text)."""
+    out = []
+    for m in metrics:
+        n, prior = f"__w_{m.weight}", prior_prefix + m.name
+        out.append(f"{shrink(n, m.k, f'try_divide(__n_{m.name}, {n})', prior)} AS {m.name}_season")
+        for h in halflives:
+            rate = f"try_divide(__n_{m.name}_{h}, __w_{m.weight}_{h})"
+            out.append(f"{shrink(n, m.k, rate, prior)} AS {m.name}_ewm_h{h}")
+    return out
+
+
 def rolling_rates(
     df: DataFrame,
     entity: Sequence[str],
@@ -287,15 +308,8 @@ def rolling_rates(
     extra_ewms: Mapping[str, tuple[str, float]] | None = None,
     **state_options,
 ) -> DataFrame:
-    """``{m}_season`` and ``{m}_ewm_h{h}``, shrunk to the row's ``prior_{m}`` column.
-
-    Weight totals are taken once per weight column, not once per metric.
-    """
-    weights = sorted({m.weight for m in metrics})
-    sums = {f"__n_{m.name}": m.numerator() for m in metrics}
-    sums |= {f"__w_{x}": x for x in weights}
-    ewms = {f"__n_{m.name}_{h}": (m.numerator(), h) for m in metrics for h in halflives}
-    ewms |= {f"__w_{x}_{h}": (x, h) for x in weights for h in halflives}
+    """``{m}_season`` and ``{m}_ewm_h{h}``, shrunk to the row's ``prior_{m}`` column."""
+    sums, ewms = rate_state(metrics, halflives)
     state = running_state(
         df, entity, order,
         sums={**sums, **(extra_sums or {})},
@@ -303,13 +317,6 @@ def rolling_rates(
         latest={"last_app_date": date} if date else None,
         **state_options,
     )
-    out = []
-    for m in metrics:
-        n, prior = f"__w_{m.weight}", prior_prefix + m.name
-        out.append(f"{shrink(n, m.k, f'try_divide(__n_{m.name}, {n})', prior)} AS {m.name}_season")
-        for h in halflives:
-            rate = f"try_divide(__n_{m.name}_{h}, __w_{m.weight}_{h})"
-            out.append(f"{shrink(n, m.k, rate, prior)} AS {m.name}_ewm_h{h}")
     keep = list(keep) if keep is not None else df.columns
     tail = ["last_app_date"] if date else []
-    return state.selectExpr(*keep, "seq", *out, *(extra_sums or {}), *(extra_ewms or {}), *tail)
+    return state.selectExpr(*keep, "seq", *rates_of(metrics, halflives, prior_prefix), *(extra_sums or {}), *(extra_ewms or {}), *tail)

@@ -11,6 +11,8 @@ from tallyline.operators.history import Metric
 from tallyline.operators.prepare import order_violations
 from tallyline.operators.priors import league_priors
 from tallyline.plans.registry import query, r, tidy
+from tallyline.session import scratch_path
+from tallyline.streaming.histories import HistoryFeed
 
 PLAYER_ORDER = ("game_date", "dh")
 LOG_ORDER = ("game_date", "l_orderkey", "l_linenumber")
@@ -120,16 +122,28 @@ def e4(v):
 _LOG_METRICS = (Metric("value", "value", "weight", 50), Metric("total", "value", "weight", 20, rate=False))
 
 
-@query(
-    "e5_rolling_block",
-    sql_rolling("@supplier_log", "entity", "game_date, l_orderkey, l_linenumber", _LOG_METRICS, (4, 12), "entity, game_date, l_orderkey, l_linenumber, seq", "25.5",
-                extra=", last_app_date").replace("row_number() OVER p0 - 1 AS seq", "row_number() OVER p0 - 1 AS seq, lag(game_date) OVER p0 AS last_app_date"),
-)
+_E5 = sql_rolling("@supplier_log", "entity", "game_date, l_orderkey, l_linenumber", _LOG_METRICS, (4, 12), "entity, game_date, l_orderkey, l_linenumber, seq", "25.5",
+                extra=", last_app_date").replace("row_number() OVER p0 - 1 AS seq", "row_number() OVER p0 - 1 AS seq, lag(game_date) OVER p0 AS last_app_date")
+
+
+@query("e5_rolling_block", _E5)
 def e5(v):
     log = v.supplier_log.select("*", F.lit(25.5).alias("prior_value"), F.lit(25.5).alias("prior_total"))
     return tidy(history.rolling_rates(log, ["entity"], LOG_ORDER, _LOG_METRICS, (4, 12), keep=["entity", "game_date", "l_orderkey", "l_linenumber"]))
 
 
+@query("e5_incremental_block", _E5)
+def e5_incremental(v):
+    """The years arrive one after the other; the rows are those of one pass over everything."""
+    log = v.supplier_log.select("*", F.lit(25.5).alias("prior_value"), F.lit(25.5).alias("prior_total"))
+    sums, ewms = history.rate_state(_LOG_METRICS, (4, 12))
+    feed = HistoryFeed(v.spark, scratch_path(v.spark, "feed"), ["entity"], LOG_ORDER, sums=sums, ewms=ewms, latest={"last_app_date": "game_date"})
+    first, last = log.agg(F.min(F.year("game_date")), F.max(F.year("game_date"))).first()
+    for number, year in enumerate(range(first, last + 1)):
+        feed.ingest(log.where(F.year("game_date") == year), number)
+    return tidy(feed.rows().selectExpr("entity", "game_date", "l_orderkey", "l_linenumber", "seq", *history.rates_of(_LOG_METRICS, (4, 12)), "last_app_date"))
+
+
 @query(
     "e6_previous_appearance",
     "SELECT player_id, game_date, dh, lag(game_date) OVER (PARTITION BY player_id, season ORDER BY game_date, dh) AS last_app_date FROM @player_game p",
