@@ -28,3 +28,9 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+
+
+def first_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per key: of every column the first value that is not NULL, in the given order (ties: the smaller value)."""
+    at = ", ".join(order)
+    return df.groupBy(*keys).agg(*[F.expr(f"min_by({c}, struct({at}, {c})) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in columns])

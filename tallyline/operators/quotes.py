@@ -130,6 +130,17 @@ def book_prices(quotes: DataFrame, keys: Sequence[str], values: Sequence[str]) -
     return quotes.groupBy(*keys, "sportsbook").agg(F.count(F.lit(1)).alias("num_quotes"), *first)
 
 
+MAX_BOOKS = 5_000  # columns of a pivot
+
+
+def book_list(quotes: DataFrame, limit: int = MAX_BOOKS) -> list:
+    """The books of the table in order; more than ``limit`` raise (``book_prices`` has a row per book instead)."""
+    books = [r[0] for r in quotes.select("sportsbook").where("sportsbook IS NOT NULL").distinct().limit(limit + 1).collect()]
+    if len(books) > limit:
+        raise ValueError(f"more than {limit} books")
+    return sorted(books)
+
+
 def pivot_books(quotes: DataFrame, keys: Sequence[str], books: Sequence, values: Sequence[str]) -> DataFrame:
     """One column per listed book for each price; several quotes of a book -> the first by quote_id. An unlisted book raises."""
     book = F.col("sportsbook")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.market import add_market_probabilities
 from tallyline.functions.numeric import one_row
-from tallyline.operators import backtest, boosting, evaluate, league, lineups, metrics, prepare, priors, quotes, reserve
+from tallyline.operators import backtest, boosting, dedupe, evaluate, league, lineups, metrics, prepare, priors, quotes, reserve
 from tallyline.operators.history import Metric
 from tallyline.operators.ordering import exact_medians
 from tallyline.plans.registry import query, r, tidy
@@ -215,6 +215,19 @@ def d13(v):
     return q.groupBy("game_id").agg(first).select("game_id", "f.sportsbook", F.col("f.quote_time").alias("first_time"))
 
 
+@query(
+    "d13_first_known",
+    """SELECT q.true_game_id, arg_min(q.sportsbook, (q.sportsbook, q.quote_id)) AS sportsbook, arg_min(w.wind, (q.sportsbook, q.quote_id)) FILTER (w.wind IS NOT NULL) AS wind,
+         arg_min(h, (q.sportsbook, q.quote_id, h)) FILTER (h IS NOT NULL) AS home_opening_odds
+       FROM (SELECT *, CASE WHEN home_opening_odds < 0 THEN NULL ELSE home_opening_odds END AS h FROM @quotes q0) q LEFT JOIN @weather w ON q.true_game_id = w.game_id GROUP BY q.true_game_id""",
+)
+def d13_known(v):
+    """Metadata and prices of a game collapsed to the first that is known; underdog prices only."""
+    q = v.quotes.withColumn("home_opening_odds", F.expr("if(home_opening_odds < 0, NULL, home_opening_odds)"))
+    rows = q.join(v.weather.select(F.col("game_id").alias("true_game_id"), "wind"), "true_game_id", "left")
+    return dedupe.first_known(rows, ["true_game_id"], ["sportsbook", "quote_id"], ["sportsbook", "wind", "home_opening_odds"])
+
+
 def _wide_team_stats(v):
     st = v.position_log.groupBy("game_date", "dh", "team").agg(*[F.max(s).alias(s) for s in ("woba", "k_percent", "fip")])
     from tallyline.operators.sides import attach_both_sides
@@ -263,19 +276,17 @@ def d15(v):
     return tidy(league.apply_league_deltas(feats, av, stats, sides=("",)))
 
 
-_BOOKS = (0, 1, 2, 3)
-
-
 @query(
     "d16_book_pivot",
-    "SELECT true_game_id, " + ", ".join(
-        f"arg_min({c}, quote_id) FILTER (sportsbook % 4 = {b}) AS {c}_{b}" for b in _BOOKS for c in ("away_opening_odds", "home_opening_odds")
-    ) + " FROM @quotes q GROUP BY true_game_id",
+    """SELECT * FROM (PIVOT (SELECT true_game_id, sportsbook, quote_id, away_opening_odds, home_opening_odds FROM @quotes q) ON sportsbook
+         USING arg_min(away_opening_odds, quote_id) AS away_opening_odds, arg_min(home_opening_odds, quote_id) AS home_opening_odds GROUP BY true_game_id)""",
 )
 def d16(v):
-    """Books folded into four houses, one quote per house, as the SQL has it; ``d16_book_prices`` has all books."""
-    houses = v.quotes.withColumn("sportsbook", F.col("sportsbook") % 4)
-    return quotes.pivot_books(houses, ["true_game_id"], _BOOKS, ["away_opening_odds", "home_opening_odds"])
+    """A column per book of the table for either price; the first quote of a book by its id."""
+    names = ["away_opening_odds", "home_opening_odds"]
+    books = quotes.book_list(v.quotes)
+    wide = quotes.pivot_books(v.quotes, ["true_game_id"], books, names)
+    return wide.select("true_game_id", *[F.col(f"{n}_{b}").alias(f"{b}_{n}") for b in books for n in names])
 
 
 @query(

@@ -81,6 +81,24 @@ def a8(v):
     return tables.snapshot_scan(rosters, 2024, 3, "2024-01-09").select("game_date", "team", "player_id")
 
 
+@query(
+    "a8_lineup_scan",
+    "SELECT game_date, dh, player_id, batting_order FROM @lineups x WHERE team = 4 AND game_date = DATE '2024-01-10'",
+)
+def a8_lineups(v):
+    lineups = v.lineups.withColumn("season", F.year("game_date"))
+    return tables.snapshot_scan(lineups, 2024, 4, "2024-01-10").select("game_date", "dh", "player_id", "batting_order")
+
+
+@query(
+    "a8_matchup_scan",
+    "SELECT game_date, dh, team, opposing_team, team_starter_id, opposing_starter_id FROM @matchups x WHERE year(game_date) = 2024 AND team = 5",
+)
+def a8_matchups(v):
+    matchups = v.matchups.withColumn("season", F.year("game_date"))
+    return tables.snapshot_scan(matchups, 2024, 5).select("game_date", "dh", "team", "opposing_team", "team_starter_id", "opposing_starter_id")
+
+
 @query(
     "a9_quote_lookup",
     """SELECT game_date, home_team, away_team, sportsbook, quote_id, home_opening_odds, away_opening_odds FROM @quotes q
@@ -92,6 +110,33 @@ def a9(v):
     )
 
 
+_STARTED = """(SELECT *, 'starter ' || CAST((true_game_id + away_team) % 7 AS STRING) AS away_starter_normalized,
+    'starter ' || CAST((true_game_id + home_team) % 7 AS STRING) AS home_starter_normalized FROM @quotes q0)"""
+
+
+@query(
+    "a9_quote_lookup_starters",
+    f"""WITH q AS {_STARTED}, g AS (SELECT * FROM q QUALIFY row_number() OVER (ORDER BY true_game_id, sportsbook, quote_id) = 1)
+        SELECT q.game_date, q.home_team, q.away_team, q.sportsbook, q.quote_id FROM q JOIN g ON q.game_date = g.game_date AND q.home_team = g.home_team
+          AND q.away_team = g.away_team AND q.away_starter_normalized = g.away_starter_normalized AND q.home_starter_normalized = g.home_starter_normalized""".replace(" AS STRING", " AS VARCHAR"),
+)
+def a9_starters(v):
+    """The books of the first quoted game whose starters are those of its first quote."""
+    starter = lambda side: F.concat(F.lit("starter "), ((F.col("true_game_id") + F.col(f"{side}_team")) % 7).cast("string"))
+    started = v.quotes.withColumn("away_starter_normalized", starter("away")).withColumn("home_starter_normalized", starter("home"))
+    g = started.orderBy("true_game_id", "sportsbook", "quote_id").first()
+    if g is None:
+        return started.select("game_date", "home_team", "away_team", "sportsbook", "quote_id")
+    found = tables.quote_lookup(started, g.game_date, g.away_team, g.home_team, away_starter=g.away_starter_normalized, home_starter=g.home_starter_normalized)
+    return found.select("game_date", "home_team", "away_team", "sportsbook", "quote_id")
+
+
+@query("a10_fielding_scan", "SELECT player_id, month, frv, total_innings FROM @fielding f")
+def a10_fielding(v):
+    """All rows of the season, by month."""
+    return tables.fielding_scan(v.fielding.withColumn("season", F.lit(2024)), 2024).select("player_id", "month", "frv", "total_innings")
+
+
 @query(
     "a10_dimension_scan",
     "SELECT venue_id, park_factor FROM @parks p WHERE park_factor IS NOT NULL",
@@ -414,6 +459,13 @@ def a25(v):
     return tables.inventory({n: getattr(v, n) for n in names})
 
 
+@query("a25_table_sizes")
+def a25_sizes(v):
+    """Files and bytes of every table and of all of them (sizes are not in SQL's reach, so no oracle)."""
+    names = ("orders", "lineitem", "events", "customer", "supplier", "part", "documents", "pages")
+    return tidy(tables.sizes({n: getattr(v, n) for n in names}))
+
+
 @query(
     "a26_full_refresh",
     "SELECT season, count(*) AS n, CAST(max(game_id) AS BIGINT) AS last_id FROM @games g GROUP BY season",

@@ -82,6 +82,11 @@ def quote_lookup(quotes: DataFrame, day, away, home, book=None, away_starter=Non
     return out.orderBy("sportsbook")
 
 
+def fielding_scan(df: DataFrame, season: int, player=None) -> DataFrame:
+    """Monthly fielding rows of a season (optionally of one player), by month."""
+    return entity_scan(season_scan(df, season), player).orderBy("month") if player is not None else season_scan(df, season).orderBy("month")
+
+
 def park_factor_scan(df: DataFrame, season: int) -> DataFrame:
     return df.where((F.col("season") == season) & F.col("park_factor").isNotNull())
 
@@ -117,6 +122,15 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Files and bytes per stored table, and of all (``table_name`` NULL), from the files' own metadata."""
+    parts = [df.select(F.lit(name).alias("table_name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct() for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.rollup("table_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
 def ad_hoc(spark: SparkSession, text: str, args: Sequence = (), **tables: DataFrame) -> DataFrame:
     """SQL text with positional parameters over the given tables."""
     for name, df in tables.items():

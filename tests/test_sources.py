@@ -112,3 +112,12 @@ def test_accents_of_every_latin_letter(spark):
     names = ["Nguyễn", "Ḥĝǎ", "José Ramírez", "Łuk", "Čech, Ǻsa", "Ḗ"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.x for r in df.select(normalize_name("n").alias("x")).collect()] == ["nguyen", "hga", "jose ramirez", "łuk", "asa cech", "e"]
+
+
+def test_table_sizes_are_those_of_the_files(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 1)):
+        spark.range(50).repartition(n).write.parquet(str(tmp_path / name))
+    got = {r.table_name: (r.n_files, r.n_bytes) for r in tables.sizes({n: spark.read.parquet(str(tmp_path / n)) for n in ("a", "b")}).collect()}
+    own = {n: [f.stat().st_size for f in (tmp_path / n).glob("*.parquet")] for n in ("a", "b")}
+    assert got["a"] == (len(own["a"]), sum(own["a"])) and got["b"] == (len(own["b"]), sum(own["b"]))
+    assert got[None] == (len(own["a"] + own["b"]), sum(own["a"] + own["b"]))
