@@ -10,8 +10,10 @@ Every vector is indexed and every query meets every shard: queries and shards tr
 block meet again, per query.
 
 Defined results: vectors that are null, zero, of another length than the most common one or that hold null or non-finite
-components take no part, neither do null ids. Ties go to the smaller id. Repeated ids are separate candidates; a query never
-finds its own id. Fewer candidates give fewer rows; no vectors give none. Only the named columns are read.
+components take no part, neither do null ids. Ties go to the smaller id. Exact repeats of a row (id and vector) count once, as
+candidates and as queries; rows that share an id but not a vector are separate candidates and separate queries, each with
+ranks of its own. A query never finds its own id. Fewer candidates give fewer rows; no vectors give none. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -98,7 +100,10 @@ def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        at = np.lexsort((flat[:, 0], ids))
+        # a row's repeats fall into the same block, so they can be told here
+        rows = np.ascontiguousarray(np.hstack([ids[:, None].view(float), flat]))
+        at = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1])))[:, 0], return_index=True)[1]
+        at = at[np.argsort(ids[at], kind="stable")]
         return pa.table({name: table.column(name)[:1], "ids": pa.array([ids[at].tobytes()], pa.binary()), "vectors": pa.array([flat[at].tobytes()], pa.binary())})
 
     return dealt.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, vectors binary")
@@ -115,17 +120,19 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     # a stated set of queries, in blocks, meets every shard of the index
     sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
     work = shards.join(sent, "shard").repartition(F.col("shard"), F.col("block"))
+    # a query is told by its block and its place there, not by its id
 
     def search(batches):
         for batch in batches:
-            for ids, vectors, query_ids, query_vectors in zip(*[batch.column(c).to_pylist() for c in ("ids", "vectors", "query_ids", "query_vectors")]):
+            for block, ids, vectors, query_ids, query_vectors in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "vectors", "query_ids", "query_vectors")]):
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
                 x, q = np.frombuffer(vectors).reshape(len(ids), -1), np.frombuffer(query_vectors).reshape(len(query_ids), -1)
                 if not x.shape[1] == q.shape[1]:
                     continue
                 k, found, score = search_shard(ids, x, query_ids, q, top_norm)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[k]), pa.array(found), pa.array(score)], ["query_id", "found", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), block)), pa.array(k), pa.array(query_ids[k]), pa.array(found), pa.array(score)], ["block", "place", "query_id", "found", "score"])
 
-    found = work.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(search, "query_id long, found long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "found")))
+    found = work.select("block", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(search, "block long, place long, query_id long, found long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("block", "place").orderBy(F.desc("score"), "found")))
     return ranked.where(F.col("rank") <= NEIGHBOURS).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("found").alias(key), "score")

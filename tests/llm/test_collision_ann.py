@@ -44,3 +44,19 @@ def test_few_and_none(spark):
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0, 0.0], 1)]) == {}
     assert run(spark, [(0, [1.0, 0.0], 1), (1, [0.5, 0.0], 1), (2, [0.5, 9.0], 1)])[0] == [(1, 1, 0.5), (2, 2, 0.5)]
+
+
+def test_repeated_rows(spark):
+    """A row that stands twice is one candidate and one query; another vector under the same id is another query."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    table = spark.createDataFrame(rows + rows[:30] + [(20, [1.0] * 8, 1)], "vec_id long, embedding array<float>, rank int")
+    got = collision_ann.nearest(table, table.where("vec_id % 20 = 0")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(rows)
+    assert sorted(len(v) for v in by.values()) == [20, 20, 40]
+    for q in (0, 40):
+        assert sorted(r for r, _ in by[q]) == list(range(1, 21)) and len({i for _, i in by[q] if i != 20}) >= 18
+        assert len({i for _, i in by[q]} & {i for _, i in want[q]}) >= 18
