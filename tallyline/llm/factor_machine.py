@@ -1,12 +1,14 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 score = sigmoid(b + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x_i = 1 where term i occurs. The pair weights let an
-insult and a group mention count together for more than their sum. Terms are hashed to 2^20 ids; those whose share differs
-between the classes (``Z`` standard errors, at most ``TERMS``) enter the model.
+insult and a group mention count together for more than their sum. Terms are hashed to 2^20 ids; those of the labelled sample
+whose share differs between the classes (``Z`` standard errors; the ``max_terms`` largest differences) enter the model.
 
 The fit takes at most ``labelled_rows`` labelled documents (those with the smallest hash of the id), gathered in one task;
 everything is scored. Only the text is an input. Defined results: null and empty texts get the model's base rate; without
 labels of both classes every score is the mean label (0 without any). A document labelled twice is toxic if one label is.
+Repeated rows are scored each, rows with equal texts alike. Very long texts are hashed whole, one at a time. Terms of equal
+difference enter in the order of their hash. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def term_ids(texts: pa.Array):
             yield np.unique(ids[a:b])
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> tuple:
+def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 3, max_terms: int = TERMS) -> tuple:
     """(ids, b, w, v) by AdaGrad on the log loss with L2."""
     rate = float(labels.mean()) if len(labels) else 0.0
     base = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
@@ -50,7 +52,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> tuple:
     z = np.abs(toxic / n1 - (seen - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[seen < 3] = 0
     ids = np.flatnonzero(z >= Z)
-    ids = np.sort(ids[np.argsort(-z[ids], kind="stable")[:TERMS]]).astype(np.uint32)
+    ids = np.sort(ids[np.argsort(-z[ids], kind="stable")[:max_terms]]).astype(np.uint32)
     if not len(ids):
         return none
     at = np.searchsorted(ids, flat)
@@ -88,7 +90,7 @@ def margins(model: tuple, terms: np.ndarray) -> float:
     return b + w[c].sum() + 0.5 * ((v[c].sum(0) ** 2).sum() - (v[c] ** 2).sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, label_key: str, labelled_rows: int) -> tuple:
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, label_key: str, labelled_rows: int, max_terms: int = TERMS) -> tuple:
     """The model, fitted in one task on the bounded sample."""
     chosen = labels.groupBy(F.col(label_key).alias("id")).agg(F.max(label).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)  # bounded, hence the broadcast
@@ -102,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, l
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("y", "ascending")])
         samples = [np.frombuffer(x, np.uint32) for x in table.column("terms").to_pylist()]
-        ids, b, w, v = fit(samples, table.column("y").to_numpy())
+        ids, b, w, v = fit(samples, table.column("y").to_numpy(), max_terms=max_terms)
         return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()), "b": [b], "w": pa.array([w.tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary())})
 
     gathered = rows.mapInArrow(terms, "terms binary, y double, h long").selectExpr("*", "int(y IS NULL) AS all").groupBy("all")
@@ -113,10 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, l
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id",
-                   labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+                   labelled_rows: int = LABELLED_ROWS, max_terms: int = TERMS) -> DataFrame:
     """(key, score, predicted) of every row. ``labels`` holds the rows that may be learned from."""
     vector.small_batches(docs.sparkSession)
-    model = train(docs, labels, key, text, label, label_key, labelled_rows)
+    model = train(docs, labels, key, text, label, label_key, labelled_rows, max_terms)
     wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def score(batches):
