@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import one_row
 from tallyline.operators.metrics import BATTING
-from tallyline.operators.ordering import exact_medians, row_positions
+from tallyline.operators.ordering import row_positions
+from tallyline.operators.selection import medians
 
 # Columns that never become features.
 EXCLUDED = (
@@ -139,12 +140,10 @@ def standardize(df: DataFrame, columns: Sequence[str], train: str) -> DataFrame:
 
 def impute_medians(df: DataFrame, columns: Sequence[str], train: str, indicators: Sequence[str] = ()) -> DataFrame:
     """NULLs take the exact training median (0 when all NULL); missing indicators count as 1."""
-    medians = one_row(exact_medians(df.where(train), columns, default=0.0))
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("__med")[c]) for c in columns}
+    found = medians(df.where(train), columns, default=0.0)
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(found[c])) for c in columns}
     filled |= {c: F.coalesce(F.col(c).cast("int"), F.lit(1)) for c in indicators}
-    return df.withColumn("__med", medians).select(
-        *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
-    )
+    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def order_violations(df: DataFrame, by: str = "split", lead: str = "season", date: str = "game_date") -> DataFrame:

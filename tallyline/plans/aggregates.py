@@ -8,7 +8,7 @@ from tallyline.functions.market import add_market_probabilities
 from tallyline.functions.numeric import one_row
 from tallyline.operators import backtest, boosting, dedupe, evaluate, league, lineups, metrics, prepare, priors, quotes, reserve
 from tallyline.operators.history import Metric
-from tallyline.operators.ordering import exact_medians
+from tallyline.operators.selection import medians
 from tallyline.plans.registry import query, r, tidy
 
 WOBA = Metric("woba", "woba", "pa", 100)
@@ -97,7 +97,8 @@ _LC = ["woba", "ops"]
 def d5(v):
     stats = v.position_log.where("pa > 0")
     rows = lineups.lineup_players(v.club_games, v.lineups, stats, _LC)
-    return tidy(lineups.side_means(rows, _LC, one_row(exact_medians(stats, _LC))))
+    found = v.spark.createDataFrame([tuple(medians(stats, _LC).values())], ", ".join(f"{c} double" for c in _LC))
+    return tidy(lineups.side_means(rows, _LC, one_row(found)))
 
 
 @query(
