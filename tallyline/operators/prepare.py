@@ -146,6 +146,20 @@ def impute_medians(df: DataFrame, columns: Sequence[str], train: str, indicators
     return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
+def audit_texts(columns: Sequence[str], p: str, splits: Sequence[str], by: str = "split") -> dict[str, str]:
+    """The counts of ``null_audit`` and ``probability_audit`` per split as aggregates over all rows (for ``write_audited``)."""
+    any_null = " OR ".join(f"{c} IS NULL" for c in columns if c != by)
+    odd = f"({p} IS NULL OR isnan({p}) OR abs({p}) = double('infinity'))"
+    out = {}
+    for s in splits:
+        own = f"{by} = '{s}'"
+        out |= {
+            f"{s}__n_rows": f"count_if({own})", f"{s}__n_null_rows": f"count_if({own} AND ({any_null}))",
+            f"{s}__n_out_of_range": f"count_if({own} AND NOT {odd} AND ({p} < 0 OR {p} > 1))", f"{s}__n_not_finite": f"count_if({own} AND {odd})",
+        }
+    return out
+
+
 def order_violations(df: DataFrame, by: str = "split", lead: str = "season", date: str = "game_date") -> DataFrame:
     """Ordering contract of an output sorted by (lead, date, ...): dates never fall.
 

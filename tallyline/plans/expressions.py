@@ -8,6 +8,8 @@ from tallyline.functions import context, market, numeric, text
 from tallyline.functions.aliases import QUOTE_ALIASES, TEAM_ALIASES
 from tallyline.operators import prepare, sides
 from tallyline.plans.registry import half_up, query, r, tidy
+from tallyline.session import scratch_path
+from tallyline.sources import sinks
 
 QID = ["true_game_id", "sportsbook", "quote_id"]
 QS = ", ".join(QID)
@@ -340,6 +342,25 @@ def b28b(v):
     return _holes(v).na.drop("any").groupBy("split", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "b28_audit_in_write",
+    """SELECT split, count(*) AS n_rows, CAST(sum(CASE WHEN venue_id % 7 = 0 OR home_score = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_null_rows,
+         CAST(sum(CASE WHEN p_mkt * 2 > 1 AND venue_id <> 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_out_of_range, CAST(sum(CASE WHEN venue_id = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_not_finite,
+         (SELECT count(*) FILTER (home_score <> away_score + 1) FROM @pred_wide q) AS n_apart, (SELECT count(*) FROM @pred_wide q2) AS n_stored FROM @pred_wide p GROUP BY split""",
+)
+def b28_in_write(v):
+    """Null, probability and agreement audits of a table, counted by the pass that stores it."""
+    p = F.when(F.col("venue_id") == 3, float("nan")).otherwise(F.col("p_mkt") * 2)
+    df = v.pred_wide.select("split", F.when(F.col("venue_id") % 7 != 0, F.col("p_m1")).alias("a"), F.when(F.col("home_score") != 3, F.col("home_score")).alias("b"), p.alias("p"), "home_score", "away_score")
+    splits = ("train", "val", "test")
+    audits = prepare.audit_texts(["a", "b"], "p", splits) | {"n_apart": "count_if(home_score <> away_score + 1)"}
+    stored, seen = sinks.write_audited(df, scratch_path(v.spark, "audited"), audits)
+    names = ("n_rows", "n_null_rows", "n_out_of_range", "n_not_finite")
+    rows = [(s, *[seen[f"{s}__{n}"] for n in names], seen["n_apart"]) for s in splits if seen[f"{s}__n_rows"]]
+    found = v.spark.createDataFrame(rows, f"split string, {', '.join(f'{n} long' for n in names)}, n_apart long")
+    return found.withColumn("n_stored", F.lit(stored.count()).cast("long"))
+
+
 @query(
     "b29_typed_partition",
     f"SELECT game_id, venue_id, CASE WHEN home_score > 5 THEN 1 ELSE 0 END AS high, {r('p_mkt')} AS p_open_home_median_nv FROM @pred_wide p",

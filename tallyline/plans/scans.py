@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from tallyline.plans.registry import query, r, tidy
 from tallyline.session import scratch_path
-from tallyline.sources import payloads, sinks, tables
+from tallyline.sources import payloads, shapes, sinks, tables
 from tallyline.sources.align import align_to_schema
 from tallyline.streaming.ingest import stream_upserts
 
@@ -372,6 +372,25 @@ def a19b(v):
     return tidy(_game_logs(v)[1].select("mlb_id", "player_id", "team", "games", "gs", "fip", "stuff", "era"), skip=("fip",))
 
 
+_MIXED_JSON = f"""CASE event_type WHEN 'error' THEN concat('{{"mlb": [', user_id) WHEN 'signup' THEN '{{"mlb": [{{"playerid": "total"}}, {{"playerid": "7", "gamedate": "2024-01-02", "G": 1}}]}}'
+    WHEN 'click' THEN replace({_LOG_JSON}, '"wOBA":"', '"wOBA":"about ') ELSE {_LOG_JSON} END"""
+
+
+@query(
+    "a19_routed_records",
+    """SELECT event_id AS mlb_id, CASE event_type WHEN 'view' THEN 'batter' WHEN 'purchase' THEN 'pitcher' END AS route,
+         CASE event_type WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'unknown shape' WHEN 'click' THEN 'bad wOBA' END AS reason,
+         CASE WHEN event_type IN ('view', 'purchase') THEN user_id END AS player_id, CASE WHEN event_type IN ('view', 'purchase') THEN value END AS value FROM @events e""",
+)
+def a19_routed(v):
+    """Batters, pitchers and rejects of payloads of five shapes: every record comes out somewhere."""
+    raw = v.events.select(F.year("ts").alias("season"), F.col("event_id").alias("mlb_id"), F.expr(_MIXED_JSON).alias("payload"))
+    batters, pitchers, rejects = shapes.route_game_logs(raw)
+    out = batters.selectExpr("mlb_id", "'batter' AS route", "cast(NULL as string) AS reason", "player_id", "woba AS value")
+    out = out.unionByName(pitchers.selectExpr("mlb_id", "'pitcher' AS route", "cast(NULL as string) AS reason", "player_id", "fip AS value"))
+    return out.unionByName(rejects.selectExpr("mlb_id", "cast(NULL as string) AS route", "reason", "cast(NULL as bigint) AS player_id", "cast(NULL as double) AS value"))
+
+
 @query(
     "a20_league_payload_merge",
     """SELECT CAST(b.g AS BIGINT) AS year, b.v AS bats_woba, t.v AS throws_era, CAST(NULL AS DOUBLE) AS throws_fip FROM
@@ -450,6 +469,27 @@ def a24(v):
     return sinks.cached(v.spark, root, key, build)
 
 
+@query(
+    "a24_changed_inputs",
+    """SELECT season, count(*) AS n, CAST(sum(is_winner_home + CASE WHEN game_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS home_wins, CAST(2 AS BIGINT) AS builds FROM @games g GROUP BY season""",
+)
+def a24_changed(v):
+    """Built, found again, and built anew once an upsert has changed the table beneath."""
+    root, table, builds = scratch_path(v.spark, "cache"), scratch_path(v.spark, "games"), []
+    games = v.games.selectExpr("season", "game_id", "is_winner_home AS won")
+    sinks.upsert_table(games, table, ["game_id"], ["won"], "season")
+
+    def build():
+        builds.append(1)
+        return v.spark.read.parquet(table).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("won").cast("long").alias("home_wins"))
+
+    read = lambda: sinks.cached_from(v.spark, root, [v.spark.read.parquet(table)], build, kind="home_wins", version=1)
+    read()
+    read()
+    sinks.upsert_table(games.where("game_id % 10 = 0").withColumn("won", F.col("won") + 1), table, ["game_id"], ["won"], "season")
+    return read().select(F.col("season").cast("long").alias("season"), "n", "home_wins").withColumn("builds", F.lit(len(builds)).cast("long"))
+
+
 @query(
     "a25_table_inventory",
     " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM @{t} t" for t in ("orders", "lineitem", "events", "customer", "supplier", "part", "documents", "pages")),

@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tallyline.operators.dedupe import keep_last
 from tallyline.session import drop_scratch, pin, scratch_path
@@ -104,6 +104,30 @@ def cached(spark: SparkSession, root: str, key: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
+def fingerprint(*inputs: DataFrame) -> str:
+    """A key over the files that tables are read from: path, size and time of change, from the scan's own metadata."""
+    texts = []
+    for df in inputs:
+        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+        texts.append([str(x) for x in files.agg(F.expr("count(1)"), F.expr("sum(cast(xxhash64(p, s, t) as decimal(38, 0)))"), F.expr("bit_xor(xxhash64(t, s, p))")).first()])
+    return cache_key(files=texts)
+
+
+def cached_from(spark: SparkSession, root: str, inputs: Sequence[DataFrame], build: Callable[[], DataFrame], force: bool = False, **parameters) -> DataFrame:
+    """``cached`` under a key of the parameters and of the input files: changed inputs are noticed and built anew."""
+    return cached(spark, root, cache_key(inputs=fingerprint(*inputs), **parameters), build, force)
+
+
+def write_audited(df: DataFrame, path: str, audits: Mapping[str, str]) -> tuple[DataFrame, dict]:
+    """Store ``df`` and return (the stored table, every audit's value).
+
+    An audit is an aggregate over all rows as SQL text; all are taken from the pass that writes, so none needs a scan of its own.
+    """
+    seen = Observation()
+    df.observe(seen, *[F.expr(f"{text} AS {name}") for name, text in audits.items()]).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), seen.get
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F, types as T
 
 from tallyline.functions.text import clean_timestamp_text, normalize_name
 from tallyline.schemas import KEYS, SCHEMAS
-from tallyline.sources import payloads, sinks, tables
+from tallyline.operators import prepare
+from tallyline.sources import payloads, shapes, sinks, tables
 from tallyline.sources.align import align_to_schema, schema_changes
 
 
@@ -121,3 +122,63 @@ def test_table_sizes_are_those_of_the_files(spark, tmp_path):
     own = {n: [f.stat().st_size for f in (tmp_path / n).glob("*.parquet")] for n in ("a", "b")}
     assert got["a"] == (len(own["a"]), sum(own["a"])) and got["b"] == (len(own["b"]), sum(own["b"]))
     assert got[None] == (len(own["a"] + own["b"]), sum(own["a"] + own["b"]))
+
+
+def game_logs(spark):
+    good = {"playerid": 7, "gamedate": "2024-04-01", "PlayerName": "Ann", "Team": "XYZ", "dh": "0"}
+    records = [
+        {**good, "AB": "3", "wOBA": "0.4", "wRC+": None}, {**good, "TBF": 4, "FIP": 3.5}, {**good, "AB": "3", "BB%": "n/a"}, {**good, "G": 1},
+        {"gamedate": "2024-04-01", "AB": 1}, {**good, "gamedate": "soon", "W": 1}, {**good, "AB": 1, "W": 2},
+    ]
+    texts = [json.dumps({"mlb": [{"playerid": "total"}, *records]}), "{not json", "[]", json.dumps({"mlb": "none"}), json.dumps({"mlb": []}), json.dumps({"mlb": [{"AB": 1}]}), None]
+    return spark.createDataFrame([(2024, i, t) for i, t in enumerate(texts)], "season int, mlb_id long, payload string")
+
+
+def test_records_are_routed_or_rejected_with_a_reason(spark):
+    raw = game_logs(spark)
+    batters, pitchers, rejects = shapes.route_game_logs(raw)
+    assert [(r.player_id, r.ab, r.woba, r.wrc_plus) for r in batters.orderBy("ab").collect()] == [(7, 1, 0.0, 100.0), (7, 3, 0.4, 100.0)]
+    assert [(r.player_id, r.fip, r.stuff) for r in pitchers.collect()] == [(7, 3.5, 100.0)]
+    got = sorted((r.mlb_id, r.reason) for r in rejects.collect())
+    assert got == sorted([(0, "bad BB%"), (0, "unknown shape"), (0, "no playerid"), (0, "bad gamedate"), (1, "malformed"), (2, "no records"), (3, "no records"), (6, "malformed")])
+    assert "OBJECT" in rejects.where("reason = 'bad BB%'").first().shape and "n/a" in rejects.where("reason = 'bad BB%'").first().text
+
+
+def test_routed_rows_are_those_of_the_flat_reader(spark):
+    raw = game_logs(spark).where("mlb_id = 0").selectExpr("season", "mlb_id", """replace(payload, '"n/a"', '0.1') AS payload""")
+    for new, old in zip(shapes.route_game_logs(raw), payloads.flatten_game_logs(raw)):
+        old = old.where("player_id IS NOT NULL AND game_date IS NOT NULL")
+        assert sorted(map(str, new.collect())) == sorted(map(str, old.collect()))
+
+
+def test_shape_report(spark):
+    raw = spark.createDataFrame([("a", '{"x": 1}'), ("a", '{"x": "t", "y": [1]}'), ("a", "{"), ("b", None)], "k string, payload string")
+    got = {r.k: (r.n, r.n_malformed, r["shape"]) for r in shapes.shape_report(raw, ["k"]).collect()}
+    assert got["a"][:2] == (3, 1) and "y: ARRAY<BIGINT>" in got["a"][2] and got["b"][:2] == (1, 0)
+
+
+def test_cache_notices_changed_inputs(spark, tmp_path):
+    table, builds = str(tmp_path / "t"), []
+    spark.range(5).write.parquet(table)
+
+    def build():
+        builds.append(1)
+        return spark.read.parquet(table).selectExpr("sum(id) AS s")
+
+    read = lambda **p: sinks.cached_from(spark, str(tmp_path / "cache"), [spark.read.parquet(table)], build, **p).first().s
+    assert [read(v=1), read(v=1), len(builds)] == [10, 10, 1]
+    assert [read(v=2), len(builds)] == [10, 2]
+    spark.range(5, 7).write.mode("append").parquet(table)
+    assert [read(v=1), read(v=1), len(builds)] == [21, 21, 3]
+    spark.range(1).write.mode("overwrite").parquet(table)
+    assert read(v=1) == 0
+
+
+def test_audits_come_with_the_write(spark, tmp_path):
+    rows = [("train", 0.5, 1), ("train", None, 1), ("test", 1.5, None), ("test", float("nan"), 2), ("val", float("inf"), 2)]
+    df = spark.createDataFrame(rows, "split string, p double, a int").repartition(3)
+    audits = prepare.audit_texts(["p", "a"], "p", ["train", "test", "val"])
+    stored, seen = sinks.write_audited(df, str(tmp_path / "t"), audits)
+    assert stored.count() == 5 and seen["train__n_rows"] == 2 and seen["train__n_null_rows"] == 1
+    alone = {r.split: r for r in prepare.probability_audit(df, "p").collect()}
+    assert all(seen[f"{s}__{n}"] == alone[s][n] for s in alone for n in ("n_out_of_range", "n_not_finite"))
