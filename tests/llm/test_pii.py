@@ -76,3 +76,32 @@ def test_copies_do_not_fill_the_sample(spark):
 
 def test_empty(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trees_add_what_the_base_misses(spark):
+    """On labelled texts of another seed: precision and recall of the added spans, and none inside tokens."""
+    other = pii.labelled_texts(15, seed=123)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in other], "doc_id long, text string")
+    found = {r["__key"]: r for r in pii.find_pii(docs).collect()}
+    right = wrong = missed = 0
+    for i, text, spans in other:
+        base = {(x.kind, x.s, x.e) for x in found[i].base}
+        added = {(x.kind, x.s, x.e) for x in found[i].spans} - base
+        right, wrong, missed = right + len(added & set(spans)), wrong + len(added - set(spans)), missed + len(set(spans) - added - base)
+        assert not (added and any(w in text for w in ("token", "password", "secret", "key ")))
+    assert right >= 150 and right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.8
+
+
+def test_spans_a_base_pattern_swallowed(spark):
+    text = "hello. +1 (605) 555-9305 4078918989542222 bye"
+    row = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_phone == row.n_card == 0 and row.spans == "phone:7:24,card:25:41"
+    clean = pii.redacted(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string")).first()
+    assert clean.text == "hello. <phone> <card> bye"
+
+
+def test_own_labels(spark):
+    """Another labelled table decides otherwise; one class alone adds nothing."""
+    docs = spark.createDataFrame([(1, "code 00316 858 5242 here"), (2, "a(at)b.org")], "doc_id long, text string")
+    one = spark.createDataFrame([("see a(at)b.org", [])], "text string, truth array<struct<kind: int, s: int, e: int>>")
+    assert [r.spans for r in pii.find_pii(docs, labelled=one).collect()] == [[], []]
