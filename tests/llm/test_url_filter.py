@@ -36,7 +36,8 @@ def test_rules_against_brute_force(spark):
 
 
 def test_without_labels_and_without_rows(spark):
-    rows = url_filter.filter_urls(frame(spark, ["http://a.org/", None])).collect()
+    none = spark.createDataFrame([], "url string, label int")
+    rows = url_filter.filter_urls(frame(spark, ["http://a.org/", None]), labelled=none).collect()
     assert [r.verdict for r in rows] == ["allow", "allow"]
     assert url_filter.filter_urls(frame(spark, [])).count() == 0
 
@@ -59,7 +60,20 @@ def test_copies_do_not_fill_the_sample(spark):
     known = spark.createDataFrame(urls, "host string, path string, label int")
     lowest = known.orderBy(F.xxhash64("host", "path")).first()
     copies = spark.createDataFrame([lowest] * 200, known.schema)
-    model = url_filter.fit_url_model(known.union(copies), rows=60)
-    assert model is not None and not isinstance(model, float)
+    model, threshold = url_filter.fit_url_model(known.union(copies), rows=60)
+    assert 0.5 <= threshold < 1
     fitted = model.transform(known)
     assert fitted.where("int(__prediction) = label").count() >= 58
+
+
+def test_default_table_on_urls_of_another_seed(spark):
+    """Precision and recall of the shipped labels, and ordinary hosts that no rule decides stay allowed."""
+    known = {u for u, _ in url_filter.labelled_urls()}
+    urls = [(u, y) for u, y in url_filter.labelled_urls(300, seed=8) if u not in known]
+    rows = url_filter.filter_urls(frame(spark, [u for u, _ in urls]), rules=()).orderBy("page_id").collect()
+    hit = sum(r.verdict == "block" and y == 1 for r, (_, y) in zip(rows, urls))
+    blocked = sum(r.verdict == "block" for r in rows)
+    assert hit / blocked >= 0.95 and hit / sum(y for _, y in urls) >= 0.85
+    plain = [f"https://{h}.example.{e}/{p}/{i}" for h in ("ththan", "m.therer", "blog.tionsh", "www.thering") for e in ("net", "org") for p in ("de", "en") for i in (17, 120033)]
+    verdicts = [r.verdict for r in url_filter.filter_urls(frame(spark, plain)).collect()]
+    assert verdicts.count("allow") >= len(plain) - 1
