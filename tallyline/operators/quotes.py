@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from tallyline.functions.numeric import CONSENSUS_CLIP, logit
 from tallyline.operators.asof import nearest_in_time
 from tallyline.operators.dedupe import keep_first
+from tallyline.session import pin
 
 QUOTE_KEY = ("game_date", "game_datetime", "away_team", "home_team")
 
@@ -68,15 +69,16 @@ def unmatched(quotes: DataFrame, matched: DataFrame, keys: Sequence[str] = QUOTE
     return quotes.join(matched.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def reconcile(schedule: DataFrame, quotes: DataFrame, market_only: bool = False) -> tuple[DataFrame, DataFrame]:
+def reconcile(schedule: DataFrame, quotes: DataFrame, market_only: bool = False, store: Callable[[DataFrame, str], DataFrame] = pin) -> tuple[DataFrame, DataFrame]:
     """Schedule games with their consensus, and the long table of matched quotes.
 
     Consensus is taken per quoted game and time before any join with the schedule. Of the
     matched quotes one is kept per (date, away, home, book), exact matches first; the game
     takes the consensus of its first book. Games with a missing consensus value are dropped.
     """
-    books = consensus(quotes, market_only=market_only)
-    links = match_quote_times(schedule, quotes)
+    # one row per quoted game and time: stored, it serves the consensus and the distinct times
+    books = store(consensus(quotes, market_only=market_only), "consensus")
+    links = match_quote_times(schedule, books)
     long = quotes.join(links, list(QUOTE_KEY))
     order = [~F.col("exact"), "game_datetime", "game_id", "quote_id"]
     long = keep_first(long, ["game_date", "away_team", "home_team", "sportsbook"], order)

@@ -19,7 +19,7 @@ from tallyline.operators.history import rolling_rates
 from tallyline.operators.metrics import horizons
 from tallyline.operators.ordering import exact_medians
 from tallyline.operators.priors import season_league, with_season_priors
-from tallyline.session import pin
+from tallyline.session import bucketed, pin
 from tallyline.sources.sinks import cache_key, cached
 
 KEY = list(sides.GAME_KEY)
@@ -190,6 +190,13 @@ def league_delta_tables(tables, dates: DataFrame):
     )
 
 
+def join_blocks(base: DataFrame, blocks) -> DataFrame:
+    """One row per game with the columns of all blocks (C17): stored in buckets of the key, they meet without an exchange."""
+    for block in blocks:
+        base = base.join(block, KEY, "left")
+    return base
+
+
 def season_features(
     tables: Mapping[str, DataFrame], config: FeatureConfig = FeatureConfig(), store: Store = pin
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -197,19 +204,18 @@ def season_features(
     schedule, long_quotes = clean_schedule(tables["schedule"]), None
     if config.stage == "finetune":
         q = add_market_probabilities(tables["odds"].drop("season").withColumn("quote_id", F.col("sportsbook")))
-        schedule, long_quotes = quotes.reconcile(schedule, q, config.market_only)
+        schedule, long_quotes = quotes.reconcile(schedule, q, config.market_only, store)
         schedule = prepare.drop_market_extras(schedule, config.market_only)
-    schedule = store(schedule, "schedule")
+    # blocks with the game key are stored in buckets of it, so the wide join moves none of them again
+    by_game = bucketed(KEY) if store is pin else store
+    schedule = by_game(schedule, "schedule")
     batting = store(batting_features(tables, config), "batting")
-    players = store(position_block(schedule, tables, batting, config), "players")
+    players = by_game(position_block(schedule, tables, batting, config), "players")
     pitching = store(pitching_block(tables, config, store), "pitching")
     pen_and_starter = [c for c in pitching.columns if c.startswith(("team_starter_", "team_pen_"))]
-    pitchers = sides.attach_both_sides(schedule.select(*KEY), pitching, pen_and_starter)
-    env, form = context_block(schedule, tables["park_factors"]), store(team_block(schedule, config), "teams")
-    base = schedule.drop("venue_elevation", "temp", "condition", "wind", "day_night_game")
-    wide = base
-    for block in (players, pitchers, env, form):
-        wide = wide.join(block, KEY, "left")
+    pitchers = by_game(sides.attach_both_sides(schedule.select(*KEY), pitching, pen_and_starter), "pitchers")
+    env, form = by_game(context_block(schedule, tables["park_factors"]), "environment"), by_game(team_block(schedule, config), "teams")
+    wide = join_blocks(schedule.drop("venue_elevation", "temp", "condition", "wind", "day_night_game"), (players, pitchers, env, form))
     bat, sta, rel = league_delta_tables(tables, schedule.select("season", "game_date"))
     on = ("season", "game_date")
     wide = league.apply_league_deltas(wide, bat, metrics.BATTING_LEAGUE, on=on)

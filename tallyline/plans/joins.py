@@ -12,6 +12,7 @@ from tallyline.operators.priors import league_priors
 from tallyline.plans.expressions import _all_diffs, side_sql, wide_sides
 from tallyline.plans.histories import _season_prior_sql, sql_rolling
 from tallyline.plans.registry import query, r, tidy
+from tallyline.session import bucketed
 
 PG = ["player_id", "game_date", "dh"]
 _TEAM_STATS = "(SELECT game_date, dh, team, max(woba) AS woba, max(fip) AS fip FROM @player_game p WHERE pos = 'P' GROUP BY game_date, dh, team)"
@@ -233,13 +234,13 @@ def park_lookup(games, parks):
     )
 
 
-@query(
-    "c17_keyed_multi_join",
-    f"""SELECT c.game_id, c.home_team, t.fip AS home_fip_max, o.n AS players, x.n AS quotes FROM @club_games c
+_C17 = f"""SELECT c.game_id, c.home_team, t.fip AS home_fip_max, o.n AS players, x.n AS quotes FROM @club_games c
         LEFT JOIN (SELECT game_date, dh, team, {r('max(fip)')} AS fip FROM @player_game p GROUP BY 1, 2, 3) t ON c.game_date = t.game_date AND c.dh = t.dh AND c.home_team = t.team
         LEFT JOIN (SELECT game_date, dh, count(*) AS n FROM @player_game p GROUP BY 1, 2) o ON c.game_date = o.game_date AND c.dh = o.dh
-        LEFT JOIN (SELECT game_date, dh, team, count(*) AS n FROM @lineups l GROUP BY 1, 2, 3) x ON c.game_date = x.game_date AND c.dh = x.dh AND c.home_team = x.team""",
-)
+        LEFT JOIN (SELECT game_date, dh, team, count(*) AS n FROM @lineups l GROUP BY 1, 2, 3) x ON c.game_date = x.game_date AND c.dh = x.dh AND c.home_team = x.team"""
+
+
+@query("c17_keyed_multi_join", _C17)
 def c17(v):
     """Feature blocks are aggregated to the game key first and then joined on it."""
     fip = v.player_game.groupBy("game_date", "dh", F.col("team").alias("home_team")).agg(F.max("fip").alias("home_fip_max"))
@@ -249,6 +250,19 @@ def c17(v):
     return tidy(out.select("game_id", "home_team", "home_fip_max", "players", "quotes"))
 
 
+@query("c17_bucketed_blocks", _C17)
+def c17_buckets(v):
+    """The same blocks, stored in buckets of the game key; only the one with a shorter key is dealt out anew."""
+    key = ["game_date", "dh", "home_team"]
+    store = bucketed(key)
+    games = store(v.club_games, "games")
+    fip = store(v.player_game.groupBy("game_date", "dh", F.col("team").alias("home_team")).agg(F.max("fip").alias("home_fip_max")), "fip")
+    listed = store(v.lineups.groupBy("game_date", "dh", F.col("team").alias("home_team")).agg(F.count(F.lit(1)).alias("quotes")), "listed")
+    players = v.player_game.groupBy("game_date", "dh").agg(F.count(F.lit(1)).alias("players"))
+    out = games.join(fip, key, "left").join(listed, key, "left").join(players, ["game_date", "dh"], "left")
+    return tidy(out.select("game_id", "home_team", "home_fip_max", "players", "quotes"))
+
+
 @query(
     "c18_team_block_single_pass",
     """SELECT season, team, count(*) AS n_rows, CAST(sum(gp) AS BIGINT) AS sum_gp, CAST(sum(rd) AS BIGINT) AS sum_run_diff, CAST(sum(wins) AS BIGINT) AS sum_wins FROM (
