@@ -1,12 +1,15 @@
 """Licence scan: a positional index of rare licence words per file, intersected with template postings.
 
-For every template the word of its key phrase that is rarest in the corpus (highest IDF) is looked up in every file; each
-occurrence proposes a start, the other words of the template are compared at their relative positions, and the template
-counts when its key phrase stands there and enough of its IDF mass matches. As the key phrase has to be in place, all
-places of all templates are found. Base phrases are looked up by their rarest word alike and have to match in full.
-
-Defined results: null text is empty; an empty text or table has no words and no labels. Repeated rows are scanned alike.
-Only ``key`` and ``text`` are read.
+Templates are a table (label, template, key phrase). Their postings say which word stands where in which template. Of a file's
+licence words only those of highest IDF are looked up: for every template the word of its key phrase that is rarest in the
+corpus. Each occurrence of it meets its postings, every posting proposes a start (place in the file less place in the template),
+and starts that several occurrences propose fall together. At a start the key phrase has to stand in full, and the IDF mass of
+the template's words that stand at their relative places decides. As the key phrase has to be in place, all places of all
+templates are found. Base phrases are templates that are their own key phrase.
+
+Defined results: null text is empty; an empty text or table has no words and no labels. Repeated rows are scanned alike. Very
+long texts are one row like others. Words of equal IDF: the last in the alphabet is looked up. Only ``key`` and ``text`` are
+read.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     ("reserved", "all rights reserved", "all rights reserved"),
 )
+MAX_TEMPLATES = 2_000  # they travel with the plan
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.5
 
@@ -57,57 +61,72 @@ def inverse_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, fl
     return {w: 1.0 + math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _starts(word: str, at: int) -> str:
-    """Starts proposed by the occurrences of the looked-up word, which stands at one position of the phrase."""
-    return f"transform(filter(hits, h -> h.w = '{word}'), h -> h.i - {at})"
+def template_table(spark) -> DataFrame:
+    """The built-in templates."""
+    return spark.createDataFrame(list(TEMPLATES), "label string, template string, key_phrase string")
+
+
+def listed(templates: DataFrame) -> list[tuple[str, str, str]]:
+    rows = [tuple(r) for r in templates.select("label", "template", "key_phrase").limit(MAX_TEMPLATES + 1).collect()]
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    for label, template, must in rows:
+        if not must.split() or f" {' '.join(must.split())} " not in f" {' '.join(template.split())} ":
+            raise ValueError(f"the key phrase of {label} is empty or not part of its template")
+    return rows
+
 
+def postings(patterns: list[tuple[str, list[str], int, int]], idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Looked-up word -> [(pattern, place)]: the word of highest IDF in every key phrase."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for n, (_, words, at, length) in enumerate(patterns):
+        rarest = max(words[at: at + length], key=lambda w: (idf[w], w))
+        # a word that stands twice in its phrase misses nothing: one place proposes every start
+        out.setdefault(rarest, []).append((n, words.index(rarest, at)))
+    return out
 
-def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, templates=TEMPLATES,
+
+def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, templates: DataFrame | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row."""
+    table = listed(templates) if templates is not None else list(TEMPLATES)
     words = with_words(docs, key, text)
-    vocabulary = sorted({w for phrase, _ in base for w in phrase.split()} | {w for _, t, _ in templates for w in t.split()})
-    idf = inverse_frequencies(words, vocabulary)
-    # the rarest word of each base phrase and key phrase; at least one of them is in every file worth a closer look
-    anchors = {p: max(p.split(), key=lambda w: (idf[w], w)) for p in [p for p, _ in base] + [k for _, _, k in templates]}
-    doors = sorted(set(anchors.values()))
+    patterns = [(label, phrase.split(), 0, len(phrase.split())) for phrase, label in base]
+    for label, template, must in table:
+        parts, need = template.split(), must.split()
+        patterns.append((label, parts, next(i for i in range(len(parts)) if parts[i:i + len(need)] == need), len(need)))
+    idf = inverse_frequencies(words, sorted({w for _, parts, _, _ in patterns for w in parts}))
+    known = postings(patterns, idf)
+    doors = sorted(known)
+
+    # literals: folded into one value each, whatever the number of templates
+    index = "map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct(\'p\', {p}, \'at\', {at})' for p, at in known[w])})" for w in doors) + ")"
+    every = []
+    for label, parts, at, length in patterns:
+        total = sum(idf[w] for w in parts)
+        masses = ", ".join(f"{idf[w] / total!r}D" for w in parts)
+        every.append(f"named_struct('label', '{label}', 'words', {_quoted(parts)}, 'mass', array({masses}), 'at', {at}, 'need', {length})")
+    held = f"array({', '.join(every)})"
 
     rows = words.selectExpr(
         f"`{key}`", "size(__words) AS n_words", f"CASE WHEN arrays_overlap(__words, {_quoted(doors)}) THEN __words END AS words"
+    ).selectExpr(
+        f"`{key}`", "n_words", "words", f"filter(transform(words, (w, i) -> struct(w, i)), h -> h.w IN ({', '.join(repr(w) for w in doors)})) AS hits",
     ).selectExpr(
         f"`{key}`", "n_words", "words",
-        f"filter(transform(words, (w, i) -> struct(w, i)), h -> h.w IN ({', '.join(repr(w) for w in doors)})) AS hits",
-    )
-
-    places, base_labels = [], []
-    for phrase, label in base:
-        parts = phrase.split()
-        fits = " AND ".join(f"get(words, s + {j}) <=> '{w}'" for j, w in enumerate(parts))
-        places.append(f"filter({_starts(anchors[phrase], parts.index(anchors[phrase]))}, s -> s >= 0 AND {fits})")
-        base_labels.append(label)
-    # an anchor that stands twice in its phrase misses nothing: one relative position proposes every start
-    found, found_labels = [], []
-    for label, template, must in templates:
-        parts, need = template.split(), must.split()
-        at = next(i for i in range(len(parts)) if parts[i:i + len(need)] == need)
-        total = sum(idf[w] for w in parts)
-        mass = " + ".join(f"if(get(words, s + {j}) <=> '{w}', {idf[w] / total!r}D, 0D)" for j, w in enumerate(parts))
-        key_fits = " AND ".join(f"get(words, s + {at + j}) <=> '{w}'" for j, w in enumerate(need))
-        starts = _starts(anchors[must], at + need.index(anchors[must]))
-        found.append(f"array_max(transform(filter({starts}, s -> {key_fits}), s -> {mass}))")
-        found_labels.append(label)
-    named = rows.selectExpr(
-        f"`{key}`", "n_words",
-        "array(" + ", ".join(f"coalesce({p}, array())" for p in places) + ") AS places",
-        "array(" + ", ".join(f"least(1D, coalesce({f}, 0D))" for f in found) + ") AS masses",
+        f"array_distinct(flatten(transform(hits, h -> transform(element_at({index}, h.w), q -> struct(q.p AS p, h.i - q.at AS s))))) AS proposed",
     )
-    return named.selectExpr(
-        f"`{key}`", "n_words", "flatten(places) AS starts", "masses",
-        f"filter(transform({_quoted(base_labels)}, (l, i) -> if(size(places[i]) > 0, l, '')), l -> l != '') AS base_found",
-        f"filter(transform({_quoted(found_labels)}, (l, i) -> if(masses[i] >= {threshold}D, l, '')), l -> l != '') AS more_found",
+    stands = "get(words, c.s + j) <=> get(c.t.words, j)"
+    placed = f"filter(transform(proposed, c -> struct(c.p AS p, c.s AS s, get({held}, c.p) AS t)), c -> forall(sequence(c.t.at, c.t.at + c.t.need - 1), j -> {stands}))"
+    mass = f"aggregate(sequence(0, size(c.t.words) - 1), 0D, (a, j) -> a + if({stands}, get(c.t.mass, j), 0D))"
+    found = rows.selectExpr(
+        f"`{key}`", "n_words", f"coalesce(transform({placed}, c -> struct(c.p AS p, c.s AS s, c.t.label AS label, least(1D, {mass}) AS mass)), array()) AS found"
     ).selectExpr(
-        f"`{key}`", "bigint(n_words) AS n_words", "bigint(size(starts)) AS n_base", "bigint(array_min(starts)) AS first_word",
-        "bigint(array_max(starts)) AS last_word", "array_join(array_sort(array_distinct(base_found)), ',') AS base_labels",
-        "array_join(array_sort(array_union(base_found, more_found)), ',') AS labels",
-        "if(size(base_found) > 0, 1D, array_max(masses)) AS score",
+        f"`{key}`", "n_words", f"filter(found, c -> c.p < {len(base)}) AS based", f"filter(found, c -> c.p >= {len(base)}) AS more",
+    )
+    return found.selectExpr(
+        f"`{key}`", "bigint(n_words) AS n_words", "bigint(size(based)) AS n_base", "bigint(array_min(based.s)) AS first_word", "bigint(array_max(based.s)) AS last_word",
+        "array_join(array_sort(array_distinct(based.label)), ',') AS base_labels",
+        f"array_join(array_sort(array_union(based.label, filter(more, c -> c.mass >= {threshold}D).label)), ',') AS labels",
+        "if(size(based) > 0, 1D, coalesce(array_max(more.mass), 0D)) AS score",
     )

@@ -77,3 +77,35 @@ def test_every_licence_of_a_file_is_found(spark):
 
 def test_empty_table(spark):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_own_templates_as_a_table(spark):
+    """Many templates with shared words; postings find each of them at every place."""
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(40)]
+    own = []
+    for k in range(300):
+        words = [rng.choice(pool) for _ in range(rng.randint(3, 8))]
+        at = rng.randrange(len(words) - 1)
+        own.append((f"l{k}", " ".join(words), " ".join(words[at:at + 2])))
+    table = spark.createDataFrame(own, "label string, template string, key_phrase string")
+    texts = [" ".join(rng.choice(pool) for _ in range(60)) + " " + rng.choice(own)[1] for _ in range(25)] + ["", "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.labels for r in licences.scan_licences(docs, templates=table).orderBy("doc_id").collect()]
+    before = licences.TEMPLATES
+    try:
+        licences.TEMPLATES = tuple(own)
+        assert got == labels_by_hand(texts)
+    finally:
+        licences.TEMPLATES = before
+    assert max(len(x.split(",")) for x in got) > 3
+
+
+def test_key_phrase_must_be_part_of_the_template(spark):
+    wrong = spark.createDataFrame([("x", "some text here", "other")], "label string, template string, key_phrase string")
+    try:
+        licences.scan_licences(spark.createDataFrame([(1, "a")], "doc_id long, text string"), templates=wrong)
+    except ValueError as error:
+        assert "key phrase" in str(error)
+    else:
+        raise AssertionError
