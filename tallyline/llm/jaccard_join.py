@@ -46,6 +46,7 @@ ENTRIES = 1_000_000  # signatures a task packs together
 # sets of a large group that meet in a task come from two blocks of about this size
 BLOCK_SETS = 1_000
 BLOCK_SHINGLES = 2_000_000
+SHARD_BYTES = 32_000_000  # of text whose signatures make a shard, which a task holds as a whole: a few million signatures
 BROADCAST_IDS = 1_000_000  # candidates' ids are broadcast up to this many, else joined by a shuffle
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -321,7 +322,7 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", group
     """(key, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     vector.small_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = vector.shard_count(docs, text, SHARD_BYTES)
     named = pin(classes_of(docs, key, text), "classes")
     real = named.where("n > 0 AND id IS NOT NULL")
     classes = pin(real.groupBy("n", "class", "other").agg(F.min("id").alias("rep")), "class-heads")

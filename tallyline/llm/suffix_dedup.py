@@ -37,6 +37,7 @@ from tallyline.session import pin
 LENGTH = 50
 K = 20
 BATCH = 8_000_000  # bytes of text in a batch (a longer text is one batch)
+SHARD_BYTES = 64_000_000  # of text whose contexts make a shard, which a task holds as a whole: about four million of them
 CHUNK = 1 << 20  # bytes scanned at once
 PLACE = np.uint64((1 << 21) - 1)  # low bits that hold a position inside a chunk
 RUN = 100_000  # windows that make a batch of the index family
@@ -394,7 +395,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` is what is left, as bytes."""
     spark = docs.sparkSession
     vector.small_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = vector.shard_count(docs, text, SHARD_BYTES)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     staged = pin(rows.mapInArrow(stage, STAGED), "text-batches")
     entries = staged.mapInArrow(lambda b: send_entries(b, shards), ENTRIES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 PIECE = 2_000_000  # bytes of text that are worked on at once (a longer text is one piece)
 ARROW_ROWS = "500"
@@ -20,6 +21,12 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def shard_count(docs, text: str, bytes_per_shard: int) -> int:
+    """Shards for what is made of all texts: as many as shuffle partitions, more where a shard would come from more bytes."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_per_shard))
+
+
 def small_batches(spark) -> None:
     """Texts are long: fewer rows in an Arrow batch than Spark's default, so that a task's memory stays bounded."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != ARROW_ROWS:

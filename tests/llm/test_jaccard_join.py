@@ -64,3 +64,18 @@ def test_against_brute_force(spark, group):
 
 def test_empty(spark):
     assert jaccard_join.join_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_follow_the_texts(spark, monkeypatch):
+    """More shards than shuffle partitions, a very long text and its near copy among them."""
+    monkeypatch.setattr(jaccard_join, "SHARD_BYTES", 20_000)
+    rng = random.Random(8)
+    long = [f"v{rng.randrange(3000)}" for _ in range(120_000)]
+    other = long[:]
+    for _ in range(1500):
+        other[rng.randrange(len(other))] = "x"
+    rows = list(enumerate(texts(5, 60))) + [(700, " ".join(long)), (701, " ".join(other)), (702, " ".join(long[:100]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_join.vector.shard_count(docs, "text", 20_000) > 60
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.join_similar(docs).collect())
+    assert got == brute(rows) and ("701", len(shingles(rows[61][1])), 700) in got

@@ -79,3 +79,15 @@ def test_levels_against_a_dictionary():
 
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_follow_the_texts(spark, monkeypatch):
+    """Shards from the counted bytes, and a text beyond one batch."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 20_000)
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    rows = list(enumerate(texts(4))) + [(400, long), (401, long[5_000:9_000] + "!" + long[20_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == brute(rows)
