@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed byte n-grams, one of target text and one of all raw text, give every document the
-logarithm of its importance weight. Documents are drawn without replacement by Gumbel top-k: the k largest sums of log
-weight and Gumbel noise, the noise being a function of the document's id, so a run can be repeated. By default k is the
-number of documents whose log weight reaches the cut that best separates the labelled ones; the cut lies half way between the
+logarithm of its importance weight. That is a sum over its n-grams, which in long texts adds up the slightest difference
+of language or topic; so a text of more than GRAMS n-grams weighs as much as GRAMS of its average ones. Documents are drawn
+without replacement by Gumbel top-k: the k largest sums of (this) weight and Gumbel noise, the noise being a function of the
+document's id, so a run can be repeated. By default k is the number of documents whose weight reaches the cut that best separates the labelled ones; the cut lies half way between the
 lowest good value that is kept and the highest bad one below it.
 
 The raw model counts every n-gram of every document, whatever its length. The target model and the cut are fitted on at most
@@ -33,6 +34,7 @@ CONTEXT_BITS = 11
 BUCKETS = 1 << (CONTEXT_BITS + 7)  # hashed context, low seven bits of the byte
 SHRINK = 50.0  # pseudo-occurrences of a context by which the target model leans on the raw one
 NO_TEXT = -1e9
+GRAMS = 1_000
 LABELLED_ROWS = 20_000
 SEED = 11
 EXACT_ROWS = 20_000  # the last rows around the threshold are ordered, not counted
@@ -152,13 +154,13 @@ def top_threshold(scores: DataFrame, k: int) -> tuple[float, list] | None:
 
 
 def best_cut(weighed: DataFrame, key: str, sample: DataFrame) -> float:
-    """The lowest log weight at which the share of good labelled documents kept, less that of bad ones, is within half a percent of the best.
+    """The lowest weight at which the share of good labelled documents kept, less that of bad ones, is within half a percent of the best.
 
     It is moved into the gap below: half way to the next bad value, or to the next good one that was given up.
     """
-    rows = weighed.select(F.col(key).alias("id"), "log_weight").join(F.broadcast(sample), "id").select("target", "log_weight").collect()
-    good = np.sort([r.log_weight for r in rows if r.target])
-    bad = np.sort([r.log_weight for r in rows if not r.target])
+    rows = weighed.select(F.col(key).alias("id"), "weight").join(F.broadcast(sample), "id").select("target", "weight").collect()
+    good = np.sort([r.weight for r in rows if r.target])
+    bad = np.sort([r.weight for r in rows if not r.target])
     if not len(good) or not len(bad):
         return -math.inf
     gain = np.searchsorted(bad, good) / len(bad) - np.arange(len(good)) / len(good)
@@ -169,15 +171,16 @@ def best_cut(weighed: DataFrame, key: str, sample: DataFrame) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", label_key: str = "doc_id",
              k: int | None = None, seed: int = SEED, labelled_rows: int = LABELLED_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The rows drawn: (key, carried columns, n_grams, log_weight, noisy)."""
+    """The rows drawn: (key, carried columns, n_grams, log_weight of the whole text, weight, noisy)."""
     sample = pin(label_sample(labels, label, label_key, labelled_rows), "labelled")
     noise = f"-ln(-ln((shiftrightunsigned(xxhash64({seed}, `{key}`), 11) + 0.5D) / {2.0**53!r}D))"
-    weighed = weigh(docs, sample, key, text, carry).withColumn("noisy", F.expr(f"log_weight + {noise}"))
+    weighed = weigh(docs, sample, key, text, carry).withColumn("weight", F.expr(f"log_weight / greatest(n_grams, {GRAMS}) * {GRAMS}"))
+    weighed = weighed.withColumn("noisy", F.expr(f"weight + {noise}"))
     pinned = pin(weighed, "importance")
     scores = pinned.selectExpr("noisy AS value", f"xxhash64({seed + 1}, `{key}`) AS tie")
     if k is None:
         cut = best_cut(pinned, key, sample)
-        k = pinned.count() if cut == -math.inf else pinned.where(f"log_weight >= {cut!r}D").count()
+        k = pinned.count() if cut == -math.inf else pinned.where(f"weight >= {cut!r}D").count()
     if k <= 0:
         return pinned.limit(0)
     edge = top_threshold(scores, k)

@@ -44,3 +44,28 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_no_documents(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "source_mixing" or out.columns == none.columns)
+
+
+def test_very_long_text_and_further_columns(spark):
+    """One text of a million characters, its copy, and columns whose names the stages use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = " ".join(r.text for r in docs.collect()) + " "
+    long = (long * (1_000_000 // len(long) + 1)) + "write to someone@mail3.example.com"
+    more = spark.createDataFrame([(20_000, long, "en", "src0", len(long)), (20_001, long, "en", "src1", len(long))], docs.schema)
+    docs = docs.union(more).selectExpr("*", "'x' AS id", "1 AS words", "2 AS n", "3 AS label", "doc_id AS fp")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality":
+            continue  # few documents have labels here
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = {r.doc_id: r for r in out.where("doc_id >= 20000").collect()}
+        assert set(kept) == ({20_000} if name == "near_duplicates" else set() if name == "decontamination" and not kept else {20_000, 20_001}), name
+        if name == "personal_data":
+            assert kept[20_000].text.endswith("write to <email>") and kept[20_000].n_chars == len(kept[20_000].text)
