@@ -2,7 +2,8 @@
 
 Every stage works on all rows its predecessor kept, and all but the last return the columns of ``documents``. Rows are told
 apart by id and text, so repeated and null ids do no harm. What a stage drops is joined back by a broadcast up to
-BROADCAST_IDS rows, else by a shuffle.
+BROADCAST_IDS rows, else by a shuffle. Texts of any length go through every stage whole. An empty table of documents gives an
+empty result of every stage; further columns of the documents are carried along.
 """
 
 from __future__ import annotations
@@ -26,13 +27,19 @@ def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling."""
+    """Documents drawn by importance resampling.
+
+    Null and empty texts, and those too short for an n-gram, are the first to go. Without labels of both kinds all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return importance.resample(docs, labels, carry=tuple(docs.columns)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Texts without words (null, empty, blank) and rows without an id are no duplicates of anything and stay.
+    """
     found = pin(jaccard_join.join_similar(_marked(docs).select("__row", "text"), "__row").select("__row", "component_id"), "groups")
     gone = pin(found.where("__row <> component_id").selectExpr("__row.doc_id AS id", "__row.fp AS fp").distinct(), "near-duplicates")
     kept = _joined(docs, gone, "left_anti")
@@ -45,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts have none; without items all stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(_marked(docs).select("__row", "text"), items, key="__row")
     gone = pin(found.selectExpr("__row.doc_id AS id", "__row.fp AS fp").distinct(), "contaminated")
@@ -53,13 +60,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind."""
+    """Every document, personal data replaced by its kind; null stays null."""
     clean = pii.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order of training: documents by source, pass, block and place."""
+    """The order of training: documents by source, pass, block and place. A null source counts as ''."""
     return mixing.mix_sources(docs)
 
 
