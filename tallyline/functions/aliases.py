@@ -25,21 +25,3 @@ TEAM_ALIASES = {
 QUOTE_ALIASES = {
     "AZ": "ARI", "KC": "KCR", "OAK": "ATH", "SD": "SDP", "SF": "SFG", "TB": "TBR", "WAS": "WSN",
 }
-
-# numeric team ids of the schedule source
-TEAM_IDS = {
-    "LAA": 108, "ARI": 109, "BAL": 110, "BOS": 111, "CHC": 112, "CIN": 113, "CLE": 114,
-    "COL": 115, "DET": 116, "HOU": 117, "KCR": 118, "LAD": 119, "WSN": 120, "NYM": 121,
-    "OAK": 133, "ATH": 133, "PIT": 134, "SDP": 135, "SEA": 136, "SFG": 137, "STL": 138,
-    "TBR": 139, "TEX": 140, "TOR": 141, "MIN": 142, "PHI": 143, "ATL": 144, "CHW": 145,
-    "MIA": 146, "NYY": 147, "MIL": 158,
-}
-
-# first day and end day (exclusive) of each season
-SEASON_DATES = {
-    2016: ("2016-04-03", "2016-10-02"), 2017: ("2017-04-02", "2017-10-01"),
-    2018: ("2018-03-29", "2018-10-01"), 2019: ("2019-03-20", "2019-09-29"),
-    2021: ("2021-04-01", "2021-10-04"), 2022: ("2022-04-07", "2022-10-06"),
-    2023: ("2023-03-30", "2023-10-02"), 2024: ("2024-03-28", "2024-10-01"),
-    2025: ("2025-03-18", "2025-09-29"),
-}
