@@ -45,7 +45,7 @@ GROUP = 16  # larger groups of one signature are not turned into pairs at once
 ENTRIES = 1_000_000  # signatures a task packs together
 # sets of a large group that meet in a task come from two blocks of about this size
 BLOCK_SETS = 1_000
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 SHARD_BYTES = 32_000_000  # of text whose signatures make a shard, which a task holds as a whole: a few million signatures
 BROADCAST_IDS = 1_000_000  # candidates' ids are broadcast up to this many, else joined by a shuffle
 SALT = np.uint64(0x9E3779B97F4A7C15)
