@@ -74,14 +74,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: list) -> np.ndarray:
+def log_ratios(counts: pa.Table) -> np.ndarray:
     """log p_target(byte | context) - log p_raw(byte | context) of every bucket.
 
     Conditional models: how much text of a language or a topic either side has cancels out.
     """
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts:
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    at = counts.column("bucket").to_numpy()
+    raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
     if not target.sum():
         return np.zeros(BUCKETS)
     by_context = lambda x: np.repeat(x.reshape(-1, 128).sum(1), 128)
@@ -100,7 +100,7 @@ def weigh(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "
     vector.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     marked = rows.join(F.broadcast(sample), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    ratio = log_ratios(gram_counts(marked).collect())  # at most BUCKETS rows
+    ratio = log_ratios(gram_counts(marked).toArrow())  # at most BUCKETS rows, as columns: a fraction of their size as rows
 
     kept = list(dict.fromkeys([key, text, *carry]))
     fields = [f for f in docs.select(*kept).schema.fields if f.name == key or f.name in carry]
