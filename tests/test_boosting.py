@@ -146,3 +146,26 @@ def test_edges(spark):
     assert len(model["trees"]) == 2 and boosting.predict(model, df, logit("p_mkt")).where("p > p_mkt").count() == 60
     nobody = boosting.fit(df.where("y = 7"), FEATURES, Settings(rounds=2), margin=logit("p_mkt"))
     assert boosting.predict(nobody, df, logit("p_mkt")).where("abs(p - p_mkt) > 1e-9").count() == 0
+
+
+def test_candidates_on_a_fold_share_roles_and_the_margin(spark):
+    tasks = [Task(Settings(depth=d), f"part = '{a}'", f"part = '{b}'") for d in (1, 2, 3, 4) for a, b in (("train", "stop"), ("stop", "train"))]
+    rows = boosting.binned(table(spark, frame(50)), FEATURES, [[0.0]] * 3, "y", logit("p_mkt"), tasks)
+    sizes = rows.selectExpr("length(codes) AS c", "length(roles) AS r", "length(margins) AS m").distinct().collect()
+    assert [tuple(r) for r in sizes] == [(3, 2, 8)]
+
+
+def test_walk_equals_a_plain_descent():
+    rng = np.random.default_rng(1)
+    nodes = [{"feature": 0, "bin": 2, "missing_left": True, "left": 1, "right": 2, "value": 0.0}, {"feature": -1, "bin": 0, "missing_left": False, "left": -1, "right": -1, "value": 1.0},
+             {"feature": 1, "bin": 1, "missing_left": False, "left": 3, "right": 4, "value": 0.0}, *[{"feature": -1, "bin": 0, "missing_left": False, "left": -1, "right": -1, "value": v} for v in (2.0, 3.0)]]
+    codes = rng.integers(0, 5, (200, 2)).astype(np.uint8)
+    plain = []
+    for row in codes:
+        n = 0
+        while nodes[n]["feature"] >= 0:
+            c = row[nodes[n]["feature"]]
+            n = nodes[n]["left"] if (nodes[n]["missing_left"] if c == 0 else c <= nodes[n]["bin"]) else nodes[n]["right"]
+        plain.append(n)
+    walk = boosting._Walk(boosting._arrays(nodes), 2, 5)
+    assert walk.leaves(codes.ravel(), np.arange(200) * 2).tolist() == plain
