@@ -8,7 +8,6 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -77,8 +76,11 @@ def fit_market_free(train: DataFrame, features: Sequence[str], target: str = "y"
 def predict_market_free(model, df: DataFrame, features: Sequence[str], output: str = "p") -> DataFrame:
     if isinstance(model, dict):
         return boosting.predict(model, df, output=output).select(*df.columns, output)
-    out = model.transform(assemble(df, features))
-    return out.withColumn(output, vector_to_array("probability")[1]).select(*df.columns, output)
+    # the coefficients as one column expression: no model object travels in the plan
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in features])
+    p = sigmoid(linear_score(features, model.coefficients, model.intercept))
+    out = df.withColumn(output, F.when(missing, F.raise_error(F.lit("a feature is NULL or NaN"))).otherwise(p))
+    return out.select(*df.columns, output)
 
 
 def stack_logit(df: DataFrame, model, pretrained_features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

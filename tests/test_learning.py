@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyline.operators import calibrate, evaluate, league, models, prepare, priors, sides
@@ -172,3 +173,16 @@ def test_bad_probabilities_are_reported(spark):
     df = spark.createDataFrame([("s", 0.4), ("s", 1.2)], "split string, p double")
     with pytest.raises(ValueError, match="bad probabilities"):
         prepare.require_probabilities(df, "p")
+
+
+def test_market_free_scores_need_no_model_in_the_plan(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-a)))) for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    model = models.fit_market_free(df, ["a", "b"])
+    out = models.predict_market_free(model, df, ["a", "b"])
+    assert "UDF" not in out._jdf.queryExecution().toString()
+    expected = model.transform(models.assemble(df, ["a", "b"])).select(vector_to_array("probability")[1].alias("p"))
+    assert np.allclose([r.p for r in out.collect()], [r.p for r in expected.collect()], atol=1e-12)
+    with pytest.raises(Exception, match="NULL or NaN"):
+        models.predict_market_free(model, spark.createDataFrame([(None, 1.0, 1)], "a double, b double, y int"), ["a", "b"]).collect()
