@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyline.functions.numeric import as_col
 from tallyline.operators.history import HistorySize, hot_entities, measure
 
+MIN_STRETCH_ROWS = 1_000_000  # a row of these windows is a key, a time and one value
+
 
 def before_game(day, dh: int, date_col: str = "game_date", dh_col: str = "dh") -> Column:
     """Rows strictly before a game: the second game of a day also sees the first."""
@@ -45,7 +47,7 @@ def _segment_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> int
     """Rows that a stretch may have; None where no key has as many, which a plain count tells of small tables."""
     both = left.select(*keys).unionByName(right.select(*keys))
     rows = both.count()
-    limit = HistorySize(rows, 0).segment_rows
+    limit = max(MIN_STRETCH_ROWS, HistorySize(rows, 0).segment_rows)
     return limit if rows > limit and measure(both, keys).longest > limit else None
 
 

@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCK_FACTOR = 400
 FULL_DECAY = 1100  # halvings after which a double has decayed to zero
-MIN_SEGMENT_ROWS = 1_000_000
+# a window holds a stretch's rows once per half-life and kind of state, some 30 KB a row for a whole team block
+MIN_SEGMENT_ROWS = 25_000
+# Rows of one task: adaptive execution goes by compressed bytes, and a task's sorts hold every row several times and widened.
+TASK_ROWS = 100_000
 # segment_rows = rows / MAX_HOT, so at most MAX_HOT entities can be hot: the broadcast bound
 MAX_HOT = 20_000
 
@@ -49,6 +52,12 @@ def measure(df: DataFrame, entity: Sequence[str]) -> HistorySize:
     return HistorySize(row[0] or 0, row[1] or 0)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], size: HistorySize) -> DataFrame:
+    """The exchange of a large table's windows with a number of tasks that follows its rows."""
+    tasks = -(-size.rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def zero(text: str) -> str:
     return f"coalesce(cast({text} as double), 0D)"
 
@@ -113,11 +122,11 @@ def running_state(
     x = {n: column[zero(t)] for n, t in sums.items()}
     e = {n: (column[zero(t)], h) for n, (t, h) in ewms.items()}
     if size.longest <= min(block_limit, segment_rows):
-        out = _direct(base, entity, order, x, e, latest)
+        out = _direct(dealt(base, entity, size), entity, order, x, e, latest)
     else:
         out = _segmented(
             base, entity, order, x, e, latest, as_clock(df, clock),
-            block_factor, segment_rows, size.longest > segment_rows,
+            block_factor, segment_rows, size,
         )
     return out.select(*df.columns, "seq", *sums, *ewms, *latest)
 
@@ -147,7 +156,8 @@ def _direct(base, entity, order, sums, ewms, latest):
     return base.selectExpr("*", *cols)
 
 
-def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, segment_rows, has_hot):
+def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, segment_rows, size):
+    has_hot = size.longest > segment_rows
     base = base.selectExpr("*", f"{clock} AS __clock")
     if has_hot:
         hot = hot_entities(base, entity, "__clock", segment_rows)
@@ -156,6 +166,7 @@ def _segmented(base, entity, order, sums, ewms, latest, clock, block_factor, seg
     else:
         base = base.selectExpr("*", "0L AS __seg")
     part = [*entity, "__seg"]
+    base = dealt(base, part, size)
     earlier = over(part, order)
     base = base.selectExpr("*", f"cast(row_number() {over(part, order, '')} - 1 as bigint) AS __j")
     base = base.selectExpr(

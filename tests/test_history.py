@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tallyline.operators import history
 from tallyline.operators.history import HistorySize, Metric, measure, rolling_rates, running_state
 
 HALFLIVES = (2, 5)
@@ -116,3 +117,15 @@ def test_first_row_is_the_prior_and_zero_weight_keeps_it(spark):
     got = [tuple(r) for r in out.orderBy("day").select("v_season", "v_ewm_h4").collect()]
     assert got[0] == (7.0, 7.0) and got[1] == (7.0, 7.0)
     assert got[2] == pytest.approx((0.5 * 4 + 0.5 * 7, 0.5 * 4 + 0.5 * 7))
+
+
+def test_a_task_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    assert history.HistorySize(18_000_000, 86_000).segment_rows == 25_000
+    df = spark.range(2000).selectExpr("id % 8 AS e", "id AS t", "double(id % 7) AS x")
+    plain = history.running_state(df, ["e"], ["t"], sums={"s": "x"}, ewms={"w": ("x", 2)}, clock="t")
+    monkeypatch.setattr(history, "TASK_ROWS", 100)
+    cut = history.running_state(df, ["e"], ["t"], sums={"s": "x"}, ewms={"w": ("x", 2)}, clock="t", segment_rows=50)
+    assert history.dealt(df, ["e"], history.measure(df, ["e"])).rdd.getNumPartitions() == 20
+    key = lambda r: r.t
+    for a, b in zip(sorted(plain.collect(), key=key), sorted(cut.collect(), key=key)):
+        assert (a.t, a.seq, a.s) == (b.t, b.seq, b.s) and (a.w == b.w or a.w == pytest.approx(b.w))
