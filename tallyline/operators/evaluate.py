@@ -91,18 +91,28 @@ def bin_edges(pred: DataFrame, n_bins: int, strategy: str, keys: Sequence[str] =
 
 def calibration_bins(pred: DataFrame, n_bins: int = 10, strategy: str = "uniform", keys: Sequence[str] = GROUP) -> DataFrame:
     """Count, positives and probability total per non-empty right-closed bin."""
-    binned = pred.join(bin_edges(pred, n_bins, strategy, keys), list(keys))
+    keys = list(keys)
+    if strategy == "uniform":
+        # the same edges for every group: nothing to join, and the predictions are not dealt by their few groups
+        edges = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
+        binned = pred.dropna(subset=keys).withColumn("edges", edges)
+    else:
+        found = pin(bin_edges(pred, n_bins, strategy, keys), "bin-edges")  # one row per group, of known size
+        binned = pred.join(found, keys)
     inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
-    return (
+    # the edges come back to the bins: an array in the aggregate would sort all predictions
+    bins = (
         binned.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))
         .groupBy(*keys, "bin")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("y").cast("double")).alias("sum_y"),
             F.sum("p").alias("sum_p"),
-            F.max("edges").alias("edges"),
         )
     )
+    if strategy == "uniform":
+        return bins.withColumn("edges", edges)
+    return bins.join(found, keys).select(*bins.columns, "edges")
 
 
 def merge_small_bins(bins: DataFrame, minimum: int, keys: Sequence[str] = GROUP) -> DataFrame:

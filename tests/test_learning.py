@@ -186,3 +186,14 @@ def test_market_free_scores_need_no_model_in_the_plan(spark):
     assert np.allclose([r.p for r in out.collect()], [r.p for r in expected.collect()], atol=1e-12)
     with pytest.raises(Exception, match="NULL or NaN"):
         models.predict_market_free(model, spark.createDataFrame([(None, 1.0, 1)], "a double, b double, y int"), ["a", "b"]).collect()
+
+
+def test_bins_neither_sort_nor_deal_the_predictions(spark):
+    df = preds(spark, [0, 1, 1, 0], [0.05, 0.1, 0.55, 0.95])
+    uniform = evaluate.calibration_bins(df, 10, "uniform")
+    plan = uniform._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
+    assert sorted((r.bin, r.n, r.sum_y, len(r.edges)) for r in uniform.collect()) == [(0, 2, 1.0, 11), (5, 1, 1.0, 11), (9, 1, 0.0, 11)]
+    quantile = evaluate.calibration_bins(df, 2, "quantile")
+    assert "SortAggregate" not in quantile._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.bin, r.n, len(r.edges)) for r in quantile.collect()) == [(0, 2, 3), (1, 2, 3)]
