@@ -147,3 +147,14 @@ def test_hot_key_of_dates_fills_forward(spark):
     want = spark.createDataFrame([("T", d, n) for n, d in enumerate(days)], "team string, d date, starter int")
     rows = lambda s: sorted(map(tuple, asof.forward_fill_groups(rosters, want, ["team"], "d", ["starter"], segment_rows=s).collect()))
     assert rows(None) == rows(11) and len(rows(11)) == 59
+
+
+def test_a_pivot_of_more_books_than_a_plan_of_aggregates_holds(spark):
+    q = spark.range(6_000).selectExpr("id % 3 AS true_game_id", "int(id) AS sportsbook", "string(id) AS quote_id", "double(id) AS home_opening_odds")
+    books = quotes.book_list(q)
+    assert len(books) == 6_000
+    wide = quotes.pivot_books(q, ["true_game_id"], books, ["home_opening_odds"])
+    assert len(wide.columns) == 6_001
+    got = {r.true_game_id: r for r in wide.collect()}
+    assert got[2]["home_opening_odds_5999"] == 5999.0 and got[1]["home_opening_odds_5999"] is None
+    assert [sum(x is not None for x in got[g]) - 1 for g in (0, 1, 2)] == [2_000] * 3
