@@ -17,8 +17,8 @@ from tallyline.functions.market import MARKET_PROBABILITY, add_market_probabilit
 from tallyline.operators import asof, league, lineups, metrics, prepare, quotes, reserve, sides, teams
 from tallyline.operators.history import rolling_rates
 from tallyline.operators.metrics import horizons
-from tallyline.operators.ordering import exact_medians
 from tallyline.operators.priors import season_league, with_season_priors
+from tallyline.operators.selection import group_medians
 from tallyline.session import bucketed, pin
 from tallyline.sources.sinks import cache_key, cached
 
@@ -79,7 +79,7 @@ def position_block(schedule: DataFrame, tables, batting: DataFrame, config: Feat
         "game_date", "dh", "team", "opposing_team", "player_id", "batting_order"
     )
     rows = lineups.lineup_players(schedule, listed, batting, cols, keep=["season"])
-    return lineups.side_means(rows, cols, exact_medians(batting, cols, keys=["season"]))
+    return lineups.side_means(rows, cols, group_medians(batting, cols, "season", stored=True))
 
 
 def pitching_log(tables, matchups: DataFrame) -> DataFrame:

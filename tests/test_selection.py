@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import prepare
-from tallyline.operators.selection import from_ordered, medians, ordered_bits, radix_quantiles
+from tallyline.operators.ordering import exact_medians
+from tallyline.operators.selection import from_ordered, group_medians, medians, ordered_bits, radix_quantiles
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
 
@@ -45,3 +46,18 @@ def test_exchange_does_not_follow_the_rows(spark):
     for n in (5_000, 100_000):
         rows = spark.range(0, n, 1, 2).selectExpr("cast(pmod(xxhash64(id), 1000) as double) AS c0")
         assert _counts(rows, ["c0"], {0: [0]}, 0, 11).count() <= 40
+
+
+def test_medians_of_seasons_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if s == 3 else s, float(x) if x > -1.5 else None, None if s == 1 else -float(x)) for s in (1, 2, 3) for x in rng.normal(size=101 + s)]
+    df = spark.createDataFrame(rows, "season int, a double, b double").repartition(5)
+    found = {r["season"]: (r["a"], r["b"]) for r in group_medians(df, ["a", "b"], "season").collect()}
+    assert set(found) == {1, 2, None}
+    for season, got in found.items():
+        for place, value in enumerate(got, 1):
+            own = [r[place] for r in rows if r[0] == season and r[place] is not None]
+            assert value is None if not own else abs(value - np.median(own)) < 1e-15
+    by_counts = {r["season"]: (r["a"], r["b"]) for r in exact_medians(df.where("season IS NOT NULL"), ["a", "b"], keys=["season"]).collect()}
+    assert all(found[s] == q for s, q in by_counts.items())
+    assert group_medians(df.limit(0), ["a"], "season").count() == 0
