@@ -56,16 +56,19 @@ def side_means(rows: DataFrame, stat_cols: Sequence[str], medians: Column | Data
 def slot_vectors(rows: DataFrame, stat_cols: Sequence[str], order: Sequence[str] = ("player_id",)) -> DataFrame:
     """Nine batting slots per side in fixed columns, with a missing flag per slot.
 
-    First player of a slot by ``order``. One conditional aggregate per slot, so a game never
-    has to be collected.
+    First player of a slot by ``order``. The first player of every game, side and slot is found
+    by one aggregate per stat, hashed where ``order`` is one plain column; at most ten rows
+    per side are then laid out in columns, so a game never has to be collected.
     """
     cells = [(side, slot) for side in ("away", "home") for slot in SLOTS]
-    row, key = (f"struct({', '.join(names)})" for names in (stat_cols, order))
-    wide = rows.groupBy(*GAME_KEY).agg(
-        *[
-            F.expr(f"min_by({row}, {key}) FILTER (WHERE player_id IS NOT NULL AND side = '{s}' AND batting_order = {n}) AS __{s}_{n}")
-            for s, n in cells
-        ]
+    key = order[0] if len(order) == 1 else f"struct({', '.join(order)})"
+    slot = F.expr(f"CASE WHEN player_id IS NOT NULL AND batting_order BETWEEN {SLOTS[0]} AND {SLOTS[-1]} THEN batting_order END")
+    named = rows.select(*GAME_KEY, "side", slot.alias("__slot"), F.expr(key).alias("__order"), *stat_cols)
+    # rows without a slot keep their game
+    first = named.groupBy(*GAME_KEY, "side", "__slot").agg(*[F.expr(f"min_by({c}, __order) AS {c}") for c in stat_cols])
+    row = f"struct({', '.join(stat_cols)})"
+    wide = first.groupBy(*GAME_KEY).agg(
+        *[F.expr(f"any_value({row}) FILTER (WHERE side = '{s}' AND __slot = {n}) AS __{s}_{n}") for s, n in cells]
     )
     out = []
     for s, n in cells:

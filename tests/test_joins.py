@@ -89,6 +89,10 @@ def test_slots_and_median_fill(spark):
     assert r["home_batter_1_woba_season"] == 0.5 and not r["home_batter_1_is_missing_player"]
     assert r["home_batter_2_woba_season"] is None and r["home_batter_2_is_missing_player"]
     assert r["away_batter_9_is_missing_player"]
+    no_lineup = lineups.slot_vectors(rows.where("player_id IS NULL"), ["woba_season"]).first()
+    assert no_lineup["home_batter_1_is_missing_player"] and no_lineup[GAME_KEY[0]] == "g1"
+    plan = lineups.slot_vectors(rows, ["woba_season"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(struct" not in plan  # wide rows are not sorted to find the first player
     from pyspark.sql import functions as F
 
     m = lineups.side_means(rows, ["woba_season"], F.struct(F.lit(0.7).alias("woba_season"))).first()
