@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tallyline.functions.numeric import ratio
 from tallyline.operators import history, metrics, reserve, sides, teams
@@ -138,9 +138,13 @@ def e5_incremental(v):
     log = v.supplier_log.select("*", F.lit(25.5).alias("prior_value"), F.lit(25.5).alias("prior_total"))
     sums, ewms = history.rate_state(_LOG_METRICS, (4, 12))
     feed = HistoryFeed(v.spark, scratch_path(v.spark, "feed"), ["entity"], LOG_ORDER, sums=sums, ewms=ewms, latest={"last_app_date": "game_date"})
-    first, last = log.agg(F.min(F.year("game_date")), F.max(F.year("game_date"))).first()
+    # the log as it is delivered: one folder per year, each read for its own batch alone
+    delivered = scratch_path(v.spark, "delivered")
+    log.withColumn("year", F.year("game_date")).write.partitionBy("year").parquet(delivered)
+    arrived = v.spark.read.schema(T.StructType([*log.schema.fields, T.StructField("year", T.IntegerType())])).parquet(delivered)
+    first, last = arrived.agg(F.min("year"), F.max("year")).first()
     for number, year in enumerate(range(first, last + 1)):
-        feed.ingest(log.where(F.year("game_date") == year), number)
+        feed.ingest(arrived.where(F.col("year") == year).drop("year"), number)
     return tidy(feed.rows().selectExpr("entity", "game_date", "l_orderkey", "l_linenumber", "seq", *history.rates_of(_LOG_METRICS, (4, 12)), "last_app_date"))
 
 

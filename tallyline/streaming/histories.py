@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.operators.history import as_clock, ewm_factors, running_state, zero
-from tallyline.session import drop_scratch
+from tallyline.session import drop_scratch, scratch_path
 
 KEPT_VERSIONS = 2
 
@@ -70,6 +70,11 @@ class HistoryFeed:
         after += [f"greatest(__last.{n}, __last.__d_{n}) AS __after_{n}" for n in self.latest]
         return ends.selectExpr(*self.entity, "__m", "__from", "__to", *[f"__first_{n}" for n in self.ewms], *after)
 
+    def _staged(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(self.spark, "batch")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
     def ingest(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Store and return the batch's rows with ``seq`` and the state of all earlier rows, of this batch and before.
 
@@ -77,7 +82,8 @@ class HistoryFeed:
         """
         places = self._places(batch)
         old = self.state(places, batch_id)
-        inner = running_state(batch, self.entity, self.order, sums=self.sums, ewms=self.ewms, latest=self.latest, clock=self.clock)
+        # read for its ends and for its rows: stored, the batch is read and put in order once
+        inner, staged = self._staged(running_state(batch, self.entity, self.order, sums=self.sums, ewms=self.ewms, latest=self.latest, clock=self.clock))
         x = {n: zero(t) for n, t in self.sums.items()} | {n: zero(t) for n, (t, _) in self.ewms.items()}
         ends = self._ends(inner, x)
         kept = {"__n": "bigint", "__clock_to": "bigint"} | {f"__s_{n}": "double" for n in [*self.sums, *self.ewms]}
@@ -87,6 +93,7 @@ class HistoryFeed:
             joined = ends.selectExpr("*", *[f"cast(NULL as {t}) AS {c}" for c, t in kept.items()])
         else:
             joined = ends.join(old.select(*self.entity, *kept), self.entity, "left")
+        joined, ends_staged = self._staged(joined)  # a row per entity, read for the check, the rows and the state
         late = joined.where("__from < __clock_to").first()
         if late is not None:
             raise ValueError(f"rows of {[late[c] for c in self.entity]} come before those of an earlier batch")
@@ -111,12 +118,14 @@ class HistoryFeed:
         moved += [f"greatest(__s_{n}, __after_{n}) AS __s_{n}" for n in self.latest]
         new = joined.selectExpr(*self.entity, *moved)
         if old is not None:
-            new = new.unionByName(old.join(ends.select(*self.entity), self.entity, "left_anti").select(new.columns))
+            new = new.unionByName(old.join(joined.select(*self.entity), self.entity, "left_anti").select(new.columns))
         for value, place in places.items():
             mine = new if self.part is None else new.where(F.col(self.part).eqNullSafe(F.lit(value)))
             mine.write.mode("overwrite").parquet(f"{place}/v={batch_id}")
             for v in self._versions(place)[:-KEPT_VERSIONS]:
                 drop_scratch(self.spark, f"{place}/v={v}")
+        for path in (staged, ends_staged):
+            drop_scratch(self.spark, path)
         return self.spark.read.parquet(target)
 
     def rows(self) -> DataFrame:

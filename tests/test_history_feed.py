@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_history import HALFLIVES, actual, log  # noqa: F401
 
 from tallyline.streaming.histories import HistoryFeed
@@ -43,6 +44,21 @@ def test_delivered_twice_and_out_of_order(spark, log, tmp_path):  # noqa: F811
         f.ingest(df.where("day = 3"), 3)
 
 
+def test_a_batch_is_read_once_for_its_rows(spark, log, tmp_path):  # noqa: F811
+    """Its rows, the check for late ones and the new state come from one pass, beside the count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def look(x):
+        seen.add(1)
+        return x
+
+    df = frame(spark, log)
+    f = feed(spark, str(tmp_path))
+    f.ingest(df.where("day < 20").withColumn("v", look.asNondeterministic()("v")), 0)
+    assert seen.value <= 2 * df.where("day < 20").count()
+
+
 def test_only_touched_parts_are_written(spark, log, tmp_path):  # noqa: F811
     f, df = feed(spark, str(tmp_path), ("entity", "season"), "season"), frame(spark, log)
     for n in range(8):
