@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyline.functions.numeric import as_col
 from tallyline.operators.history import HistorySize, hot_entities, measure
+from tallyline.session import pin
 
 MIN_STRETCH_ROWS = 1_000_000  # a row of these windows is a key, a time and one value
 
@@ -159,9 +160,11 @@ def nearest_in_time(
     times = asked.select(*at).distinct().select(
         *at, F.lit(None).cast(known.schema["__offer"].dataType).alias("__offer"), F.lit(1).alias("__ask")
     )
-    segment_rows = segment_rows or _segment_rows(asked, offers, keys)
+    # counted and searched, so written once: the windows hold distinct times, not the asked rows
+    both = pin(known.unionByName(times), "times")
+    segment_rows = segment_rows or _segment_rows(both, both.limit(0), keys)
     looks = {"__p": (False, [F.col(time), F.col("__ask")], 0), "__f": (True, [F.col(time).desc(), F.col("__ask")], 0)}
-    both = _looked_up(known.unionByName(times), keys, time, "__offer", looks, segment_rows).where(F.col("__ask") == 1)
+    both = _looked_up(both, keys, time, "__offer", looks, segment_rows).where(F.col("__ask") == 1)
 
     def candidate(c):
         gap = F.abs(F.timestamp_diff("SECOND", F.col(c)["t"], F.col(time)))

@@ -12,7 +12,7 @@ from tallyline.operators.priors import league_priors
 from tallyline.plans.expressions import _all_diffs, side_sql, wide_sides
 from tallyline.plans.histories import _season_prior_sql, sql_rolling
 from tallyline.plans.registry import query, r, tidy
-from tallyline.session import bucketed
+from tallyline.session import bucketed, pin
 
 PG = ["player_id", "game_date", "dh"]
 _TEAM_STATS = "(SELECT game_date, dh, team, max(woba) AS woba, max(fip) AS fip FROM @player_game p WHERE pos = 'P' GROUP BY game_date, dh, team)"
@@ -162,7 +162,8 @@ _NEAR = f"""(SELECT q.*, g.game_id, g.dh, g.game_datetime = q.game_datetime AS e
     f"SELECT true_game_id, sportsbook, quote_id, game_id, dh FROM {_NEAR} n WHERE NOT exact",
 )
 def c12(v):
-    late = quotes.unmatched(v.quotes, v.games)
+    # asked for its times and for its rows: stored, the quotes are read and joined once
+    late = pin(quotes.unmatched(v.quotes, v.games).select("true_game_id", "sportsbook", "quote_id", *quotes.QUOTE_KEY), "late-quotes")
     offers = v.games.select("game_date", "away_team", "home_team", "game_datetime", "dh", "game_id")
     out = asof.nearest_in_time(late, offers, ["game_date", "away_team", "home_team"], "game_datetime", ["game_id", "dh"], "dh")
     return out.select("true_game_id", "sportsbook", "quote_id", "game_id", "dh")
