@@ -12,9 +12,18 @@ from tallyline.functions.numeric import as_col
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of every key by a total order."""
     rest = [c for c in df.columns if c not in keys]
-    row = F.min_by(F.struct(*rest), F.struct(*[as_col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    ordered = F.struct(*[as_col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    if any(t in kind for c, kind in df.dtypes if c in rest for t in ("map<", "variant")):
+        row = F.min_by(F.struct(*rest), ordered)  # values without an order
+        place = {c: c for c in rest}
+    else:
+        # columns of the order travel once, as part of it
+        place = {c: f"o{i}" for i, c in enumerate(order) if isinstance(c, str) and c in rest}
+        values = {c: f"v{i}" for i, c in enumerate(rest) if c not in place}
+        row = F.min(F.struct(*[as_col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(n) for c, n in values.items()]))
+        place |= values
     return df.groupBy(*keys).agg(row.alias("__row")).select(
-        *[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns]
+        *[F.col(c) if c in keys else F.col("__row")[place[c]].alias(c) for c in df.columns]
     )
 
 

@@ -189,8 +189,8 @@ def c13(v):
 
 @query("c13_long_quotes", f"SELECT game_id, dh, sportsbook, quote_id FROM {_LONG} l")
 def c13b(v):
-    _, long = quotes.reconcile(v.games, add_market_probabilities(v.quotes))
-    return long.select("game_id", "dh", "sportsbook", "quote_id")
+    _, long = quotes.reconcile(v.games, add_market_probabilities(v.quotes), long_columns=["game_id", "dh", "sportsbook", "quote_id"])
+    return long
 
 
 @query(

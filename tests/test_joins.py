@@ -162,3 +162,34 @@ def test_a_pivot_of_more_books_than_a_plan_of_aggregates_holds(spark):
     got = {r.true_game_id: r for r in wide.collect()}
     assert got[2]["home_opening_odds_5999"] == 5999.0 and got[1]["home_opening_odds_5999"] is None
     assert [sum(x is not None for x in got[g]) - 1 for g in (0, 1, 2)] == [2_000] * 3
+
+
+def test_kept_quotes_carry_only_what_is_asked_for(spark):
+    from tallyline.functions.market import add_market_probabilities
+
+    games = spark.createDataFrame([(D(1), datetime(2024, 4, 1, 13), "A", "B", "g1", 1), (D(1), datetime(2024, 4, 1, 19), "A", "B", "g2", 2)], "game_date date, game_datetime timestamp_ntz, away_team string, home_team string, game_id string, dh int")
+    rows = [(D(1), datetime(2024, 4, 1, h), "A", "B", b, f"{b}{h}", 120.0, -140.0, 2024) for h, b in ((13, "b1"), (14, "b1"), (18, "b2"), (19, "b2"), (12, "b3"))]
+    q = add_market_probabilities(spark.createDataFrame(rows, "game_date date, game_datetime timestamp_ntz, away_team string, home_team string, sportsbook string, quote_id string, away_opening_odds double, home_opening_odds double, season int"))
+    _, full = quotes.reconcile(games, q)
+    _, slim = quotes.reconcile(games, q, long_columns=["game_id", "sportsbook", "quote_id"])
+    assert slim.columns == ["game_id", "sportsbook", "quote_id"] and set(full.columns) >= {"season", "vig_open", "exact", "dh"}
+    want = {("g1", "b1", "b113"), ("g2", "b2", "b219"), ("g1", "b3", "b312")}
+    assert {tuple(r) for r in slim.collect()} == want == {tuple(r) for r in full.select(slim.columns).collect()}
+    kept = next(x for x in slim._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+    assert "quote_id" in kept and "season" not in kept and "odds" not in kept
+
+
+def test_nearest_time_reads_the_asked_rows_once_for_their_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+    from pyspark.sql import functions as F
+
+    @F.udf("string")
+    def look(x):
+        seen.add(1)
+        return x
+
+    rows = [("k", datetime(2024, 4, 1, 1 + i % 20), i) for i in range(40)]
+    asked = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int").withColumn("k", look.asNondeterministic()("k"))
+    offers = spark.createDataFrame([("k", datetime(2024, 4, 1, 5), 1), ("k", datetime(2024, 4, 1, 15), 2)], "k string, t timestamp_ntz, g int")
+    got = {(r["i"], r["g"]) for r in asof.nearest_in_time(asked, offers, ["k"], "t", ["g"], "g").collect()}
+    assert got == {(i, 1 if 1 + i % 20 <= 10 else 2) for i in range(40)} and seen.value <= 80
