@@ -1,7 +1,7 @@
 """Boosted trees on histograms, with a margin of the caller's own to start from; many models in one pass.
 
-Rows are binned once: one byte per feature (0 where it is NULL), stored with the margin they start from. Every level of a tree is
-one job: a task adds up gradient and hessian per (model, node, feature, bin) of its rows, the sums meet in one exchange whose size
+Rows are binned once: one byte per feature (0 where it is NULL), stored with the margin they start from, many rows to a block of
+BLOCK_BYTES, since a level costs far more per record that it reads than per row that it adds up. Every level of a tree is one job: a task adds up gradient and hessian per (model, node, feature, bin) of its rows, the sums meet in one exchange whose size
 follows the bins and not the rows, and the best split of every node is taken from running sums over its bins. Only the rows a
 model learns from at that level walk through its trees. Leaves take their value from the sums of the split that made them. Losses
 of the training and the stopping rows come with the first level of the next tree, so early stopping costs no pass of its own. After
@@ -32,6 +32,8 @@ from tallyline.session import drop_scratch, scratch_path
 BINS = 64  # at most 254
 PIN_ROUNDS = 8
 LEAST_GAIN = 1e-6
+BLOCK_BYTES = 4_096  # a task is handed up to 10,000 blocks at once
+PIECE = 16_384  # rows worked on together
 SUM_CELLS = 8_000_000  # sums that a task holds at once (a deep tree over many features may need more alone)
 
 
@@ -114,20 +116,32 @@ def _uniform(draw: np.ndarray, round_: int, seed: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
-    """(rows x width) view of a column of equally long binaries without NULLs: they lie one behind the other."""
-    size = np.dtype(kind).itemsize * width
-    if not size:
-        return np.empty((len(column), width), kind)
-    first = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)[0]
-    return np.frombuffer(column.buffers()[2], kind, len(column) * width, first).reshape(-1, width)
-
-
-def _binaries(rows: np.ndarray) -> pa.Array:
-    """One binary per row of a matrix."""
-    rows = np.ascontiguousarray(rows)
-    size = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * size
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+    """(rows x width) view of a column of binaries without NULLs, whole rows each: they lie one behind the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, ends[0]).reshape(-1, width)
+
+
+def _blocks(rows: dict[str, np.ndarray], block_bytes: int) -> pa.RecordBatch:
+    """Matrices of the same rows as binaries: blocks of ``block_bytes`` in all, one row at least."""
+    n, size = len(rows["y"]), sum(m.shape[1] * m.itemsize for m in rows.values())
+    step = max(1, block_bytes // size)
+    ends = np.append(np.arange(0, n, step), n)
+    out = [
+        pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * (m.shape[1] * m.itemsize)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(m))])
+        for m in rows.values()
+    ]
+    return pa.RecordBatch.from_arrays(out, list(rows))
+
+
+def _pieces(batches, features: int, roles: int, margins: int):
+    """The rows of all blocks as matrices, PIECE of them at a time."""
+    kinds = {"codes": (np.uint8, features), "y": (float, 1), "draw": (np.int64, 1), "roles": (np.uint8, roles), "margins": (float, margins)}
+    for batch in batches:
+        if batch.num_rows:
+            y = _matrix(batch.column("y"), *kinds["y"])
+            whole = {c: _matrix(batch.column(c), *kinds[c]) if kinds[c][1] else np.empty((len(y), 0), kinds[c][0]) for c in batch.schema.names}
+            for at in range(0, len(y), PIECE):
+                yield {c: m[at : at + PIECE] for c, m in whole.items()}
 
 
 class _Grown:
@@ -193,18 +207,15 @@ def _summing(work: list[tuple], kinds: int, count: int, first: bool, features: i
         for k, *_, nodes, frontier, _ in work:
             places[k] = np.full(len(nodes["feature"]), -1)
             places[k][frontier] = np.arange(len(frontier))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, margins = _matrix(batch.column("codes"), np.uint8, features), _matrix(batch.column("margins"), float, count or 1)
-            roles, y, draw = _matrix(batch.column("roles"), np.uint8, kinds), batch.column("y").to_numpy(), batch.column("draw").to_numpy()
-            flat, draws, learners = codes.ravel(), {}, {}
+        for piece in _pieces(batches, features, kinds, count or 1):
+            margins, roles, y = piece["margins"], piece["roles"], piece["y"][:, 0]
+            flat, draws, learners = piece["codes"].ravel(), {}, {}
             for k, s, kind, start, _, round_, _, frontier, columns in work:
                 if (kind, s.subsample, s.seed, round_) not in learners:
                     learns = roles[:, kind] == 1
                     if s.subsample < 1:
                         if (s.seed, round_) not in draws:
-                            draws[s.seed, round_] = _uniform(draw, round_, s.seed)
+                            draws[s.seed, round_] = _uniform(piece["draw"][:, 0], round_, s.seed)
                         learns &= draws[s.seed, round_] < s.subsample
                     learners[kind, s.subsample, s.seed, round_] = learns
                 learns = learners[kind, s.subsample, s.seed, round_]
@@ -275,43 +286,47 @@ def role_kinds(tasks: Sequence[Task]) -> dict[tuple[str, str], int]:
     return {pair: i for i, pair in enumerate(dict.fromkeys((t.train, t.stopping) for t in tasks))}
 
 
-def binned(df: DataFrame, features: Sequence[str], cuts, target: str, margin: Column | None, tasks: Sequence[Task]) -> DataFrame:
-    """(codes, y, draw, roles, margins): one byte per feature, one role per pair of training and stopping rows, the margin to start from."""
-    pairs = role_kinds(tasks)
+def binned(df: DataFrame, features: Sequence[str], cuts, target: str, margin: Column | None, tasks: Sequence[Task], block_bytes: int = 0) -> DataFrame:
+    """(codes, y, roles, margins): one byte per feature, one role per pair of training and stopping rows, the margin to start from.
+
+    ``draw`` comes along where a model learns from a share of its rows. A record is a block of about ``block_bytes``, by default a single row.
+    """
+    pairs, sampled = role_kinds(tasks), any(t.settings.subsample < 1 for t in tasks)
     roles = [F.expr(f"CASE WHEN {train} THEN 1 WHEN {stopping} THEN 2 ELSE 0 END").cast("int") for train, stopping in pairs]
+    names, count = [f"__x{i}" for i in range(len(features))], len(pairs)
     rows = df.where(F.col(target).isNotNull()).select(
-        *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"), F.array(*roles).alias("roles"),
+        *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)], F.col(target).cast("double").alias("y"), F.array(*roles).alias("roles"),
         (F.lit(0.0) if margin is None else margin.cast("double")).alias("margin"),
-    ).withColumn("draw", F.xxhash64(*[f"__x{i}" for i in range(len(features))], "y", "margin")).where("exists(roles, x -> x > 0)")
-    names, count = [f"__x{i}" for i in range(len(features))], len(pairs)
+    ).where("exists(roles, x -> x > 0)")
+    if sampled:
+        rows = rows.withColumn("draw", F.xxhash64(*names, "y", "margin"))
 
     def pack(batches):
         for batch in batches:
             if batch.num_rows:
-                own = np.asarray(batch.column("roles").flatten()).astype(np.uint8).reshape(-1, count)
-                margins = batch.column("margin").to_numpy(zero_copy_only=False).astype(float)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [_binaries(_codes(batch, names, cuts)), batch.column("y"), batch.column("draw"), _binaries(own), _binaries(margins)], ["codes", "y", "draw", "roles", "margins"])
+                packed = {
+                    "codes": _codes(batch, names, cuts), "y": batch.column("y").to_numpy()[:, None], "roles": np.asarray(batch.column("roles").flatten()).astype(np.uint8).reshape(-1, count),
+                    "margins": batch.column("margin").to_numpy(zero_copy_only=False).astype(float)[:, None],
+                }
+                yield _blocks(packed | ({"draw": batch.column("draw").to_numpy()[:, None]} if sampled else {}), block_bytes)
 
-    return rows.mapInArrow(pack, "codes binary, y double, draw long, roles binary, margins binary")
+    return rows.mapInArrow(pack, "codes binary, y binary, roles binary, margins binary" + (", draw binary" if sampled else ""))
 
 
 def _moved(rows: DataFrame, models: list[_Grown], stored: int, features: int, width: int) -> DataFrame:
     """Rows with the margins after all trees, one per model."""
     work = [(m.start, m.s.depth, [_arrays(t) for t in m.trees[stored:]]) for m in models]
-    names = rows.columns
+    roles = 1 + max(m.role for m in models)
 
     def move(batches):
         walks = [(start, [_Walk(t, depth, width) for t in trees]) for start, depth, trees in work]
-        for batch in batches:
-            if batch.num_rows:
-                flat, at = _matrix(batch.column("codes"), np.uint8, features).ravel(), np.arange(batch.num_rows) * features
-                margins = _matrix(batch.column("margins"), float, len(work) if stored else 1)
-                margins = margins.copy() if stored else margins + np.array([start for start, _ in walks])[None]
-                for k, (_, trees) in enumerate(walks):
-                    for t in trees:
-                        margins[:, k] += t.value.take(t.leaves(flat, at))
-                yield pa.RecordBatch.from_arrays([_binaries(margins) if c == "margins" else batch.column(c) for c in names], names)
+        for piece in _pieces(batches, features, roles, len(work) if stored else 1):
+            flat, at = piece["codes"].ravel(), np.arange(len(piece["y"])) * features
+            margins = piece["margins"].copy() if stored else piece["margins"] + np.array([start for start, _ in walks])[None]
+            for k, (_, trees) in enumerate(walks):
+                for t in trees:
+                    margins[:, k] += t.value.take(t.leaves(flat, at))
+            yield _blocks(piece | {"margins": margins}, BLOCK_BYTES)
 
     return rows.mapInArrow(move, rows.schema)
 
@@ -329,7 +344,7 @@ def fit_many(df: DataFrame, features: Sequence[str], tasks: Sequence[Task], targ
         means = df.agg(*[F.expr(f"avg(CASE WHEN {t.train} THEN double({target}) END) AS m{k}") for k, t in enumerate(tasks)]).first()
         starts = [math.log(m / (1 - m)) if m and m < 1 else 0.0 for m in means]
     paths = [scratch_path(spark, "boosting")]
-    table = binned(df, features, cuts, target, margin, tasks)
+    table = binned(df, features, cuts, target, margin, tasks, BLOCK_BYTES)
     # read once per level, so dealt evenly over all cores, whatever the input's files were
     table.repartition(spark.sparkContext.defaultParallelism).write.parquet(paths[-1])
     rows = spark.read.schema(table.schema).parquet(paths[-1])

@@ -169,3 +169,23 @@ def test_walk_equals_a_plain_descent():
         plain.append(n)
     walk = boosting._Walk(boosting._arrays(nodes), 2, 5)
     assert walk.leaves(codes.ravel(), np.arange(200) * 2).tolist() == plain
+
+
+def test_levels_read_blocks_of_rows(spark, monkeypatch):
+    records, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda rows, *rest: records.append(rows.count()) or level(rows, *rest))
+    model = boosting.fit(table(spark, frame(2000)).coalesce(1), FEATURES, Settings(rounds=1, depth=1), "part = 'train'", "part = 'stop'", margin=logit("p_mkt"))
+    assert len(model["trees"]) == 1 and 0 < max(records) <= 2000 / 50
+
+
+@pytest.mark.parametrize("features", [0, 3])
+def test_blocks_hold_every_row_once(monkeypatch, features):
+    monkeypatch.setattr(boosting, "PIECE", 7)
+    rng = np.random.default_rng(2)
+    rows = {"codes": rng.integers(0, 9, (23, features)).astype(np.uint8), "y": rng.random((23, 1)), "roles": rng.integers(0, 3, (23, 2)).astype(np.uint8), "margins": rng.random((23, 2)), "draw": rng.integers(0, 99, (23, 1))}
+    batch = boosting._blocks(rows, 200)  # 34 or 37 bytes a row: 5 rows a block
+    assert batch.num_rows == 5 and boosting._blocks(rows, 0).num_rows == 23
+    found = list(boosting._pieces([batch.slice(0, 2), batch.slice(0, 0), batch.slice(2)], features, 2, 2))
+    assert [len(p["y"]) for p in found] == [7, 3, 7, 6]
+    for c, m in rows.items():
+        assert (np.concatenate([p[c] for p in found]) == m).all()
