@@ -189,3 +189,11 @@ def test_blocks_hold_every_row_once(monkeypatch, features):
     assert [len(p["y"]) for p in found] == [7, 3, 7, 6]
     for c, m in rows.items():
         assert (np.concatenate([p[c] for p in found]) == m).all()
+
+
+def test_moved_margins_stay_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "PIN_ROUNDS", 1)
+    records, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda rows, *rest: records.append(rows.count()) or level(rows, *rest))
+    model = boosting.fit(table(spark, frame(2000)).coalesce(1), FEATURES, Settings(rounds=2, depth=1), "part = 'train'", "part = 'stop'")
+    assert model["grown"] == 2 and len(records) == 3 and 0 < min(records) and max(records) <= 2000 / 50
