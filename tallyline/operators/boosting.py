@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +35,7 @@ LEAST_GAIN = 1e-6
 BLOCK_BYTES = 4_096  # a task is handed up to 10,000 blocks at once
 PIECE = 16_384  # rows worked on together
 SUM_CELLS = 8_000_000  # sums that a task holds at once (a deep tree over many features may need more alone)
+NODE_CELLS = 4_096  # a node of at most so many sums has its best split found by one task
 
 
 @dataclass(frozen=True)
@@ -72,11 +73,11 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> l
     return [sorted(set(found.get(c, []))) for c in features]
 
 
-def _codes(batch: pa.RecordBatch, features: Sequence[str], cuts: Sequence[Sequence[float]]) -> np.ndarray:
-    """(rows x features) bytes: 0 for a missing value, else 1 + the number of thresholds at or below it."""
-    out = np.empty((batch.num_rows, len(features)), np.uint8)
-    for k, c in enumerate(features):
-        x = batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+def _codes(n: int, columns: Sequence[pa.Array], cuts: Sequence[Sequence[float]]) -> np.ndarray:
+    """(``n`` rows x features) bytes: 0 for a missing value, else 1 + the number of thresholds at or below it."""
+    out = np.empty((n, len(columns)), np.uint8)
+    for k, c in enumerate(columns):
+        x = c.cast(pa.float64()).to_numpy(zero_copy_only=False)
         out[:, k] = np.where(np.isnan(x), 0, 1 + np.searchsorted(np.asarray(cuts[k], float), x, side="right"))
     return out
 
@@ -191,8 +192,8 @@ def _level(rows: DataFrame, models: list[_Grown], stored: int, first: bool, feat
             groups[-1].append((k, m.s, m.role, m.start, [_arrays(t) for t in m.trees[stored:]], len(m.trees), _arrays(m.nodes), list(m.frontier), m.columns))
     roles, count = 1 + max(m.role for m in models), len(models) if stored else 0
     parts = [rows.mapInArrow(_summing(work, roles, count, first, features, width), "model int, node int, feature int, bin int, g double, h double") for work in groups]
-    # the tasks' sums are dealt by what the running sums need later on: one exchange for both
-    dealt = reduce(DataFrame.union, parts).repartition("model", "node", "feature")
+    # the tasks' sums are dealt by what the running sums need later on, small nodes as a whole for the best split, too: one exchange for all
+    dealt = reduce(DataFrame.union, parts).repartition("model", "node", *(["feature"] if features * width > NODE_CELLS else []))
     return dealt.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
@@ -294,10 +295,11 @@ def binned(df: DataFrame, features: Sequence[str], cuts, target: str, margin: Co
     pairs, sampled = role_kinds(tasks), any(t.settings.subsample < 1 for t in tasks)
     roles = [F.expr(f"CASE WHEN {train} THEN 1 WHEN {stopping} THEN 2 ELSE 0 END").cast("int") for train, stopping in pairs]
     names, count = [f"__x{i}" for i in range(len(features))], len(pairs)
-    rows = df.where(F.col(target).isNotNull()).select(
+    used = " OR ".join(f"({c})" for c in dict.fromkeys(c for pair in pairs for c in pair))
+    rows = df.where(F.col(target).isNotNull() & F.expr(used)).select(
         *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)], F.col(target).cast("double").alias("y"), F.array(*roles).alias("roles"),
         (F.lit(0.0) if margin is None else margin.cast("double")).alias("margin"),
-    ).where("exists(roles, x -> x > 0)")
+    )
     if sampled:
         rows = rows.withColumn("draw", F.xxhash64(*names, "y", "margin"))
 
@@ -305,7 +307,7 @@ def binned(df: DataFrame, features: Sequence[str], cuts, target: str, margin: Co
         for batch in batches:
             if batch.num_rows:
                 packed = {
-                    "codes": _codes(batch, names, cuts), "y": batch.column("y").to_numpy()[:, None], "roles": np.asarray(batch.column("roles").flatten()).astype(np.uint8).reshape(-1, count),
+                    "codes": _codes(batch.num_rows, [batch.column(c) for c in names], cuts), "y": batch.column("y").to_numpy()[:, None], "roles": np.asarray(batch.column("roles").flatten()).astype(np.uint8).reshape(-1, count),
                     "margins": batch.column("margin").to_numpy(zero_copy_only=False).astype(float)[:, None],
                 }
                 yield _blocks(packed | ({"draw": batch.column("draw").to_numpy()[:, None]} if sampled else {}), block_bytes)
@@ -313,6 +315,21 @@ def binned(df: DataFrame, features: Sequence[str], cuts, target: str, margin: Co
     return rows.mapInArrow(pack, "codes binary, y binary, roles binary, margins binary" + (", draw binary" if sampled else ""))
 
 
+def _starts(rows: DataFrame, kinds: int, features: int) -> list[float]:
+    """The logit of the training rows' mean for every pair of roles, from the stored blocks."""
+
+    def partial(batches):
+        sums = np.zeros((2, kinds))
+        for piece in _pieces(batches, features, kinds, 1):
+            own = piece["roles"] == 1
+            sums += np.where(own, piece["y"], 0.0).sum(0), own.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], ["kind", "y", "n"])
+
+    sums = rows.mapInArrow(partial, "kind int, y double, n double").groupBy("kind").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    means = {r.kind: r.y / r.n for r in sums.collect() if r.n}
+    return [math.log(m / (1 - m)) if (m := means.get(k)) and m < 1 else 0.0 for k in range(kinds)]
+
+
 def _moved(rows: DataFrame, models: list[_Grown], stored: int, features: int, width: int) -> DataFrame:
     """Rows with the margins after all trees, one per model."""
     work = [(m.start, m.s.depth, [_arrays(t) for t in m.trees[stored:]]) for m in models]
@@ -339,16 +356,14 @@ def fit_many(df: DataFrame, features: Sequence[str], tasks: Sequence[Task], targ
     spark, features = df.sparkSession, list(features)
     used = df.where(" OR ".join(f"({t})" for t in dict.fromkeys(t.train for t in tasks)))
     cuts = quantile_cuts(used, features, bins)
-    starts = [0.0] * len(tasks)
-    if margin is None:
-        means = df.agg(*[F.expr(f"avg(CASE WHEN {t.train} THEN double({target}) END) AS m{k}") for k, t in enumerate(tasks)]).first()
-        starts = [math.log(m / (1 - m)) if m and m < 1 else 0.0 for m in means]
     paths = [scratch_path(spark, "boosting")]
     table = binned(df, features, cuts, target, margin, tasks, BLOCK_BYTES)
     # read once per level, so dealt evenly over all cores, whatever the input's files were
     table.repartition(spark.sparkContext.defaultParallelism).write.parquet(paths[-1])
     rows = spark.read.schema(table.schema).parquet(paths[-1])
     pairs = role_kinds(tasks)
+    roots = _starts(rows, len(pairs), len(features)) if margin is None else [0.0] * len(pairs)
+    starts = [roots[pairs[t.train, t.stopping]] for t in tasks]
     models = [_Grown(t, len(features), pairs[t.train, t.stopping], start) for t, start in zip(tasks, starts)]
     stored, width = 0, max(map(len, cuts), default=0) + 2
     settings = [t.settings for t in tasks]
@@ -417,23 +432,20 @@ def predict(model: dict, df: DataFrame, margin: Column | None = None, output: st
         raise ValueError("the margin must be given where the model was fitted with one, and only there")
     features, cuts, depth, start = model["features"], model["cuts"], model["depth"], model["start"]
     trees = [_arrays(t) for t in model["trees"]]
-    names = [f"__x{i}" for i in range(len(features))]
-    rows = df.select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)], (F.lit(0.0) if margin is None else margin.cast("double")).alias("__margin"))
-    kept = [c for c in df.columns if c != output]
-    schema = df.select(*kept).schema.add(output, "double")
-
     width = max(map(len, cuts), default=0) + 2
 
-    def score(batches):
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         walks = [_Walk(t, depth, width) for t in trees]
-        for batch in batches:
-            flat, at = _codes(batch, names, cuts).ravel(), np.arange(batch.num_rows) * len(names)
-            z = batch.column("__margin").to_numpy(zero_copy_only=False) + start
+        for margins, *columns in batches:
+            flat, at = _codes(len(margins), columns, cuts).ravel(), np.arange(len(margins)) * len(columns)
+            z = margins.to_numpy(zero_copy_only=False) + start
             for t in walks:
                 z = z + t.value.take(t.leaves(flat, at))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(1 / (1 + np.exp(-z)), from_pandas=True)], [*kept, output])
+            yield pa.array(1 / (1 + np.exp(-z)), from_pandas=True)
 
-    return rows.mapInArrow(score, schema)
+    # a column of its own, so that only what it needs goes to Python and columns that nobody asks for are not read
+    values = [F.lit(0.0) if margin is None else margin.cast("double"), *[F.col(c).cast("double") for c in features]]
+    return df.select(*[c for c in df.columns if c != output], F.arrow_udf(score, "double")(*values).alias(output))
 
 
 def gains(model: dict, spark: SparkSession) -> DataFrame:

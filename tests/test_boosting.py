@@ -197,3 +197,41 @@ def test_moved_margins_stay_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_level", lambda rows, *rest: records.append(rows.count()) or level(rows, *rest))
     model = boosting.fit(table(spark, frame(2000)).coalesce(1), FEATURES, Settings(rounds=2, depth=1), "part = 'train'", "part = 'stop'")
     assert model["grown"] == 2 and len(records) == 3 and 0 < min(records) and max(records) <= 2000 / 50
+
+
+def test_fit_reads_its_input_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    x = frame(200)
+    df = table(spark, x)
+    tasks = [Task(Settings(rounds=0), "part = 'train'", "part = 'stop'"), Task(Settings(rounds=0), "b = 2"), Task(Settings(rounds=0), "b = 7")]
+    starts = [m["start"] for m in boosting.fit_many(df.mapInArrow(seen, df.schema), FEATURES, tasks)]
+    assert starts == pytest.approx([logit_np(x.y[x.part == "train"].mean()), logit_np(x.y[x.b == 2].mean()), 0.0])
+    assert read.value == 2 * 200  # for the thresholds and to be binned
+
+
+def test_predictions_read_only_what_is_asked_for(spark, tmp_path):
+    x = frame(60)
+    model = boosting.fit(table(spark, x), FEATURES, Settings(rounds=1, depth=1), "part = 'train'")
+    table(spark, x).withColumn("note", F.lit("n")).write.parquet(str(tmp_path / "x"))
+    scored = boosting.predict(model, spark.read.parquet(str(tmp_path / "x")))
+    assert scored.columns == [*x.columns, "note", "p"]
+    plan = scored.select("part", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "part:string" in plan and "note" not in plan and "p_mkt" not in plan
+
+
+@pytest.mark.parametrize("features,exchanges", [(3, 1), (100, 2)])
+def test_small_nodes_meet_in_one_exchange(spark, features, exchanges):
+    names = [f"x{i}" for i in range(features)]
+    df = spark.range(40).select(*[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(names)], (F.col("id") % 2).alias("y"))
+    model = boosting._Grown(Task(Settings()), features)
+    model.start_tree()
+    sums = boosting._level(boosting.binned(df, names, [[0.5]] * features, "y", None, [Task(Settings())]), [model], 0, False, features, 66)
+    best = boosting.best_splits(sums, [Settings()])
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == exchanges
+    assert [(r.model, r.node, r.ht) for r in best.collect()] == [(0, 0, 10.0)]
