@@ -1,5 +1,6 @@
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,37 @@ def test_a_pivot_of_more_books_than_a_plan_of_aggregates_holds(spark):
     assert [sum(x is not None for x in got[g]) - 1 for g in (0, 1, 2)] == [2_000] * 3
 
 
+def test_a_pivot_is_laid_out_by_all_cores_without_a_cell_in_python(spark):
+    q = spark.range(3_000).selectExpr("id % 300 AS true_game_id", "int(id % 50) AS sportsbook", "string(id) AS quote_id", "double(id) AS home", "CASE WHEN id % 7 > 0 THEN int(id) END AS away")
+    wide = quotes.pivot_books(q, ["true_game_id"], list(range(50)), ["home", "away"], lambda price, book: f"{book}_{price}")
+    assert wide.columns[:3] == ["true_game_id", "0_home", "0_away"] and dict(wide.dtypes)["49_away"] == "int"
+    rows = wide.withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["part"] for r in rows}) > spark.sparkContext.defaultParallelism  # few bytes are merged into few tasks else
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    first = {}
+    for i in sorted(range(3_000), key=str):
+        first.setdefault((i % 300, i % 50), i)
+    assert len(rows) == 300
+    for r in rows:
+        for b in range(50):
+            i = first.get((r["true_game_id"], b))
+            assert r[f"{b}_home"] == i and r[f"{b}_away"] == (i if i is not None and i % 7 else None)
+
+
+def test_a_pivot_keeps_any_type_and_no_books_give_no_columns(spark):
+    rows = [(1, "a", "q1", "x", D(1), [1, None], Decimal("1.500")), (1, "a", "q0", None, D(2), [], None), (None, "b c", "q2", "", None, None, Decimal("-0.125"))]
+    q = spark.createDataFrame(rows, "g int, sportsbook string, quote_id string, s string, d date, l array<int>, e decimal(9,3)")
+    got = {r.g: r for r in quotes.pivot_books(q, ["g"], ["a", "b c"], ["s", "d", "l", "e"]).collect()}
+    assert tuple(got[1])[1:] == (None, D(2), [], None, None, None, None, None)
+    assert tuple(got[None])[1:] == (None, None, None, None, "", None, None, Decimal("-0.125"))
+    assert [r.g for r in quotes.pivot_books(q.where("g > 1"), ["g"], [], ["s"]).collect()] == []
+    with pytest.raises(Exception, match="not in the pivot's list"):
+        quotes.pivot_books(q, ["g"], [], ["s"]).collect()
+    with pytest.raises(Exception, match="not in the pivot's list: NULL"):
+        quotes.pivot_books(q.selectExpr("g", "string(NULL) AS sportsbook", "quote_id", "s"), ["g"], ["a"], ["s"]).collect()
+
+
 def test_kept_quotes_carry_only_what_is_asked_for(spark):
     from tallyline.functions.market import add_market_probabilities
 
