@@ -171,6 +171,35 @@ def test_walk_equals_a_plain_descent():
     assert walk.leaves(codes.ravel(), np.arange(200) * 2).tolist() == plain
 
 
+@pytest.mark.parametrize("width", [4, 66])
+def test_splits_at_the_driver_equal_those_of_the_exchange(spark, width):
+    rng = np.random.default_rng(5)
+    settings = [Settings(), Settings(reg_alpha=0.3, reg_lambda=2.0, gamma=0.4, min_child_weight=3), Settings(min_child_weight=1e9)]
+    rows = [(k, n, f, int(b), float(rng.integers(-4, 5)) / 2, float(rng.integers(1, 5)) / 4) for k in range(3) for n in (0, 3, 4) for f in ((0, 2) if n == 3 else (0, 1, 2)) for b in rng.choice(width, width) for _ in range(2)]
+    rows += [(k, n, 0, 0, 5.0 + k, 9.0 * k) for k in range(3) for n in (-1, -2)]
+    sums = spark.createDataFrame(rows, "model int, node int, feature int, bin int, g double, h double")
+    whole = sums.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    want = {(r.model, r.node): (r.gt, r.ht, r.best and (r.best.feature, r.best.bin, r.best.missing_left, r.best.gl, r.best.hl, pytest.approx(r.best.gain))) for r in boosting.best_splits(whole, settings).collect()}
+    found = boosting._splits(sums.toArrow(), settings, 3, width)
+    assert {k: (b.gt, b.ht, b.best and tuple(b.best)) for k, b in found.items()} == want
+    assert sum(b.best is not None for b in found.values()) > 1
+
+
+def test_small_levels_take_no_exchange(spark, monkeypatch):
+    x, wholes, level = frame(), [], boosting._level
+    df = table(spark, x).repartition(3)
+    monkeypatch.setattr(boosting, "_level", lambda *a: wholes.append(a[-1] if len(a) > 6 else True) or level(*a))
+    tasks = [Task(Settings(rounds=3, depth=d, rate=0.5), "part = 'train'", "part = 'stop'") for d in (2, 4)]
+    here = boosting.fit_many(df, FEATURES, tasks, margin=logit("p_mkt"))
+    assert wholes and not any(wholes)
+    monkeypatch.setattr(boosting, "DRIVER_CELLS", 0)
+    there = boosting.fit_many(df, FEATURES, tasks, margin=logit("p_mkt"))
+    assert wholes[-1] is True
+    for a, b in zip(here, there):
+        assert [e["stopping"] for e in a["losses"]] == pytest.approx([e["stopping"] for e in b["losses"]], abs=1e-12)
+        assert [[(n["feature"], n["bin"], n["missing_left"]) for n in t] for t in a["trees"]] == [[(n["feature"], n["bin"], n["missing_left"]) for n in t] for t in b["trees"]]
+
+
 def test_levels_read_blocks_of_rows(spark, monkeypatch):
     records, level = [], boosting._level
     monkeypatch.setattr(boosting, "_level", lambda rows, *rest: records.append(rows.count()) or level(rows, *rest))

@@ -197,3 +197,18 @@ def test_bins_neither_sort_nor_deal_the_predictions(spark):
     quantile = evaluate.calibration_bins(df, 2, "quantile")
     assert "SortAggregate" not in quantile._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.bin, r.n, len(r.edges)) for r in quantile.collect()) == [(0, 2, 3), (1, 2, 3)]
+
+
+def test_the_search_has_its_whole_rounds_and_patience(spark, monkeypatch):
+    from tallyline.plans import catalog
+
+    asked = []
+
+    def search(folded, features, candidates, *rest):
+        asked.extend(candidates)
+        return spark.createDataFrame([(0, 0, 1, 0.5)], "candidate int, fold int, rounds int, log_loss double")
+
+    monkeypatch.setattr(models, "search_trees", search)
+    assert catalog.QUERIES["h14_grid_search"](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(asked) == 20 and {(c.rounds, c.patience) for c in asked} == {(100, 20)}
+    assert {c.depth for c in asked} == set(range(2, 9))
